@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 
 
-def _sha(ids: str) -> F.Column:
+def _sha(ids: str) -> Column:
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
 
 
@@ -23,5 +23,29 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.decontam import contamination, is_contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secret_spans(docs, secrets.model(spark, docs))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.described("base"), 256).alias("base_sha256"), secrets.described("spans").alias("spans"))
+
+
+QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_secrets": op10_secrets,
+}
 ORACLE_SQL: dict[str, str] = {}
