@@ -170,10 +170,9 @@ def id_bits(df: DataFrame, key: str, bits: int = 26) -> np.ndarray:
     Rows whose bit is not set are surely not in ``df``.
     """
     h = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    rows = df.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    rows = df.select(h.alias("h")).groupBy(F.bitmap_bucket_number(F.col("h") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("h") + 1)).alias("m")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
     for b, m in rows:
-        # bucket b holds positions 32768 * (b - 1) + 1 and up; position 0 is in bucket 0
-        at = (b - 1) * 4096 if b else 0
+        at = (b - 1) * 4096  # bucket b has the bits of 32768 * (b - 1) + 1 and up
         out[at : at + len(m)] |= np.frombuffer(bytes(m), np.uint8)
     return out

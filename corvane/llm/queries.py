@@ -31,6 +31,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import secrets
 
@@ -46,6 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}

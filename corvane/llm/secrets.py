@@ -11,8 +11,7 @@ scanned whole; rows are judged one by one. Positions are code points, end exclus
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +72,22 @@ def _transition(token: Column, i: Column) -> Column:
     return F.ascii(F.substr(token, i, F.lit(1))) * CODES + F.ascii(F.substr(token, i + 1, F.lit(1)))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5, symbols: int = 66) -> list[float]:
+def train(samples: DataFrame, weight: float = 5.0, symbols: int = 66) -> list[float]:
     """Log-likelihood ratio of each transition, from ``samples(token, random)``.
 
-    At most 2 * 128 * 128 counts come to the driver. Characters beyond ASCII are skipped.
+    A transition's probability backs off with ``weight`` to that of its second
+    character, and that with one count to even chances. At most 2 * 128 * 128 counts
+    come to the driver. Samples with characters beyond ASCII are skipped.
     """
     pairs = samples.where((F.length("token") > 1) & ~F.col("token").rlike(r"[^\x00-\x7F]")).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _transition(F.col("token"), i))).alias("pair"))
-    counts: dict[bool, dict[int, int]] = {False: {}, True: {}}
+    counts = {c: np.zeros((CODES, CODES)) for c in (False, True)}
     for r in pairs.groupBy("random", "pair").count().collect():
-        counts[r["random"]][r["pair"]] = r["count"]
-    out = []
-    from_code = {c: [sum(counts[c].get(a * CODES + b, 0) for b in range(CODES)) for a in range(CODES)] for c in counts}
-    for pair in range(CODES * CODES):
-        p = {c: (counts[c].get(pair, 0) + smoothing) / (from_code[c][pair // CODES] + smoothing * symbols) for c in counts}
-        out.append(math.log(p[True] / p[False]))
-    return out
+        counts[r["random"]][divmod(r["pair"], CODES)] = r["count"]
+    logs = {}
+    for c, n in counts.items():
+        one = (n.sum(0) + 1 / symbols) / (n.sum() + 1)
+        logs[c] = np.log((n + weight * one) / (n.sum(1, keepdims=True) + weight))
+    return (logs[True] - logs[False]).ravel().tolist()
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", ordinary: int = 20_000, drawn: int = 4_000) -> DataFrame:
