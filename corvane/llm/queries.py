@@ -12,6 +12,15 @@ def _sha(ids: str) -> Column:
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.severity(docs, model)
+    return scored.select("doc_id", "severity", "grade", "p_toxic", toxicity.is_toxic(model).alias("toxic"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,
