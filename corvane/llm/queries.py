@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import cut, table
 
 
 def _sha(ids: str) -> Column:
@@ -32,6 +32,31 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out(key: str, parts: int) -> Column:
+    """Rows that training must not see: crc32 of the key as text is divisible by ``parts``."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == 0, F.lit(False))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import quality
+
+    stats, names = quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stats = cut(stats)
+    rules = quality.train(stats, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5)), names)
+    score = rules.score({n: F.col(n) for n in names})
+    return stats.select("doc_id", held_out("doc_id", 5).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+#: Bytes of text that one shard may hold.
+SHARD_BYTES = 4 << 20
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.decontam import contamination, is_contaminated
 
@@ -59,6 +84,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_sharding": op2_sharding,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
