@@ -9,11 +9,13 @@ and only groups are joined:
    right results; the counters put the frequent shingles last.
 2. Write each document's size, digest, prefix; collapse equal ones into groups.
 3. Exchange (prefix token, group) once; keep the tokens that two groups share.
-4. Filter group pairs by length and position and verify them, with whole sets, in two
-   rounds. First each group with the one before it and the first one of its token,
-   each member with its group's first. Then, among members that are not yet
-   connected, every pair that shares a token. Pairs inside one component would add
-   nothing to it, so none is missed and dense groups of copies stay linear.
+4. Filter group pairs by length, by position and by a bitmap of each set (differing
+   bits bound the difference of the sets from below), and verify them, with whole
+   sets, in two rounds. First each group with the one before it and the first one of
+   its token, each member with its group's first. Then, among members that are not yet
+   connected, every pair that shares a token; long posting lists are cut into blocks
+   and compared block by block, so only pairs that pass the filters become rows. Pairs
+   inside one component would add nothing to it, so none is missed.
 
 Hashes of 64 bits stand for shingles, so two shingles may count as one with a chance
 of about one in 10**19 for each pair in one document or compared pair.
@@ -34,11 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WordHashes, block_sums, cut, id_bits, lists, shingles, space_words, texts
+from corvane.llm.common import WordHashes, block_sums, cut, id_bits, lists, map_arrow, shingles, space_words, texts
 from corvane.llm.graph import components
 
 #: Hashed counters of shingles: 8 MB where they are broadcast.
 WIDTH = 1 << 21
+#: 64-bit words of a set's bitmap.
+MARKS = 16
+#: About how many members of a posting list are compared as one block.
+BLOCK = 1024
 
 
 def frequencies(docs: DataFrame, k: int, width: int = WIDTH) -> np.ndarray:
@@ -55,7 +61,7 @@ def frequencies(docs: DataFrame, k: int, width: int = WIDTH) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, frequency: np.ndarray, num: int, den: int) -> DataFrame:
-    """(id, n, digest, prefix_digest, prefix) of each row."""
+    """(id, n, digest, prefix_digest, prefix, marks) of each row."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(np.minimum(frequency, np.iinfo(np.uint32).max).astype(np.uint32))
 
@@ -63,7 +69,7 @@ def _sets(docs: DataFrame, k: int, frequency: np.ndarray, num: int, den: int) ->
         hashes, counters = WordHashes(), sent.value
         mask = np.uint64(len(counters) - 1)
         for batch in batches:
-            n, digest, prefix_digest, prefix = [], [], [], []
+            n, digest, prefix_digest, prefix, marks = [], [], [], [], []
             for t in texts(batch["text"]):
                 s = np.unique(shingles(hashes.of(space_words(t)), k))
                 size = len(s)
@@ -72,9 +78,13 @@ def _sets(docs: DataFrame, k: int, frequency: np.ndarray, num: int, den: int) ->
                 few = s[np.lexsort((s, counters[s & mask]))[: size - -(-num * size // den) + 1]] if size else s
                 prefix_digest.append(xxhash.xxh3_128_digest(few.tobytes()))
                 prefix.append(few.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.binary()), lists(prefix, pa.int64())], ["id", "n", "digest", "prefix_digest", "prefix"])
+                bits = np.zeros(64 * MARKS, bool)
+                odd, count = np.unique(s & np.uint64(64 * MARKS - 1), return_counts=True)
+                bits[odd[count % 2 == 1].astype(np.int64)] = True
+                marks.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.binary()), lists(prefix, pa.int64()), lists(marks, pa.int64())], ["id", "n", "digest", "prefix_digest", "prefix", "marks"])
 
-    return docs.mapInArrow(run, "id long, n int, digest binary, prefix_digest binary, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n int, digest binary, prefix_digest binary, prefix array<long>, marks array<long>")
 
 
 def _shared(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -132,6 +142,60 @@ def _possible(n1: Column, pos1: Column, n2: Column, pos2: Column, num: int, den:
     return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & (1 + F.least(n1 - pos1 - 1, n2 - pos2 - 1) >= least)
 
 
+def _least_overlap(n, num: int, den: int):
+    """The smallest overlap of two linked sets of ``n`` tokens together."""
+    return -(-num * n // (num + den))
+
+
+def _pairs_of_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of rows of (token, rep, n, pos, c, marks, blocks) that share a token but
+    not the component ``c`` and pass all filters."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    packed = rows.groupBy("token", "blocks", block.alias("block")).agg(F.collect_list(F.struct("rep", "n", "pos", "c", "marks")).alias("x"))
+    packed = cut(packed)
+    several = packed.where("blocks > 1").select("token", "block", "x")
+    other = several.select("token", F.col("block").alias("block_y"), F.col("x").alias("y"))
+    tiles = packed.where("blocks = 1").select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y")).union(several.join(other, "token").where("block <= block_y").select("x", F.when(F.col("block") < F.col("block_y"), F.col("y")).alias("y")))
+
+    def columns(lists_: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        ends = np.r_[0, np.cumsum(lists_.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))].astype(int)
+        flat = lists_.flatten()
+        c = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "pos", "c")}
+        return c | {"marks": flat.field("marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, MARKS)}, ends
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (x, ends_x), (y, ends_y) = columns(batch["x"]), columns(batch["y"])
+        found_a, found_b = [], []
+        for r in range(batch.num_rows):
+            i0, i1 = ends_x[r], ends_x[r + 1]
+            other, j0, j1 = (y, ends_y[r], ends_y[r + 1]) if ends_y[r + 1] > ends_y[r] else (x, i0, i1)
+            n1, n2 = x["n"][i0:i1, None].astype(np.int64), other["n"][None, j0:j1].astype(np.int64)
+            left = 1 + np.minimum(n1 - x["pos"][i0:i1, None] - 1, n2 - other["pos"][None, j0:j1] - 1)
+            least = _least_overlap(n1 + n2, num, den)
+            ok = (x["c"][i0:i1, None] != other["c"][None, j0:j1]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (left >= least)
+            i, j = np.nonzero(np.triu(ok, 1) if other is x else ok)
+            for at in range(0, len(i), 100_000):
+                p, q = i[at : at + 100_000], j[at : at + 100_000]
+                differ = np.bitwise_count(x["marks"][i0 + p] ^ other["marks"][j0 + q]).sum(1, dtype=np.int64)
+                good = differ <= (n1[p, 0] + n2[0, q] - 2 * least[p, q])
+                found_a.append(x["rep"][i0 + p[good]])
+                found_b.append(other["rep"][j0 + q[good]])
+        empty = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a or empty)), pa.array(np.concatenate(found_b or empty))], ["a", "b"])
+
+    return map_arrow(tiles, per_batch, "a long, b long")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps do not differ too much."""
+    def of(x: str) -> DataFrame:
+        return sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
+
+    differ = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    n = F.col("n_a") + F.col("n_b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ <= n - 2 * F.ceil(num * n / (num + den) - 1e-6)).select("a", "b")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -165,7 +229,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     classes = cut(own.groupBy("n", "prefix_digest", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     groups = cut(classes.groupBy("n", "prefix_digest").agg(F.min("rep").alias("gid"), F.count("*").cast("int").alias("m")))
     first = sets.select(F.col("id").alias("gid"), "n", "prefix_digest", "prefix")
-    postings = first.join(groups, ["gid", "n", "prefix_digest"]).dropDuplicates(["gid", "n"]).select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    postings = first.join(groups, ["gid", "n", "prefix_digest"]).select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(_shared(postings, num, den))
     members = cut(classes.join(groups.where("m > 1"), ["n", "prefix_digest"]).select("gid", "rep"))
 
@@ -173,19 +237,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         return shared.where(F.col(f"{p}_gid") >= 0).where(_possible(F.col("n"), F.col("pos"), F.col(f"{p}_n"), F.col(f"{p}_pos"), num, den)).select(F.col("gid").alias("a"), F.col(f"{p}_gid").alias("b"))
 
     near = partner("prev").union(partner("first")).union(members.select(F.col("gid").alias("a"), F.col("rep").alias("b")))
-    links = _verified(docs, near, k, num, den)
+    own = own.select("id", "n", "marks")
+    links = _verified(docs, _alike(near.where("a <> b").distinct(), own, num, den), k, num, den)
 
     so_far = components(links)
     rows = shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep"))
     rows = cut(rows.join(so_far, rows.rep == so_far.node, "left").select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("c")))
-    by_component = rows.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = by_component.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token")
-    by_component = cut(by_component.join(several, "token", "left_semi"))
-    x, y = by_component.alias("x"), by_component.alias("y")
-    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (den * F.col("x.high") >= num * F.col("y.low")) & (den * F.col("y.high") >= num * F.col("x.low"))).select("x.token", F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
-    of_a = rows.select("token", F.col("c").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    of_b = rows.select("token", F.col("c").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    rest = apart.join(of_a, ["token", "ca"]).join(of_b, ["token", "cb"]).where(_possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)).select("a", "b")
+    several = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("token", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rows = rows.join(several, "token").join(own.select(F.col("id").alias("rep"), "marks"), "rep")
+    rest = _pairs_of_blocks(rows, num, den)
     links = links.union(_verified(docs, rest, k, num, den))
 
     found = components(links)
