@@ -63,6 +63,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import classlm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, rest = classlm.train(docs.where(~held_out("doc_id", 10)))
+    return classlm.score(docs, model, rest, [F.col("doc_id"), held_out("doc_id", 10).alias("held_out")])
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.decontam import contamination, is_contaminated
 
@@ -93,6 +101,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_class_lm": op4_class_lm,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
