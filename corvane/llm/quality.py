@@ -115,6 +115,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, d
         _tree(x, codes, edges, y - p, p * (1 - p), rows, depth, least, step, (), paths)
         margin += 0.3 * step
     rules = sorted({_shortened(p) for p in paths})
+    if not rules:
+        return base
     holds = np.stack([np.logical_and.reduce([(x[:, f] > b) if over else (x[:, f] <= b) for f, over, b in r]) for r in rules], 1).astype(np.float32)
     _, first = np.unique(holds, axis=1, return_index=True)
     holds, rules = holds[:, first], [rules[i] for i in first]

@@ -71,6 +71,14 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(docs, model, rest, [F.col("doc_id"), held_out("doc_id", 10).alias("held_out")])
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import licences
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.licence_findings(docs, licences.model(docs))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_findings"), licences.families().alias("families"), F.transform("licences", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])).alias("lines"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.decontam import contamination, is_contaminated
 
@@ -102,6 +110,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_class_lm": op4_class_lm,
+    "op5_licences": op5_licences,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
