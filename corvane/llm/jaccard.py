@@ -11,11 +11,12 @@ and only groups are joined:
 3. Exchange (prefix token, group) once; keep the tokens that two groups share.
 4. Filter group pairs by length, by position and by a bitmap of each set (differing
    bits bound the difference of the sets from below), and verify them, with whole
-   sets, in two rounds. First each group with the one before it and the first one of
-   its token, each member with its group's first. Then, among members that are not yet
-   connected, every pair that shares a token; long posting lists are cut into blocks
-   and compared block by block, so only pairs that pass the filters become rows. Pairs
-   inside one component would add nothing to it, so none is missed.
+   sets, in three rounds. First each group with the one before it and the first one of
+   its token, each member with its group's first. Then posting lists, cut into blocks,
+   are compared block by block, and of the pairs that pass the filters a block sends
+   those of a spanning forest of its components. Last, among members that are still
+   not connected, every pair that passes. Pairs inside one component would add nothing
+   to it, so none is missed, and dense groups of copies stay linear.
 
 Hashes of 64 bits stand for shingles, so two shingles may count as one with a chance
 of about one in 10**19 for each pair in one document or compared pair.
@@ -147,9 +148,45 @@ def _least_overlap(n, num: int, den: int):
     return -(-num * n // (num + den))
 
 
-def _pairs_of_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of rows of (token, rep, n, pos, c, marks, blocks) that share a token but
-    not the component ``c`` and pass all filters."""
+def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges of a spanning forest of light edges: each component takes its lightest edge, again and again."""
+    _, ends = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    size, at, out = int(ends.max(initial=-1)) + 1, np.argsort(weight, kind="stable"), []
+    x, y = x[at], y[at]
+    while len(at):
+        n = len(at)
+        both = np.r_[x, y]
+        place = np.r_[np.arange(n), np.arange(n)]
+        first = np.full(size, n)
+        np.minimum.at(first, both, place)
+        used = np.unique(first[first < n])
+        out.append(at[used])
+        root = np.arange(size)
+        while True:
+            new = root.copy()
+            np.minimum.at(new, x[used], root[y[used]])
+            np.minimum.at(new, y[used], root[x[used]])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        x, y = root[x], root[y]
+        x, y, at = x[x != y], y[x != y], at[x != y]
+    return np.concatenate(out) if out else np.zeros(0, int)
+
+
+def _open_lists(rows: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (token, n, pos, rep) of the posting lists that span several components, with
+    the component ``c``, the set's ``marks`` and the number of ``blocks`` of the list."""
+    rows = rows.join(found, rows.rep == found.node, "left").select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("c"))
+    several = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("token", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    return rows.join(several, "token").join(sets.select(F.col("id").alias("rep"), "marks"), "rep")
+
+
+def _pairs_of_blocks(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of ``_open_lists`` that share a token but not the component ``c`` and pass
+    all filters; with ``forest`` only those of a spanning forest of each tile's components."""
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     packed = rows.groupBy("token", "blocks", block.alias("block")).agg(F.collect_list(F.struct("rep", "n", "pos", "c", "marks")).alias("x"))
     packed = cut(packed)
@@ -174,12 +211,19 @@ def _pairs_of_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
             least = _least_overlap(n1 + n2, num, den)
             ok = (x["c"][i0:i1, None] != other["c"][None, j0:j1]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (left >= least)
             i, j = np.nonzero(np.triu(ok, 1) if other is x else ok)
+            some = []
             for at in range(0, len(i), 100_000):
                 p, q = i[at : at + 100_000], j[at : at + 100_000]
                 differ = np.bitwise_count(x["marks"][i0 + p] ^ other["marks"][j0 + q]).sum(1, dtype=np.int64)
                 good = differ <= (n1[p, 0] + n2[0, q] - 2 * least[p, q])
-                found_a.append(x["rep"][i0 + p[good]])
-                found_b.append(other["rep"][j0 + q[good]])
+                some.append((i0 + p[good], j0 + q[good], differ[good] / (n1[p, 0] + n2[0, q])[good]))
+            if some:
+                i, j, weight = map(np.concatenate, zip(*some, strict=True))
+                if forest:
+                    kept = _forest(x["c"][i], other["c"][j], weight)
+                    i, j = i[kept], j[kept]
+                found_a.append(x["rep"][i])
+                found_b.append(other["rep"][j])
         empty = [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a or empty)), pa.array(np.concatenate(found_b or empty))], ["a", "b"])
 
@@ -240,13 +284,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     own = own.select("id", "n", "marks")
     links = _verified(docs, _alike(near.where("a <> b").distinct(), own, num, den), k, num, den)
 
-    so_far = components(links)
-    rows = shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep"))
-    rows = cut(rows.join(so_far, rows.rep == so_far.node, "left").select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("c")))
-    several = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("token", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = rows.join(several, "token").join(own.select(F.col("id").alias("rep"), "marks"), "rep")
-    rest = _pairs_of_blocks(rows, num, den)
-    links = links.union(_verified(docs, rest, k, num, den))
+    rows = cut(shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep")))
+    for forest in (True, False):
+        rest = _pairs_of_blocks(_open_lists(rows, components(links), own), num, den, forest)
+        links = links.union(_verified(docs, rest, k, num, den))
 
     found = components(links)
     copies = classes.where("copies > 1").select("digest", "rep")
