@@ -12,11 +12,12 @@ and only groups are joined:
 4. Filter group pairs by length, by position and by a bitmap of each set (differing
    bits bound the difference of the sets from below), and verify them, with whole
    sets, in three rounds. First each group with the one before it and the first one of
-   its token, each member with its group's first. Then posting lists, cut into blocks,
-   are compared block by block, and of the pairs that pass the filters a block sends
-   those of a spanning forest of its components. Last, among members that are still
-   not connected, every pair that passes. Pairs inside one component would add nothing
-   to it, so none is missed, and dense groups of copies stay linear.
+   its token, each member with its group's first. Then posting lists, one of those
+   with equal members, cut into blocks, are compared block by block, and of the pairs that pass the filters a block sends
+   those of a spanning forest of its components. Last, of the lists from which that
+   left out a pair, every pair of members still not connected. Pairs inside one
+   component would add nothing to it, so none is missed, and dense groups of copies
+   stay linear.
 
 Hashes of 64 bits stand for shingles, so two shingles may count as one with a chance
 of about one in 10**19 for each pair in one document or compared pair.
@@ -88,6 +89,29 @@ def _sets(docs: DataFrame, k: int, frequency: np.ndarray, num: int, den: int) ->
     return docs.mapInArrow(run, "id long, n int, digest binary, prefix_digest binary, prefix array<long>, marks array<long>")
 
 
+def _postings(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, n, m, pos, token) of each group's prefix.
+
+    Only rows that a bitmap holds for members of larger groups are joined with the
+    groups; the others are surely alone and keep their prefix where it is.
+    """
+    bits = 26
+    key = F.xxhash64("n", "prefix_digest").alias("key")
+    sent = sets.sparkSession.sparkContext.broadcast(id_bits(groups.where("copies > 1").select(key), "key", bits))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for batch in batches:
+            h = batch["bit"].to_numpy()
+            yield batch.drop_columns(["bit"]).append_column("alone", pa.array(bitmap[h >> 3] >> (h & 7) & 1 == 0))
+
+    rows = sets.select(F.col("id").alias("gid"), "n", "prefix_digest", "prefix", F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("bit"))
+    rows = rows.mapInArrow(run, "gid long, n int, prefix_digest binary, prefix array<long>, alone boolean")
+    alone = rows.where("alone").select("gid", "n", F.lit(1).alias("m"), "prefix")
+    first = rows.where("not alone").join(groups, ["gid", "n", "prefix_digest"]).select("gid", "n", "m", "prefix")
+    return alone.union(first).select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+
+
 def _shared(postings: DataFrame, num: int, den: int) -> DataFrame:
     """The postings whose token two groups share, or whose group has several members.
 
@@ -176,6 +200,22 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
+def _distinct_lists(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Of the posting lists with the same members, the one whose token comes first.
+
+    Tokens have one order, so the first token of such lists comes first in each member,
+    and the first common token of two members is that one or one before it: the later
+    lists add no pair. Lists with an id of several sets (``twice``) all stay.
+    """
+    def added(i: int) -> Column:
+        return F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(i), "rep"), 32)).alias(f"h{i}")
+
+    kinds = rows.join(twice.withColumn("twice", F.lit(True)), "rep", "left")
+    lists_ = kinds.groupBy("token").agg(F.count("*").alias("size"), *map(added, range(3)), F.sum("pos").alias("place"), F.max("twice").alias("twice"))
+    first = lists_.groupBy("size", "h0", "h1", "h2", F.when(F.col("twice"), F.col("token"))).agg(F.min_by("token", F.struct("place", "token")).alias("token"))
+    return rows.join(first.select("token"), "token", "left_semi")
+
+
 def _open_lists(rows: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (token, n, pos, rep) of the posting lists that span several components, with
     the component ``c``, the set's ``marks`` and the number of ``blocks`` of the list."""
@@ -186,48 +226,50 @@ def _open_lists(rows: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame
 
 def _pairs_of_blocks(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of ``_open_lists`` that share a token but not the component ``c`` and pass
-    all filters; with ``forest`` only those of a spanning forest of each tile's components."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    packed = rows.groupBy("token", "blocks", block.alias("block")).agg(F.collect_list(F.struct("rep", "n", "pos", "c", "marks")).alias("x"))
-    packed = cut(packed)
-    several = packed.where("blocks > 1").select("token", "block", "x")
-    other = several.select("token", F.col("block").alias("block_y"), F.col("x").alias("y"))
-    tiles = packed.where("blocks = 1").select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y")).union(several.join(other, "token").where("block <= block_y").select("x", F.when(F.col("block") < F.col("block_y"), F.col("y")).alias("y")))
-
-    def columns(lists_: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        ends = np.r_[0, np.cumsum(lists_.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))].astype(int)
-        flat = lists_.flatten()
-        c = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "pos", "c")}
-        return c | {"marks": flat.field("marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, MARKS)}, ends
+    all filters. With ``forest`` only those of a spanning forest of each tile's components;
+    then a row (null, null, token) tells of each tile that left a pair out."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    # a row of a list of one block is sent once; of a longer list to the tile of its block and each other one
+    tiles = rows.groupBy("token", low, high).agg(F.collect_list(F.struct("rep", "n", "pos", "c", "marks", (F.col("block") == F.least("block", "other")).alias("left"))).alias("x"))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (x, ends_x), (y, ends_y) = columns(batch["x"]), columns(batch["y"])
-        found_a, found_b = [], []
-        for r in range(batch.num_rows):
-            i0, i1 = ends_x[r], ends_x[r + 1]
-            other, j0, j1 = (y, ends_y[r], ends_y[r + 1]) if ends_y[r + 1] > ends_y[r] else (x, i0, i1)
-            n1, n2 = x["n"][i0:i1, None].astype(np.int64), other["n"][None, j0:j1].astype(np.int64)
-            left = 1 + np.minimum(n1 - x["pos"][i0:i1, None] - 1, n2 - other["pos"][None, j0:j1] - 1)
+        ends = np.r_[0, np.cumsum(batch["x"].value_lengths().to_numpy(zero_copy_only=False))].astype(int)
+        flat = batch["x"].flatten()
+        c = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "pos", "c", "left")}
+        marks = flat.field("marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, MARKS)
+        two = batch["low"].to_numpy() < batch["high"].to_numpy()
+        found_a, found_b, partly = [], [], []
+        for r, token in enumerate(batch["token"].to_pylist()):
+            x = y = np.arange(ends[r], ends[r + 1])
+            if two[r]:
+                x, y = x[c["left"][x]], x[~c["left"][x]]
+            n1, n2 = c["n"][x, None].astype(np.int64), c["n"][None, y].astype(np.int64)
+            left = 1 + np.minimum(n1 - c["pos"][x, None] - 1, n2 - c["pos"][None, y] - 1)
             least = _least_overlap(n1 + n2, num, den)
-            ok = (x["c"][i0:i1, None] != other["c"][None, j0:j1]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (left >= least)
-            i, j = np.nonzero(np.triu(ok, 1) if other is x else ok)
+            ok = (c["c"][x, None] != c["c"][None, y]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (left >= least)
+            i, j = np.nonzero(ok if two[r] else np.triu(ok, 1))
             some = []
             for at in range(0, len(i), 100_000):
                 p, q = i[at : at + 100_000], j[at : at + 100_000]
-                differ = np.bitwise_count(x["marks"][i0 + p] ^ other["marks"][j0 + q]).sum(1, dtype=np.int64)
+                differ = np.bitwise_count(marks[x[p]] ^ marks[y[q]]).sum(1, dtype=np.int64)
                 good = differ <= (n1[p, 0] + n2[0, q] - 2 * least[p, q])
-                some.append((i0 + p[good], j0 + q[good], differ[good] / (n1[p, 0] + n2[0, q])[good]))
+                some.append((x[p[good]], y[q[good]], differ[good] / (n1[p, 0] + n2[0, q])[good]))
             if some:
                 i, j, weight = map(np.concatenate, zip(*some, strict=True))
                 if forest:
-                    kept = _forest(x["c"][i], other["c"][j], weight)
+                    kept = _forest(c["c"][i], c["c"][j], weight)
+                    if len(kept) < len(i):
+                        partly.append(token)
                     i, j = i[kept], j[kept]
-                found_a.append(x["rep"][i])
-                found_b.append(other["rep"][j])
-        empty = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a or empty)), pa.array(np.concatenate(found_b or empty))], ["a", "b"])
+                found_a.append(c["rep"][i])
+                found_b.append(c["rep"][j])
+        pairs = np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
+        none, void = pa.nulls(len(partly), pa.int64()), pa.nulls(len(pairs[0]), pa.int64())
+        columns = [pa.concat_arrays([pa.array(v), none]) for v in pairs] + [pa.concat_arrays([void, pa.array(partly, pa.int64())])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "token"])
 
-    return map_arrow(tiles, per_batch, "a long, b long")
+    return map_arrow(tiles, per_batch, "a long, b long, token long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,10 +313,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     sets = cut(_sets(docs, k, frequencies(docs, k, width), num, den))
     own = sets.where("n > 0 and id is not null")
     classes = cut(own.groupBy("n", "prefix_digest", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    groups = cut(classes.groupBy("n", "prefix_digest").agg(F.min("rep").alias("gid"), F.count("*").cast("int").alias("m")))
-    first = sets.select(F.col("id").alias("gid"), "n", "prefix_digest", "prefix")
-    postings = first.join(groups, ["gid", "n", "prefix_digest"]).select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(_shared(postings, num, den))
+    groups = cut(classes.groupBy("n", "prefix_digest").agg(F.min("rep").alias("gid"), F.count("*").cast("int").alias("m"), F.sum("copies").alias("copies")))
+    shared = cut(_shared(_postings(own, groups), num, den))
     members = cut(classes.join(groups.where("m > 1"), ["n", "prefix_digest"]).select("gid", "rep"))
 
     def partner(p: str) -> DataFrame:
@@ -284,10 +324,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     own = own.select("id", "n", "marks")
     links = _verified(docs, _alike(near.where("a <> b").distinct(), own, num, den), k, num, den)
 
-    rows = cut(shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep")))
+    rows = shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep"))
+    rows = cut(_distinct_lists(rows, classes.groupBy("rep").count().where("count > 1").select("rep")))
     for forest in (True, False):
-        rest = _pairs_of_blocks(_open_lists(rows, components(links), own), num, den, forest)
-        links = links.union(_verified(docs, rest, k, num, den))
+        rest = cut(_pairs_of_blocks(_open_lists(rows, components(links), own), num, den, forest))
+        links = links.union(_verified(docs, rest.where("a is not null").select("a", "b"), k, num, den))
+        rows = rows.join(rest.where("token is not null").select("token").distinct(), "token", "left_semi")
 
     found = components(links)
     copies = classes.where("copies > 1").select("digest", "rep")
