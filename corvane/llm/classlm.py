@@ -2,15 +2,23 @@
 
 P(word | word before) = P(class | class before) P(word | class). Exchange clustering
 assigns the ``clustered`` most frequent words to ``classes`` classes: each word in turn
-moves to the class that makes the training text likeliest, given all others. Further
-frequent words fall into classes by the magnitude of their counts, all other words,
-unknown ones too, into one more; the end of a text is a class of its own and also stands
-before each text. Emissions are smoothed by additive counts, transitions by the classes'
-shares, so the model sums to 1 over the known words and one unknown.
+moves to the class that makes the training text likeliest, given all others. Every
+further word of the training texts, rare ones too, then joins the class with the greatest
+exchange gain, from how often each class stands before and after it; all words of a round
+are dealt at once. The ``frequent`` words have two such rounds, the rest one after them,
+in which neighbours that are rare themselves count as one class. The end of a text is a
+class of its own and also stands before each text.
+
+A rare word's chance is that of any rare word after the class before, times that of its
+class among rare words there, times its share of these; after it stands its class. Unknown
+words have a fixed small share of the rare ones. Emissions are smoothed by additive counts,
+transitions by the classes' shares, so the model sums to 1 over the known words and one
+unknown.
 
 All counts cover all training texts and grow with them: word counts are a shuffled
 table. Only the ``frequent`` most frequent words (of at most 64 bytes) are broadcast, and
-the class of each; counts of the rest reach the texts by a join on a 64-bit hash.
+the class of each; counts and classes of the rest reach the texts by a join on a 64-bit
+hash.
 
 Tokens: words between blanks (x20, x09 to x0D), A-Z in lower case, then one end. Null
 and empty texts are one end token. Rows are scored one by one. Without training texts
@@ -20,7 +28,7 @@ every count is 0.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,6 +135,8 @@ class Model:
     ends: int  # training texts
     rest_n: int  # tokens of words that are not frequent
     rest_v: int  # such words
+    rest_transition: np.ndarray  # log10, from each class to a rare word of each class, last an unknown one
+    rest_emission: np.ndarray  # tokens and words among the rare ones, of each class
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
@@ -166,31 +176,213 @@ def train(docs: DataFrame, text: str = "text", frequent: int = 100_000, clustere
     size = int(symbol.max(initial=-1)) + 3  # the last two: the rest, the end
     symbols = np.r_[symbol, size - 2, size - 1]
     index = {x[0]: i for i, x in enumerate(words)}
-    sent = docs.sparkSession.sparkContext.broadcast((index, symbols))
+    seq = cut(_sequences(docs, index))
+    of = exchange(_bigrams(seq, symbols, size), clustered, classes)
+    classes = max(1, min(classes, clustered))
+    class_of, k = of[symbols], int(of.max()) + 1
+    for old in (False, True):
+        found = _dealt(_neighbours(seq, class_of, k, clustered, rare=False), _bigrams(seq, class_of, k), classes, class_of if old else None)
+        h, new = (np.array(x, np.int64) for x in zip(*found.where("h is not null").select("h", "class").collect(), strict=True)) if len(words) > clustered else ([], [])
+        class_of[h] = new  # of the frequent words
+        class_of[-2:], k = [classes, classes + 1], classes + 2
+    n = _bigrams(seq, class_of, k).astype(float)
+    dealt = cut(_dealt(_neighbours(seq, class_of, k, clustered, rare=True), n, classes))
+    of_word = dealt.where("h is not null").select("h", "class")
+    rest = cut(counts.where(~is_frequent).select(F.xxhash64("word").alias("h"), "c").groupBy("h").agg(F.sum("c").alias("c"), F.count("*").alias("v")).join(of_word, "h"))
+
+    before, after, both = np.zeros((k, classes)), np.zeros((classes, k)), np.zeros((classes, classes))
+    for r in dealt.where("h is null").groupBy("class", "x").agg(F.sum("c").alias("c")).collect():
+        if r.x < k:
+            before[r.x, r["class"]] = r.c
+        else:
+            after[r["class"], r.x - k] = r.c
+    pairs = _rare_pairs(seq, len(index)).join(of_word.select("h", F.col("class").alias("one")), "h").join(of_word.select(F.col("h").alias("g"), F.col("class").alias("two")), "g")
+    for r in pairs.groupBy("one", "two").agg(F.sum("c").alias("c")).collect():
+        both[r.one, r.two] = r.c
+    # rare neighbours are known by their classes now; the row of unknown words is that of all rare ones
+    before[classes], after[:, classes] = both.sum(0), both.sum(1)
+    before[:classes] += both
+    in_class, kinds = np.bincount(class_of[:-2], c, k), np.bincount(class_of[:-2], minlength=k)
+    filled = np.r_[kinds[:classes] > 0, True, True]  # a class that only rare words have stands before others only
+    share = np.where(filled, n.sum(0) + 0.5, 0) / (n.sum() + 0.5 * filled.sum())
+    n[:classes] += after
+    transition = np.log10(np.maximum((n + weight * share) / (n.sum(1, keepdims=True) + weight), 1e-300))
+    emission = np.log10((c + 0.1) / (in_class + 0.1 * kinds)[class_of[:-2]])
+    of_rest = np.zeros((2, classes))
+    for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
+        of_rest[:, r["class"]] = r.c, r.v
+    rest_n, rest_v = total[0] - int(c.sum()), total[1] - len(words)
+    unknown = 0.1 / (rest_n + 0.1 * (rest_v + 1))
+    own = (before + weight * of_rest[0] / max(1, rest_n)) / (before.sum(1, keepdims=True) + weight) * (1 - unknown)
+    rest_transition = transition[:, classes, None] + np.log10(np.maximum(np.c_[own, np.full(k, unknown)], 1e-300))
+    return Model(index, c, class_of, transition, emission, total[0] + ends, total[1] + bool(ends), ends, rest_n, rest_v, rest_transition, of_rest), rest
 
-    def bigrams(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
-        index, symbols = sent.value
-        out, rest = np.zeros(size * size, np.int64), len(index)
+
+def _sequences(docs: DataFrame, index: dict[bytes, int]) -> DataFrame:
+    """Rows of many texts: ``ids`` of the words (the rest have the one after the last) and an end after each text, ``others``, hashes of the rest."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, rest = sent.value.get, len(sent.value)
         for batch in batches:
             for some in _some(texts(batch["text"])):
                 split = [space_words(t) for t in some]
-                s = symbols[np.array([rest, *(index.get(w, rest) for words in split for w in (*words, None))])]
-                s[np.cumsum([0, *(len(words) + 1 for words in split)])] = size - 1  # an end before each text and after it
-                out += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
+                words = [w for ws in split for w in (*ws, None)]
+                ids = np.array([get(w, rest) for w in words], np.int32)
+                ids[np.cumsum([len(ws) + 1 for ws in split]) - 1] = rest + 1
+                others = np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in np.flatnonzero(ids == rest).tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([others.tobytes()], pa.binary())], ["ids", "others"])
+
+    return docs.select("text").mapInArrow(run, "ids binary, others binary")
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for ids, others in zip(batch["ids"].to_pylist(), batch["others"].to_pylist(), strict=True):
+            yield np.frombuffer(ids, np.int32), np.frombuffer(others, np.int64)
+
+
+def _bigrams(seq: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Counts of the pairs of symbols; an end stands before each text."""
+    sent = seq.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(size * size, np.int64)
+        for ids, _ in _read(batches):
+            s = sent.value[np.r_[len(sent.value) - 1, ids]]
+            out += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         return out
 
-    a = block_sums(docs, size * size, bigrams).reshape(size, size)
-    of = exchange(a, clustered, classes)
-    k = int(of.max()) + 1
-    n = np.zeros((k, k))
-    np.add.at(n, (of[:, None], of[None, :]), a)
-    class_of = of[symbols]
-    share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * k)
-    transition = np.log10((n + weight * share) / (n.sum(1, keepdims=True) + weight))
-    in_class, kinds = np.bincount(class_of[:-2], c, k), np.bincount(class_of[:-2], minlength=k)
-    emission = np.log10((c + 0.1) / (in_class + 0.1 * kinds)[class_of[:-2]])
-    model = Model(index, c, class_of, transition, emission, total[0] + ends, total[1] + bool(ends), ends, total[0] - int(c.sum()), total[1] - len(words))
-    return model, counts.where(~is_frequent).select(F.xxhash64("word").alias("h"), "c")
+    return block_sums(seq, size * size, count).reshape(size, size)
+
+
+def _summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, in order, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    if not len(order):
+        return columns, np.zeros(0, np.int64)
+    start = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in columns], axis=0)])
+    return [x[start] for x in columns], np.add.reduceat(np.ones(len(order), np.int64) if counts is None else counts[order], start)
+
+
+def _table(seq: DataFrame, names: list[str], each: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], most: int = 4_000_000) -> DataFrame:
+    """The rows that ``each`` gives of a row's ids and others, equal ones of a task with their count ``c``."""
+
+    def rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        found, c = _summed([np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*found, c)], [*names, "c"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for ids, others in _read(batches):
+            held.append(each(ids, others))
+            n += len(held[-1][0])
+            if n > most:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return seq.mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "c")))
+
+
+def _neighbours(seq: DataFrame, of: np.ndarray, k: int, clustered: int, rare: bool) -> DataFrame:
+    """(h, x, c) of the words after the clustered ones, or of the rest: x is the class before, or k and the class after.
+
+    ``h`` is the id of a frequent word, the hash of a rare one.
+    """
+    sent = seq.sparkSession.sparkContext.broadcast(of)
+
+    def each(ids: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+        of = sent.value
+        rest = len(of) - 2
+        at = np.flatnonzero(ids == rest if rare else (ids >= clustered) & (ids < rest))
+        h = others if rare else ids[at]
+        s = of[np.r_[rest + 1, ids]]
+        return [np.r_[h, h], np.r_[s[at], k + s[at + 2]]]
+
+    return _table(seq, ["h", "x"], each)
+
+
+def _rare_pairs(seq: DataFrame, rest: int) -> DataFrame:
+    """(h, g, c) of the rare words g that follow rare words h."""
+
+    def each(ids: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+        i = np.flatnonzero(np.diff(np.flatnonzero(ids == rest)) == 1)
+        return [others[i], others[i + 1]]
+
+    return _table(seq, ["h", "g"], each)
+
+
+def best_classes(w: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, classes: int, old: np.ndarray | None = None) -> np.ndarray:
+    """The class of greatest exchange gain of each word, from the counts ``c`` of its neighbours' classes ``x``.
+
+    ``w`` numbers the words from 0 in order, one row for each (w, x). ``n`` are the
+    classes' bigrams; they hold the word's own ones in its class ``old``.
+    """
+    k = len(n)
+    m = np.r_[n[:, :classes], n[:classes].T]
+    start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-12))
+
+    many = np.bincount(w, np.where(x < k, c, 0))[:, None]
+    base, ins, outs = m[x], n[:, :classes].sum(0)[None].repeat(len(start), 0), n[:classes].sum(1)[None].repeat(len(start), 0)
+    if old is not None:
+        base[np.arange(len(w)), old[w]] -= c
+        ins[np.arange(len(start)), old] -= many[:, 0]
+        outs[np.arange(len(start)), old] -= many[:, 0]
+        base, ins, outs = (np.maximum(y, 0) for y in (base, ins, outs))
+    gain = np.add.reduceat(f(base + c[:, None]) - f(base), start, axis=0)
+    gain -= f(ins + many) - f(ins) + f(outs + many) - f(outs)
+    q, r = np.zeros((2, len(start), classes))
+    for y, some in ((q, x < classes), (r, (x >= k) & (x < k + classes))):
+        y[w[some], x[some] % k] = c[some]
+    i, j = np.nonzero((q > 0) & (r > 0))  # the cell of a class after itself takes both
+    both = n[j, j]
+    gain[i, j] += f(both + q[i, j] + r[i, j]) + f(both) - f(both + q[i, j]) - f(both + r[i, j])
+    return gain.argmax(1)
+
+
+def _dealt(found: DataFrame, n: np.ndarray, classes: int, old: np.ndarray | None = None, most: int = 50_000) -> DataFrame:
+    """(h, class) of each word of ``found(h, x, c)``, and without h the sums (class, x, c) over words."""
+    sent = found.sparkSession.sparkContext.broadcast((n.astype(float), old))
+
+    def judged(h: np.ndarray, x: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (h, x), c = _summed([h, x], c)
+        n, old = sent.value
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+        own = np.zeros(len(first), np.int64)
+        ends = np.r_[first, len(h)]
+        a = 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            i = slice(ends[a], ends[b])
+            own[a:b] = best_classes(word[i] - a, x[i], c[i], n, classes, None if old is None else old[h[first[a:b]]])
+            a = b
+        (of, at), sums = _summed([own[word], x], c)
+        none = pa.nulls(len(of), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], ["h", "class", "x", "c"])
+        yield pa.RecordBatch.from_arrays([none, pa.array(of), pa.array(at), pa.array(sums)], ["h", "class", "x", "c"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [batch[y].to_numpy() for y in ("h", "x", "c")]
+            if not len(new[0]):
+                continue
+            held = new if held is None else [np.r_[y, z] for y, z in zip(held, new, strict=True)]
+            at = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
+            if at >= most:
+                yield from judged(*(y[:at] for y in held))
+                held = [y[at:] for y in held]
+        if held:
+            yield from judged(*held)
+
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, class long, x long, c long")
 
 
 def _some(found: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
@@ -210,32 +402,52 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[Column], te
     """``keep`` columns with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*keep).alias("keep"), F.col(text).alias("text"))
+    k, unknown = len(model.transition), int(model.class_of[-2])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        base, (unknown, end), get = m.base(m.counts), m.class_of[-2:], m.index.get
+        base, end, get = m.base(m.counts), m.class_of[-1], m.index.get
         for batch in batches:
-            n, known, b, s, others = [], [], [], [], []
+            n, known, b, s, others, around = [], [], [], [], [], []
             for t in texts(batch["text"]):
                 words = space_words(t)
                 ids = np.array([get(w, -1) for w in words], np.int64)
                 there = ids[ids >= 0]
-                classes = np.where(ids >= 0, m.class_of[ids], unknown)
+                classes = np.r_[end, np.where(ids >= 0, m.class_of[ids], -1), end]
+                sure = np.flatnonzero((classes[:-1] >= 0) & (classes[1:] >= 0))
+                at = np.flatnonzero(ids < 0)
                 n.append(len(words) + 1)
                 known.append(len(there) + bool(m.ends))
                 b.append(base[there].sum() + m.base(m.ends))
-                s.append(m.emission[there].sum() + m.transition[np.r_[end, classes], np.r_[classes, end]].sum())
-                others.append(np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in np.flatnonzero(ids < 0).tolist()], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["keep"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64()), lists(others, pa.int64())], ["keep", "n", "known", "b", "s", "others"])
+                s.append(m.emission[there].sum() + m.transition[classes[sure], classes[sure + 1]].sum())
+                others.append(np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in at.tolist()], np.uint64).view(np.int64))
+                around.append((classes[at] + 1) * (k + 1) + classes[at + 2] + 1)  # 0 for a word that is not frequent
+            yield pa.RecordBatch.from_arrays([batch["keep"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64()), lists(others, pa.int64()), lists(around, pa.int32())], ["keep", "n", "known", "b", "s", "others", "around"])
 
     kinds = rows.schema["keep"].dataType.simpleString()
-    parts = cut(rows.mapInArrow(run, f"keep {kinds}, n long, known long, b double, s double, others array<long>")).withColumn("row", F.monotonically_increasing_id())
-    counts = rest.groupBy("h").agg(F.sum("c").alias("c"))
-    each = parts.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
+    parts = cut(rows.mapInArrow(run, f"keep {kinds}, n long, known long, b double, s double, others array<long>, around array<int>")).withColumn("row", F.monotonically_increasing_id())
+
+    def looked_up(values: np.ndarray, i: Column) -> Column:
+        return F.get(F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>"), i.cast("int"))
+
+    word = F.coalesce("class", F.lit(unknown))
     c = F.coalesce("c", F.lit(0))
-    more = each.groupBy("row").agg(F.count("c").alias("known2"), F.sum(F.log10(c + 0.1)).alias("logs"), F.count("*").alias("k"))
+    size = len(model.rest_transition[0])
+    before, after = F.floor(F.col("around") / (k + 1)) - 1, F.col("around") % (k + 1) - 1
+    logs = looked_up(np.log10(np.maximum(model.rest_emission[0] + 0.1 * model.rest_emission[1], 0.1)), F.col("class"))
+    own = F.when(F.col("class").isNotNull(), F.log10(c + 0.1) - logs).otherwise(0.0)
+    own += F.when(before >= 0, looked_up(model.rest_transition, before * size + word)).otherwise(0.0)
+    own += F.when(after >= 0, looked_up(model.transition, word * k + after)).otherwise(0.0)
+    each = parts.select("row", F.explode(F.arrays_zip("others", "around")).alias("x")).select("row", F.col("x.others").alias("h"), F.col("x.around").alias("around")).join(rest.select("h", "c", "class"), "h", "left")
+    each = each.select("row", F.when(F.col("c").isNotNull(), 1).alias("is_known"), F.log10(c + 0.1).alias("log"), own.alias("own"), F.lit(1).alias("one"))
+    # neighbours that are both not frequent: a class each by the same join
+    i = F.sequence(F.lit(1), F.size("others") - 1)
+    next_to = F.filter(i, lambda j: F.element_at("around", j) % (k + 1) == 0)
+    pairs = parts.where(F.size("others") > 1).select("row", F.explode(F.transform(next_to, lambda j: F.struct(F.element_at("others", j).alias("h"), F.element_at("others", j + 1).alias("g")))).alias("x")).select("row", "x.h", "x.g")
+    pairs = pairs.join(rest.select("h", F.col("class").alias("first")), "h", "left").join(rest.select(F.col("h").alias("g"), "class"), "g", "left")
+    pairs = pairs.select("row", F.lit(None).cast("int").alias("is_known"), F.lit(0.0).alias("log"), looked_up(model.rest_transition, F.coalesce("first", F.lit(unknown)) * size + word).alias("own"), F.lit(0).alias("one"))
+    more = each.union(pairs).groupBy("row").agg(F.count("is_known").alias("known2"), F.sum("log").alias("logs"), F.sum("own").alias("own"), F.sum("one").alias("k"))
     none = F.lit(0)
     base = F.col("b") + F.coalesce("logs", none) - F.coalesce("k", none) * float(np.log10(model.n + 0.1 * (model.v + 1)))
-    of_rest = float(np.log10(model.rest_n + 0.1 * (model.rest_v + 1)))
-    s = F.col("s") + F.coalesce("logs", none) - F.coalesce("k", none) * of_rest
+    s = F.col("s") + F.coalesce("own", none)
     return parts.join(more, "row", "left").select("keep.*", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("known2", none)).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), s.alias("score"))
