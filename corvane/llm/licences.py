@@ -9,6 +9,16 @@ accepted is set there too. An accepted prediction is confirmed if enough of one
 family's templates is found in the paragraph. Lines without a telling word have no
 feature and are ``unknown`` without being scored one by one.
 
+Notices that go over several lines, or name several families, are found by windows of
+about a template's length over the words of consecutive lines that are not blank. A
+window that holds enough of a template and that the classifier gives to its family (or,
+if to none, finds likeliest to be of it, given something that family alone has) is a confirmed finding at the line where it begins, unless a better one covers most of it.
+
+Notices that go over several lines, or name several families, are found by windows of
+about a template's length over the words of consecutive lines that are not blank. A
+window that holds enough of a template and that the classifier gives to its family (or,
+if to none, finds likeliest to be of it, given something that family alone has) is a confirmed finding at the line where it begins, unless a better one covers most of it.
+
 Defined results: null and empty texts have no findings; texts are scanned whole; rows
 are judged one by one; without corpus paragraphs the varied templates alone train.
 """
@@ -97,9 +107,98 @@ class Model:
         return CLASSES[i], float(p[i]), max(len(here & t) / len(t) for t in TEMPLATE_GRAMS[CLASSES[i]])
 
 
+    def among_known(self, words: list[bytes]) -> tuple[str, float, float] | None:
+        """As ``judge`` where the words are known to hold a template; None if nothing in them is that family's alone."""
+        p = self.chances(self.rows([words]))[0]
+        family, here = CLASSES[int(p[:-1].argmax())], grams(words)
+        if self.telling.isdisjoint(words) or here.isdisjoint(OWN_GRAMS[family]):
+            return None
+        return family, float(p[:-1].max() / p[:-1].sum()), max(len(here & t) / len(t) for t in TEMPLATE_GRAMS[family])
+
+
 TEMPLATE_GRAMS = {f: [grams(alnum_words(t.encode())) for t in notices] for f, notices in TEMPLATES.items()}
 
 
+#: Grams that one family's templates alone have.
+OWN_GRAMS = {f: set().union(*ts) - set().union(*(t for g, others in TEMPLATE_GRAMS.items() if g != f for t in others)) for f, ts in TEMPLATE_GRAMS.items()}
+#: The number of words of each template beside its grams.
+WINDOWS = [(f, len(alnum_words(t.encode())), g) for f, notices in TEMPLATES.items() for t, g in zip(notices, TEMPLATE_GRAMS[f], strict=True)]
+
+
+def _best_windows(words: list[bytes], size: int, template: set[tuple[bytes, ...]], least: float) -> list[tuple[float, int, int]]:
+    """(share, from, to) of the windows of ``size`` words that hold most of the template: one for each stretch over ``least``.
+
+    Words at its ends that add nothing are not counted in.
+    """
+    held: dict[tuple[bytes, ...], int] = {}
+    out, best = [], None
+    for end in range(1, len(words) + 1):
+        start = end - size
+        # the bigrams that begin at the word before the last are complete now
+        new = [tuple(words[end - 1 : end]), *([tuple(words[end - 2 : end])] if end > 1 and size > 1 else [])]
+        for g in new:
+            if g in template:
+                held[g] = held.get(g, 0) + 1
+        if start > 0:
+            for g in (tuple(words[start - 1 : start]), tuple(words[start - 1 : start + 1])):
+                if g in template:
+                    held[g] -= 1
+                    if not held[g]:
+                        del held[g]
+        share = len(held) / len(template)
+        if share >= least and (best is None or share > best[0]):
+            best = (share, max(0, start), end)
+        if best and (end == len(words) or start >= best[2] - 1 or share < least):
+            share, a, b = best
+            while len(grams(words[a + 1 : b]) & template) >= share * len(template) - 1e-9:
+                a += 1
+            while len(grams(words[a : b - 1]) & template) >= share * len(template) - 1e-9:
+                b -= 1
+            out.append((share, a, b))
+            best = None
+    return out
+
+
+#: Grams that one family's templates alone have.
+OWN_GRAMS = {f: set().union(*ts) - set().union(*(t for g, others in TEMPLATE_GRAMS.items() if g != f for t in others)) for f, ts in TEMPLATE_GRAMS.items()}
+#: The number of words of each template beside its grams.
+WINDOWS = [(f, len(alnum_words(t.encode())), g) for f, notices in TEMPLATES.items() for t, g in zip(notices, TEMPLATE_GRAMS[f], strict=True)]
+
+
+def _best_windows(words: list[bytes], size: int, template: set[tuple[bytes, ...]], least: float) -> list[tuple[float, int, int]]:
+    """(share, from, to) of the windows of ``size`` words that hold most of the template: one for each stretch over ``least``.
+
+    Words at its ends that add nothing are not counted in.
+    """
+    held: dict[tuple[bytes, ...], int] = {}
+    out, best = [], None
+    for end in range(1, len(words) + 1):
+        start = end - size
+        # the bigrams that begin at the word before the last are complete now
+        new = [tuple(words[end - 1 : end]), *([tuple(words[end - 2 : end])] if end > 1 and size > 1 else [])]
+        for g in new:
+            if g in template:
+                held[g] = held.get(g, 0) + 1
+        if start > 0:
+            for g in (tuple(words[start - 1 : start]), tuple(words[start - 1 : start + 1])):
+                if g in template:
+                    held[g] -= 1
+                    if not held[g]:
+                        del held[g]
+        share = len(held) / len(template)
+        if share >= least and (best is None or share > best[0]):
+            best = (share, max(0, start), end)
+        if best and (end == len(words) or start >= best[2] - 1 or share < least):
+            share, a, b = best
+            while len(grams(words[a + 1 : b]) & template) >= share * len(template) - 1e-9:
+                a += 1
+            while len(grams(words[a : b - 1]) & template) >= share * len(template) - 1e-9:
+                b -= 1
+            out.append((share, a, b))
+            best = None
+    return out
+
+
 def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -174,6 +273,80 @@ def train(paragraphs: list[list[bytes]], copies: int = 30, common: float = 0.01)
     return model
 
 
+def block_findings(model: Model, block: list[tuple[int, list[bytes]]], confirm: float) -> list[dict]:
+    """Findings in consecutive lines (number, words): of each line, then of windows over all words."""
+    telling = [i for i, (_, words) in enumerate(block) if not model.telling.isdisjoint(words)]
+    if not telling:
+        return []
+    words = [w for _, ws in block for w in ws]
+    starts = np.cumsum([0, *(len(ws) for _, ws in block)])
+    lines, taken = [], []
+
+    def finding(line: int, family: str, chance: float, share: float) -> dict:
+        return {"line": line, "family": family, "chance": chance, "share": share, "confirmed": share >= confirm}
+
+    for i in telling:
+        if said := model.judge(block[i][1]):
+            lines.append((i, finding(block[i][0], *said)))
+            if said[2] >= confirm:  # the words that say so; others of the line may tell of another family
+                cores = [c for f, n, t in WINDOWS if f == said[0] for c in _best_windows(block[i][1], n + max(2, n // 4), t, confirm)]
+                _, a, b = max(cores, default=(0, 0, len(block[i][1])))
+                taken.append((starts[i] + a, starts[i] + b))
+    here, candidates = grams(words), []
+    for family, n, t in WINDOWS:
+        if len(here & t) >= confirm * len(t):
+            candidates += [(share, b - a, family, a, b) for share, a, b in _best_windows(words, n + max(2, n // 4), t, confirm)]
+    more = []
+    for share, _, family, a, b in sorted(candidates, key=lambda c: (-c[0], -c[1], c[3], c[2])):
+        if any(2 * (min(b, y) - max(a, x)) > min(b - a, y - x) for x, y in taken):
+            continue
+        said = model.judge(words[a:b]) or model.among_known(words[a:b])
+        if said and said[0] == family:
+            taken.append((a, b))
+            i = int(np.searchsorted(starts, a, "right")) - 1
+            last = int(np.searchsorted(starts, b - 1, "right")) - 1
+            lines = [x for x in lines if x[1]["confirmed"] or x[1]["family"] != family or not i <= x[0] <= last]
+            more.append((i, finding(block[i][0], family, said[1], share)))
+    return [x for _, x in sorted(lines + more, key=lambda x: (x[0], x[1]["family"]))]
+
+
+def block_findings(model: Model, block: list[tuple[int, list[bytes]]], confirm: float) -> list[dict]:
+    """Findings in consecutive lines (number, words): of each line, then of windows over all words."""
+    telling = [i for i, (_, words) in enumerate(block) if not model.telling.isdisjoint(words)]
+    if not telling:
+        return []
+    words = [w for _, ws in block for w in ws]
+    starts = np.cumsum([0, *(len(ws) for _, ws in block)])
+    lines, taken = [], []
+
+    def finding(line: int, family: str, chance: float, share: float) -> dict:
+        return {"line": line, "family": family, "chance": chance, "share": share, "confirmed": share >= confirm}
+
+    for i in telling:
+        if said := model.judge(block[i][1]):
+            lines.append((i, finding(block[i][0], *said)))
+            if said[2] >= confirm:  # the words that say so; others of the line may tell of another family
+                cores = [c for f, n, t in WINDOWS if f == said[0] for c in _best_windows(block[i][1], n + max(2, n // 4), t, confirm)]
+                _, a, b = max(cores, default=(0, 0, len(block[i][1])))
+                taken.append((starts[i] + a, starts[i] + b))
+    here, candidates = grams(words), []
+    for family, n, t in WINDOWS:
+        if len(here & t) >= confirm * len(t):
+            candidates += [(share, b - a, family, a, b) for share, a, b in _best_windows(words, n + max(2, n // 4), t, confirm)]
+    more = []
+    for share, _, family, a, b in sorted(candidates, key=lambda c: (-c[0], -c[1], c[3], c[2])):
+        if any(2 * (min(b, y) - max(a, x)) > min(b - a, y - x) for x, y in taken):
+            continue
+        said = model.judge(words[a:b]) or model.among_known(words[a:b])
+        if said and said[0] == family:
+            taken.append((a, b))
+            i = int(np.searchsorted(starts, a, "right")) - 1
+            last = int(np.searchsorted(starts, b - 1, "right")) - 1
+            lines = [x for x in lines if x[1]["confirmed"] or x[1]["family"] != family or not i <= x[0] <= last]
+            more.append((i, finding(block[i][0], family, said[1], share)))
+    return [x for _, x in sorted(lines + more, key=lambda x: (x[0], x[1]["family"]))]
+
+
 def licence_findings(docs: DataFrame, model: Model, text: str = "text", found: str = "licences", confirm: float = 0.6) -> DataFrame:
     """Add ``found``: struct(line, family, chance, share, confirmed) of each paragraph of a known family."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -181,13 +354,16 @@ def licence_findings(docs: DataFrame, model: Model, text: str = "text", found: s
     kind = pa.list_(pa.struct(list(fields.items())))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        judge, telling, out = sent.value.judge, sent.value.telling, []
+        model, out = sent.value, []
         for t in texts(batch[text]):
-            own = []
-            for i, line in enumerate(t.split(b"\n")):
+            own, block = [], []
+            for i, line in enumerate((*t.split(b"\n"), b"")):
                 words = alnum_words(line)
-                if not telling.isdisjoint(words) and (said := judge(words)):
-                    own.append({"line": i, "family": said[0], "chance": said[1], "share": said[2], "confirmed": said[2] >= confirm})
+                if words:
+                    block.append((i, words))
+                elif block:
+                    own += block_findings(model, block, confirm)
+                    block = []
             out.append(own)
         return with_columns(batch, **{found: pa.array(out, kind)})
 
