@@ -3,9 +3,10 @@
 A paragraph is a line of a text. Its features are the word uni- and bigrams of the
 families' templates that hold a telling word; softmax regression over them gives one
 of the families or ``unknown``. It is trained on varied templates and on at most
-``most`` paragraphs of the corpus that resemble no template, calibrated by one
+``most`` paragraphs of the corpus that resemble no template, chosen evenly, calibrated by one
 temperature on samples that training did not see, and the chance from which a family is
-accepted is set there too. An accepted prediction is confirmed if enough of one of the
+accepted is set there too. Which words are telling is decided by counts over all lines of
+all documents that resemble no template. An accepted prediction is confirmed if enough of one of the
 family's templates is found in the paragraph. Lines without a telling word have no
 feature and are ``unknown`` without being scored one by one.
 
@@ -214,32 +215,60 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1e
     return w, b
 
 
-def corpus_paragraphs(docs: DataFrame, text: str = "text", most: int = 5_000) -> list[list[bytes]]:
-    """At most ``most`` lines of the documents: of each value of a hash the least."""
+#: Fixed: function words.
+SHORT = frozenset(b"the a an of in to and or is it this for by with are be that all any under".split())
+#: The templates' words that may tell a notice from other lines.
+TOLD = sorted({w for ts in TEMPLATE_GRAMS.values() for t in ts for (w, *rest) in t if not rest and w not in SHORT})
+
+
+def is_plain(words: list[bytes]) -> bool:
+    """The line resembles no template."""
+    here = grams(words)
+    return all(len(here & t) / len(t) < 0.3 for ts in TEMPLATE_GRAMS.values() for t in ts)
+
+
+@dataclass
+class Corpus:
+    paragraphs: list[list[bytes]]
+    plain: int  # lines of all documents that resemble no template, a document's equal ones once
+    df: dict[bytes, int]  # in how many of these each word of ``TOLD`` is
+
+
+def corpus(docs: DataFrame, text: str = "text", most: int = 5_000) -> Corpus:
+    """At most ``most`` lines of the documents, of each value of a hash the least by another one, and counts over all lines."""
+    number = {w: i for i, w in enumerate(TOLD)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, bytes] = {}
+        best: dict[int, tuple[int, bytes]] = {}
+        counts = np.zeros(len(TOLD) + 1, np.int64)
         for batch in batches:
             for t in texts(batch["text"]):
                 for line in set(t.split(b"\n")):
+                    words = alnum_words(line)
+                    here = number.keys() & set(words)
+                    if words and (not here or is_plain(words)):
+                        counts[-1] += 1
+                        for w in here:
+                            counts[number[w]] += 1
                     if line and len(line) <= 2000:
-                        h = xxhash.xxh64_intdigest(line) % most
-                        if h not in best or line < best[h]:
-                            best[h] = line
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.binary())], ["h", "line"])
+                        h, rank = xxhash.xxh64_intdigest(line) % most, xxhash.xxh64_intdigest(line, 1) >> 1
+                        if h not in best or (rank, line) < best[h]:
+                            best[h] = (rank, line)
+        h = [*best, *range(-1, -2 - len(TOLD), -1)]  # below 0 the counts
+        none = [None] * len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*(r for r, _ in best.values()), *none], pa.int64()), pa.array([*(x for _, x in best.values()), *none], pa.binary()), pa.array([*([0] * len(best)), *counts.tolist()], pa.int64())], ["h", "rank", "line", "c"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, line binary").groupBy("h").agg(F.min("line").alias("line")).collect()
-    return [alnum_words(bytes(r.line)) for r in sorted(rows, key=lambda r: r.h)]
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, rank long, line binary, c long").groupBy("h").agg(F.min_by("line", F.struct("rank", "line")).alias("line"), F.sum("c").alias("c")).collect()
+    counts = {-1 - r.h: r.c for r in rows if r.h < 0}
+    return Corpus([alnum_words(bytes(r.line)) for r in sorted(rows, key=lambda r: r.h) if r.h >= 0], counts.get(len(TOLD), 0), {w: counts.get(i, 0) for w, i in number.items()})
 
 
-def train(paragraphs: list[list[bytes]], copies: int = 30, common: float = 0.01) -> Model:
+def train(found: Corpus, copies: int = 30, common: float = 0.01) -> Model:
     """Fit on one half of the samples, calibrate on the other."""
-    plain = [p for p in paragraphs if max((len(grams(p) & t) / len(t) for ts in TEMPLATE_GRAMS.values() for t in ts), default=0) < 0.3]
+    plain = [p for p in found.paragraphs if is_plain(p)]
     filler = sorted({w for p in plain[:500] for w in p})
     every = {g for ts in TEMPLATE_GRAMS.values() for t in ts for g in t}
-    df = {w: sum(w in p for p in map(set, plain)) for (w, *rest) in every if not rest}
-    short = {b"the", b"a", b"an", b"of", b"in", b"to", b"and", b"or", b"is", b"it", b"this", b"for", b"by", b"with", b"are", b"be", b"that", b"all", b"any", b"under"}  # fixed: function words
-    telling = frozenset(w for w, n in df.items() if w not in short and n <= common * max(1, len(plain)))
+    telling = frozenset(w for w, n in found.df.items() if n <= common * max(1, found.plain))
     features = {g: i for i, g in enumerate(sorted(g for g in every if telling & set(g)))}
     model = Model(features, telling, np.zeros((len(features), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32))
     half = len(plain) // 2
@@ -378,4 +407,4 @@ def families(found: str = "licences") -> Column:
 
 
 def model(docs: DataFrame, text: str = "text", most: int = 5_000) -> Model:
-    return train(corpus_paragraphs(docs, text, most))
+    return train(corpus(docs, text, most))
