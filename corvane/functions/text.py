@@ -2,63 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def normalize_term(term: Column) -> Column:
-    """A prompt term as a tag: the order of the steps matters."""
-    steps = [
-        (r":[0-9]+(\.[0-9]+)?", ""),  # weights
-        (r"[\[\]{}()<>\\]", " "),
-        (r"^\s+|\s+$", ""),
-    ]
-    t = reduce(lambda c, s: F.regexp_replace(c, *s), steps, term)
-    steps = [(r"\s+", "_"), (r"[^a-z0-9_.'!?~@*-]", ""), (r"_+", "_"), (r"^[-~*@_]+", ""), (r"_+$", "")]
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.lower(t))
-
-
-def terms(text: Column, least: int = 2, most: int = 60) -> Column:
-    """Normalised terms in order, first appearance only, without numbers."""
-    found = F.transform(F.split(text, ","), normalize_term)
-    good = F.filter(found, lambda x: F.length(x).between(least, most) & ~x.rlike(r"^[0-9._]+$"))
-    return F.array_distinct(good)
-
-
-#: Redactions in the order in which they act, each on what the one before left.
-REDACTIONS = {
-    "mail": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"),
-    "url": (r"https?://[^ \t\r\n<>\"']+", "[url]"),
-    "address": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[address]"),
-    "phone": (r"\+[0-9][0-9 ()-]{7,}[0-9]", "[phone]"),
-}
-
-
-def scrubbed(text: Column) -> tuple[Column, dict[str, Column]]:
-    """The redacted text, and how often each redaction acted on what it saw."""
-    counts = {}
-    for kind, (pattern, mark) in REDACTIONS.items():
-        counts[kind] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, mark)
-    return text, counts
-
-
-def strength(text: Column) -> Column:
-    """How much a text looks like generation settings: strong, loose or none."""
-    strong = text.rlike(r"(?i)steps: *[0-9]+.*sampler:") | text.rlike(r"(?i)negative prompt:")
-    parts = F.filter(F.split(text, ","), lambda x: F.length(F.trim(x)) > 0)
-    short = (F.size(parts) >= 4) & F.forall(parts, lambda x: F.length(F.trim(x)) <= 40)
-    return F.when(strong, "strong").when(short, "loose").otherwise("none")
-
-
-def fold_name(name: Column, ident: Column) -> Column:
-    """A tag-safe name: as it is if legal, else folded with the id behind it, else null."""
-    folded = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), 1, 40)
-    return F.when(name.rlike(r"^[a-z0-9][a-z0-9_]{1,39}\z"), name).when(ident.isNotNull() & (folded != ""), F.concat_ws("_", folded, ident.cast("string"))).otherwise(F.when(ident.isNotNull(), F.concat(F.lit("user_"), ident.cast("string"))))
-
-
 def without_query(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "")
 

@@ -56,3 +56,24 @@ def first_of_each(df: DataFrame, key: str, order: list[str], most: int) -> DataF
 def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next page by key."""
     return df.where(F.col(key) > after).orderBy(key).limit(size)
+
+
+def until_failures(df: DataFrame, key: str, order: list[str], failed: Column, most: int) -> DataFrame:
+    """Rows of each key up to its ``most``-th failure in a row: ``sent``, and whether that came (``stopped``)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = df.withColumn("__failed", failed).withColumn("__island", F.count_if(~F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.when(F.col("__failed"), F.row_number().over(Window.partitionBy(key, "__island", "__failed").orderBy(*order)))
+    marked = marked.withColumn("__run", run).withColumn("__stop", F.count_if(F.coalesce(F.col("__run") >= most, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    sent = marked.where(F.coalesce(F.col("__stop"), F.lit(0)) == 0)
+    return sent.groupBy(key).agg(F.count("*").alias("sent"), F.bool_or(F.coalesce(F.col("__run") >= most, F.lit(False))).alias("stopped"))
+
+
+def armed(df: DataFrame, key: str, order: list[str], arms: Column, uses: Column, span: str) -> DataFrame:
+    """Events that may use what an earlier one of their key armed: ``session`` is consumed,
+    expired (the span passed), or none (not armed, or used since)."""
+    at = order[0]
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__uses", uses).withColumn("__armed", F.max(F.when(arms, F.col(at))).over(before)).withColumn("__used", F.max(F.when(uses, F.col(at))).over(before))
+    none = F.col("__armed").isNull() | F.coalesce(F.col("__used") >= F.col("__armed"), F.lit(False))
+    session = F.when(none, "none").when(F.col(at) - F.col("__armed") <= F.expr(span), "consumed").otherwise("expired")
+    return rows.where("__uses").withColumn("session", session).drop("__uses", "__armed", "__used")

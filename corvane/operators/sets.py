@@ -6,13 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def source_of(df: DataFrame, keys: list[str], side: str, left: str, right: str) -> DataFrame:
-    """Each key once, with where it comes from: both, or only one side. One exchange."""
+def source_of(df: DataFrame, keys: list[str], side: str, left: str, right: str, labels: list[str] | None = None, value: str | None = None) -> DataFrame:
+    """Each key once, with where it comes from: both, or only one side. One exchange.
+
+    A ``value`` among the public ``labels`` is never the left side's own.
+    """
     seen = df.groupBy(*keys).agg(F.bool_or(F.col(side) == left).alias("__l"), F.bool_or(F.col(side) == right).alias("__r"))
-    which = F.when(F.col("__l") & F.col("__r"), "both").when(F.col("__l"), f"{left}_only").when(F.col("__r"), f"{right}_only")
+    own = F.col("__l") if not labels else F.col("__l") & ~F.col(value).isin(labels)
+    which = F.when(F.col("__l") & F.col("__r"), "both").when(own, f"{left}_only").when(F.col("__r"), f"{right}_only")
     return seen.withColumn("part", which).where("part is not null").drop("__l", "__r")
 
 
+def provenance(creator: Column, auto: Column, meta: Column, labels: list[str]) -> Column:
+    """struct(both, auto_only, creator_only, spectrum) of two lists, in their orders; what is
+    only the creator's is in no public list, and a public label is never the creator's own."""
+    both = F.filter(auto, lambda x: F.array_contains(creator, x))
+    auto_only = F.filter(auto, lambda x: ~F.array_contains(creator, x))
+    creator_only = F.filter(kept(creator, labels), lambda x: ~F.array_contains(auto, x))
+    return F.struct(both.alias("both"), auto_only.alias("auto_only"), creator_only.alias("creator_only"), F.concat(auto_only, both, meta).alias("spectrum"))
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of exactly one side, with the side, in one exchange."""
     both = a.select(key, F.lit(1).alias("__s")).union(b.select(key, F.lit(2).alias("__s")))

@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as fx
 from corvane.operators import joins, permissions, rollup, sets, strikes
+from corvane.plans.registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _k(column: str = "props"):
@@ -50,13 +33,6 @@ def latest_wins(t):
     return rollup.latest(t("events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query("select event_type, count(*) n, count(*) filter (value >= 50) high, count(*) filter (value < 10) low, max(value) most, count(distinct user_id) users from events group by 1")
-def outcome_tally(t):
-    e = t("events")
-    counts = rollup.tally(e, ["event_type"], high=F.col("value") >= 50, low=F.col("value") < 10)
-    return counts.join(e.groupBy("event_type").agg(F.max("value").alias("most"), F.countDistinct("user_id").alias("users")), "event_type")
-
-
 @query("""select event_id, user_id, used, greatest(0, 20 - used) remaining from
 (select event_id, user_id, count(*) over (partition by user_id order by epoch_us(ts) // 1000 range between 86399999 preceding and current row) used from events)""")
 def rolling_budget(t):
@@ -78,15 +54,6 @@ def due_queue(t):
     return rollup.due(_outbox(t), "next_try_at", F.col("now"), ["next_try_at", "queued_at", "event_id"], 200).select("event_id", "attempts", "next_try_at")
 
 
-@query(f"""select *, case when depth = 0 then null when over_24h > 0 or depth >= 4000 then 'error' when over_1h > 0 then 'warning' else 'ok' end severity from
-(select cls, count(*) depth, count(*) filter (next_try_at is null or next_try_at <= now) due, count(*) filter (attempts = 0) never_tried, count(*) filter (now - queued_at > 3600000) over_1h,
-count(*) filter (now - queued_at > 86400000) over_24h, min((queued_at, event_id))[2] oldest from {OUTBOX} group by 1)""")
-def outbox_status(t):
-    age = F.col("now") - F.col("queued_at")
-    s = _outbox(t).groupBy("cls").agg(F.count("*").alias("depth"), F.count_if(F.coalesce(F.col("next_try_at") <= F.col("now"), F.lit(True))).alias("due"), F.count_if(F.col("attempts") == 0).alias("never_tried"), F.count_if(age > 3_600_000).alias("over_1h"), F.count_if(age > 86_400_000).alias("over_24h"), F.min(F.struct("queued_at", "event_id"))["event_id"].alias("oldest"))
-    return s.withColumn("severity", F.when(F.col("depth") == 0, None).when((F.col("over_24h") > 0) | (F.col("depth") >= 4000), "error").when(F.col("over_1h") > 0, "warning").otherwise("ok"))
-
-
 @query("""with p as (select min(doc_id) post, md5(text) raw, md5(lower(text)) folded from documents where lang = 'en' group by text),
 d as (select doc_id, md5(text) raw, md5(lower(text)) folded from documents),
 f as (select folded, min(post) post from p group by 1), r as (select raw, min(post) post from p group by 1)
@@ -100,22 +67,6 @@ def fallback_dedup(t):
     return joins.first_match(d, by, "post").select("doc_id", "post", "via")
 
 
-@query("""with w as (select distinct conv_id, role, x as word from (select conv_id, role, unnest(string_split_regex(lower(text), '[^a-z]+')) x from conversations where role in ('user', 'assistant')) where x <> ''),
-k as (select conv_id, word, bool_or(role = 'user') u, bool_or(role = 'assistant') a from w group by 1, 2)
-select conv_id, case when u and a then 'both' when u then 'user_only' else 'assistant_only' end part, count(*) n from k group by 1, 2""")
-def provenance_partition(t):
-    """Words of a conversation by who used them."""
-    words = t("conversations").select("conv_id", "role", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where("word <> ''")
-    return sets.source_of(words, ["conv_id", "word"], "role", "user", "assistant").groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-
-
-@query("""with a as (select distinct o_custkey k from orders where year(o_orderdate) = 1997), b as (select distinct o_custkey k from orders where year(o_orderdate) = 1998)
-select k o_custkey, 'left' change from a where k not in (select k from b) union all select k, 'joined' from b where k not in (select k from a)""")
-def affected_set(t):
-    of = lambda year: t("orders").where(F.year("o_orderdate") == year)
-    return sets.symmetric_difference(of(1997), of(1998), "o_custkey")
-
-
 @query("""select l_returnflag, count(*) n, sum(l_linenumber) lines from (select distinct l_orderkey, l_linenumber, l_returnflag from lineitem
 where l_partkey in (select p_partkey from part where p_size >= 48) or l_suppkey in (select s_suppkey from supplier where s_acctbal < 0)) group by 1""")
 def disjunctive_match(t):
@@ -146,84 +97,11 @@ def repoint_pairs(t):
     return joins.moved(t("lineitem"), _supplier_pairs(t), "l_suppkey", "old", "new", alive).groupBy("new", "status").agg(F.count("*").alias("n"))
 
 
-@query(f"select old, new, 'chain' reason from {PAIRS} where new in (select old from {PAIRS})")
-def faulty_pairs(t):
-    return joins.faulty_pairs(_supplier_pairs(t), "old", "new")
-
-
-@query("""select o_orderpriority, count(*) n, sum(case when c_nationkey in (select n_nationkey from nation where n_regionkey in (1, 2)) then 1 else 0 end) in_scope
-from orders join customer on o_custkey = c_custkey group by 1""")
-def semi_scope(t):
-    nations = t("nation").where(F.col("n_regionkey").isin(1, 2)).select(F.col("n_nationkey").alias("c_nationkey"))
-    scope = joins.in_scope(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), (nations, "c_nationkey"))
-    orders = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    inside = joins.in_scope(orders, (scope, "o_custkey")).withColumn("x", F.lit(1))
-    rest = orders.join(scope.select("o_custkey"), "o_custkey", "left_anti").withColumn("x", F.lit(0))
-    return inside.union(rest).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("x").alias("in_scope"))
-
-
 @query("select o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0) group by 1")
 def unseen_targets(t):
     return t("orders").select("o_custkey").distinct().join(t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
 
 
-@query("""select e.event_id, coalesce(try_cast(json_extract_string(props, '$.level') as bigint), try_cast(json_extract_string(props, '$.k') as bigint), 0) level
-from events e where user_id in (select user_id from events where event_type = 'purchase') and coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) < 50""")
-def power_levels(t):
-    """Level of each event of a buyer: its own, else the default, else 0."""
-    buyers = t("events").where("event_type = 'purchase'").select("user_id")
-    level = F.coalesce(F.get_json_object("props", "$.level").cast("long"), _k())
-    return joins.in_scope(t("events").where(_k() < 50), (buyers, "user_id")).select("event_id", level.alias("level"))
-
-
-@query(f"""with m as (select user_id, 1::bigint << ({K} % 60) mask, case event_type when 'click' then 'base' when 'view' then 'group' else 'member' end stage, case when value < 50 or event_type = 'click' then 'allow' else 'deny' end kind from events),
-s as (select user_id, coalesce(bit_or(mask) filter (stage = 'base'), 0) b, coalesce(bit_or(mask) filter (stage = 'group' and kind = 'deny'), 0) gd, coalesce(bit_or(mask) filter (stage = 'group' and kind = 'allow'), 0) ga,
-coalesce(bit_or(mask) filter (stage = 'member' and kind = 'deny'), 0) md, coalesce(bit_or(mask) filter (stage = 'member' and kind = 'allow'), 0) ma from m group by 1)
-select user_id, ((((b & ~gd) | ga) & ~md) | ma) permissions from s""")
-def permission_fold(t):
-    kind = F.when((F.col("value") < 50) | (F.col("event_type") == "click"), "allow").otherwise("deny")
-    stage = F.when(F.col("event_type") == "click", "base").when(F.col("event_type") == "view", "group").otherwise("member")
-    masks = t("events").select("user_id", F.call_function("shiftleft", F.lit(1).cast("long"), (_k() % 60).cast("int")).alias("mask"), stage.alias("stage"), kind.alias("kind"))
-    return permissions.folded(masks, "user_id", "mask", "stage", ["base", "group", "member"])
-
-
-@query("""select why, count(*) n, sum(n_chars) chars from (select n_chars, case when source = 'src0' then 'own' when source in ('src1', 'src2') then 'bot' when lang <> 'en' then 'extension' when n_chars > 5000 then 'size' else 'ok' end why from documents) group by 1""")
-def scope_classify(t):
-    why = F.when(F.col("source") == "src0", "own").when(F.col("source").isin("src1", "src2"), "bot").when(F.col("lang") != "en", "extension").when(F.col("n_chars") > 5000, "size").otherwise("ok")
-    return t("documents").groupBy(why.alias("why")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-
-
-@query("""with x as (select item_id, unnest(string_split(text, ',')) raw from benchmark),
-s as (select item_id, regexp_replace(regexp_replace(regexp_replace(raw, ':[0-9]+(\\.[0-9]+)?', '', 'g'), '[\\[\\]{}()<>\\\\]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') a from x),
-n as (select item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(a), '\\s+', '_', 'g'), '[^a-z0-9_.''!?~@*-]', '', 'g'), '_+', '_', 'g'), '^[-~*@_]+', '', 'g'), '_+$', '', 'g') term from s)
-select distinct item_id, term from n where length(term) between 2 and 60 and not regexp_full_match(term, '[0-9._]+')""")
-def term_tokens(t):
-    return t("benchmark").select("item_id", F.explode(fx.terms(F.col("text"))).alias("term"))
-
-
-@query("""select strength, count(*) n from (select case when regexp_matches(text, '(?i)steps: *[0-9]+.*sampler:') or regexp_matches(text, '(?i)negative prompt:') then 'strong'
-when len(list_filter(string_split(text, ','), lambda x: length(trim(x, ' ')) > 0)) >= 4 and len(list_filter(string_split(text, ','), lambda x: length(trim(x, ' ')) > 40)) = 0 then 'loose' else 'none' end strength from benchmark) group by 1""")
-def strength_levels(t):
-    return t("benchmark").groupBy(fx.strength(F.col("text")).alias("strength")).agg(F.count("*").alias("n"))
-
-
-_R = fx.REDACTIONS
-
-
-@query(f"""with a as (select doc_id, text t0 from documents), b as (select doc_id, t0, regexp_replace(t0, '{_R["mail"][0]}', '[mail]', 'g') t1 from a),
-c as (select doc_id, t0, t1, regexp_replace(t1, '{_R["url"][0].replace("'", "''")}', '[url]', 'g') t2 from b), d as (select *, regexp_replace(t2, '{_R["address"][0]}', '[address]', 'g') t3 from c), e as (select *, regexp_replace(t3, '{_R["phone"][0]}', '[phone]', 'g') t4 from d)
-select doc_id, len(regexp_extract_all(t0, '{_R["mail"][0]}')) mail, len(regexp_extract_all(t1, '{_R["url"][0].replace("'", "''")}')) url, len(regexp_extract_all(t2, '{_R["address"][0]}')) address, len(regexp_extract_all(t3, '{_R["phone"][0]}')) phone, md5(t4) digest from e""")
-def redact_counts(t):
-    clean, counts = fx.scrubbed(F.col("text"))
-    return t("documents").select("doc_id", *(c.cast("long").alias(k) for k, c in counts.items()), F.md5(clean).alias("digest"))
-
-
-@query("""select page_id, regexp_replace(url, '[?#].*$', '') plain, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) path, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]{1,8})$', 1)) extension from pages""")
-def url_parts(t):
-    plain = fx.without_query(F.col("url"))
-    return t("pages").select("page_id", plain.alias("plain"), fx.url_path(F.col("url")).alias("path"), fx.extension(plain).alias("extension"))
-
-
 @query("""with recursive e as (select user_id, epoch_us(ts) // 1000 // 600 as t, row_number() over (partition by user_id order by epoch_us(ts) // 1000 // 600, event_id) i, event_type from events where event_type in ('error', 'signup')),
 f(n, a, b) as (select 0, 0::bigint, 1::bigint union all select n + 1, b, a + b from f where n < 80),
 s(user_id, i, strikes, until, ignored) as (select user_id, 0::bigint, 0::bigint, 0::bigint, 0::bigint from e group by 1
@@ -249,18 +127,6 @@ def transitions(t):
     return e.groupBy(F.coalesce("previous", F.lit("none")).alias("previous"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("select (select count(distinct doc_id) from documents) complete, (select count(distinct doc_id) from labels) visible, (select count(distinct doc_id) from documents) - (select count(distinct doc_id) from labels) sealed")
-def sealed_gap(t):
-    count = lambda x, name: t(x).agg(F.count_distinct("doc_id").alias(name))
-    return count("documents", "complete").join(count("labels", "visible")).withColumn("sealed", F.col("complete") - F.col("visible"))
-
-
-@query("""select count(*) n, sum(case when k = 1 then 1 else 0 end) unique_texts, count(distinct lang) langs from (select text, lang, count(*) k from documents group by 1, 2)""")
-def distinct_repeats(t):
-    d = t("documents").groupBy(F.md5("text").alias("digest"), "lang").agg(F.count("*").alias("k"))
-    return d.agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).alias("unique_texts"), F.count_distinct("lang").alias("langs"))
-
-
 @query("""with a as (select c_custkey k, c_nationkey a, c_mktsegment b from customer), n as (select o_custkey k, max((o_orderkey, o_orderpriority))[2] p from orders group by 1)
 select case when a.k is null then 'insert' when a.b = case when p like '1%' then 'BUILDING' else a.b end then 'same' else 'update' end action, count(*) c from n left join a using (k) group by 1""")
 def upsert_no_op(t):
@@ -311,22 +177,6 @@ def schedule_table(t):
     return t("part").select(F.col("p_size").alias("n")).distinct().select("n", fx.backoff_ms(n).alias("backoff"), fx.duration(n * 7).alias("said"), fx.fibonacci_minutes(n).alias("fib"))
 
 
-@query("""select c_custkey, case when regexp_full_match(c_name, '[a-z0-9][a-z0-9_]{1,39}') then c_name else substr(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) || '_' || c_custkey end tag from customer""")
-def folded_names(t):
-    return t("customer").select("c_custkey", fx.fold_name(F.col("c_name"), F.col("c_custkey")).alias("tag"))
-
-
-@query("""select room, head, seen, case when head is null then 'initial' when gap then 'gap' when failed > 0 then 'retry' else 'skip' end plan from
-(select n_nationkey room, max(o_orderkey) head, count(o_orderkey) seen, count(*) filter (o_orderstatus = 'P') failed, coalesce(max(o_orderkey) - min(o_orderkey) > 10 * count(o_orderkey) * 25, false) gap from nation left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1)""")
-def walk_plan(t):
-    """What to do next in each partition, from its checkpoint."""
-    c = t("customer").select(F.col("c_nationkey").alias("room"), F.col("c_custkey").alias("o_custkey"))
-    s = t("nation").select(F.col("n_nationkey").alias("room")).join(c, "room", "left").join(t("orders"), "o_custkey", "left")
-    o = F.col("o_orderkey")
-    s = s.groupBy("room").agg(F.max(o).alias("head"), F.count(o).alias("seen"), F.count_if(F.col("o_orderstatus") == "P").alias("failed"), F.coalesce(F.max(o) - F.min(o) > 10 * F.count(o) * 25, F.lit(False)).alias("gap"))
-    return s.select("room", "head", "seen", F.when(F.col("head").isNull(), "initial").when(F.col("gap"), "gap").when(F.col("failed") > 0, "retry").otherwise("skip").alias("plan"))
-
-
 @query("""with g as (select user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id) gap from events) select user_id, count(*) filter (gap > 43200000) lost, max(gap) longest from g group by 1""")
 def heartbeat_gaps(t):
     e = t("events").select("user_id", "ts", "event_id", fx.epoch_ms(F.col("ts")).alias("at"))
@@ -334,8 +184,3 @@ def heartbeat_gaps(t):
     return g.groupBy("user_id").agg(F.count_if(F.col("gap") > 43_200_000).alias("lost"), F.max("gap").alias("longest"))
 
 
-@query("""with l as (select doc_id, i, x from (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents))
-select doc_id, count(*) lines, count(*) filter (regexp_matches(x, '[0-9]+ (tests|files|lines|words)')) claims, count(*) filter (x = '') blank from l group by 1""")
-def count_claims(t):
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
-    return rollup.tally(lines, ["doc_id"], claims=F.col("x").rlike("[0-9]+ (tests|files|lines|words)"), blank=F.col("x") == "").withColumnRenamed("n", "lines")

@@ -26,3 +26,18 @@ def read_log(spark: SparkSession, path: str, schema: StructType, bad: str = "fai
         raise ValueError(f"no such policy: {bad}")
     # a query on the bad column alone is refused by Spark, one that names others too is not
     return rows.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def read_state(spark: SparkSession, path: str, schema: StructType, corrupt: str = "fail") -> DataFrame:
+    """A keyed state of JSON lines: no rows before its first write, and never none for a corrupt one
+    unless ``corrupt`` says skip."""
+    from corvane.sources.sinks import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return read_log(spark, path, schema, corrupt)
+
+
+def since(log: DataFrame, at: str, cutoff) -> DataFrame:
+    """Rows strictly after the cutoff."""
+    return log.where(F.col(at) > cutoff)

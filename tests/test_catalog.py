@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from corvane.plans import catalog
+from corvane.plans import catalog, changes, reads, registry, states, texts  # noqa: F401 (each registers its queries)
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,14 +36,18 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the synthetic tables are not there")
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    found = duck.execute(catalog.ORACLE_SQL[name])
+    df = registry.QUERIES[name](spark, DATA)
+    found = duck.execute(registry.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
+#: Queries whose patterns look around, which DuckDB's cannot.
+WITHOUT_SQL = {"redact_counts"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == WITHOUT_SQL
