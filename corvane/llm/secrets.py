@@ -2,11 +2,16 @@
 
 Base kinds are regular expressions. Beside them, two first-order character Markov
 models, of random strings and of ordinary identifiers, are compared by their
-log-likelihood ratio on every long token; a token that looks random and overlaps
-no base span is added as kind ``random``.
+log-likelihood ratio on every long token; a token that looks random and does not lie
+within a base span is added as kind ``random``. Both models are trained from labelled
+samples: digests in several alphabets, and long words of all documents, alone and put
+together as identifiers are. Words are chosen by hashes, so the choice is even over
+the words at any size of the corpus.
 
 Defined results: null texts count as empty; empty texts have no spans; texts are
-scanned whole; rows are judged one by one. Positions are code points, end exclusive.
+scanned whole; rows are judged one by one, so repeated rows repeat their spans; an
+empty table gives an empty one. Positions are code points, end exclusive. The columns
+``base`` and ``spans`` replace ones of these names; give others to keep those.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ BASE = {
     "access": r"AKIA[A-Z0-9]{12,}",
     "hex": r"[0-9a-f]{32,}",
 }
-#: Tokens that the models judge: long, with a letter and a digit, and not cut from a longer run.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
-#: Words that may serve as samples of ordinary identifiers.
-WORD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z0-9_-]{11,}+(?![+/=.])"
+#: Tokens that the models judge: long, with a letter and a digit or with letters of both cases inside, not cut from a longer run.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?:(?=[A-Za-z+/_=-]*[0-9])|(?=[A-Za-z+/_=-]*?[a-z][A-Z]))[A-Za-z0-9+/_=-]{16,}+"
+#: Words that may serve as samples: long, in small letters but for the first, so that no random string of several kinds is among them.
+WORD = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z][a-z]{11,}+(?![A-Za-z0-9+/_=-])"
 KINDS = (*BASE, "random")
 CODES = 128
 
@@ -91,20 +96,37 @@ def train(samples: DataFrame, weight: float = 5.0, symbols: int = 66) -> list[fl
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", ordinary: int = 20_000, drawn: int = 4_000) -> DataFrame:
-    """Samples (token, random): at most ``ordinary`` long words of the documents that no
-    base kind matches (one for each value of a hash), and ``drawn`` digests, each as
-    base 64 and as hexadecimal digits."""
+    """Samples (token, random).
+
+    Ordinary ones are at most ``ordinary`` long words of the documents that no base kind
+    matches, of each value of a hash the one with the least second hash, and as many
+    identifiers of seven styles, put together from neighbours among them. Random ones are
+    ``drawn`` digests, each in four alphabets.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("token"))
-    words = words.where(~F.col("token").rlike("|".join(BASE.values()))).groupBy(F.pmod(F.xxhash64("token"), F.lit(ordinary))).agg(F.min("token").alias("token")).select("token", F.lit(False).alias("random"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(ordinary)).alias("bucket")
+    words = words.where(~F.col("token").rlike("|".join(BASE.values()))).groupBy(bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), "token").alias("hash"), "token"))["token"].alias("token"))
+    # at most ``ordinary`` rows, each with the one of the next bucket
+    other = words.select(F.pmod(F.col("bucket") - 1, F.lit(ordinary)).alias("bucket"), F.regexp_replace("token", "[^A-Za-z]", "").alias("p"))
+    both = words.select("bucket", F.regexp_replace("token", "[^A-Za-z]", "").alias("w")).join(other, "bucket")
+    w, p, n = F.substring("w", 1, 7), F.substring("p", 1, 8), F.col("bucket")
+    number, third = F.when(n % 3 == 0, "").otherwise((n % 37).cast("string")), F.initcap(F.substring("w", 8, 7))
+    styles = F.array(
+        F.concat_ws("_", F.lower(w), F.lower(p), (n % 100).cast("string")), F.concat(F.initcap(w), F.initcap(p), third, number), F.concat(F.lower(w), F.initcap(p), third, number),
+        F.concat_ws("-", F.lower(w), F.lower(p), (2000 + n % 40).cast("string")), F.concat_ws("_", F.upper(w), F.upper(p), (n % 9).cast("string")), F.concat_ws("/", F.lower(w), F.lower(p), F.lower(third), F.concat(F.lit("v"), (n % 9).cast("string"))), F.concat_ws("=", F.lower(w), F.concat(F.lower(p), number)),
+    )
+    made = both.select(F.get(styles, (n % 7).cast("int")).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    strings = docs.sparkSession.range(drawn).select(F.explode(F.array(F.regexp_replace(F.base64(F.unhex(digest)), r"\s|=", ""), F.substring(digest, 1, 40))).alias("token"), F.lit(True).alias("random"))
-    return words.union(strings)
+    coded = F.regexp_replace(F.base64(F.unhex(digest)), r"\s|=", "")
+    plain = F.regexp_replace(coded, "[+/]", "")
+    strings = docs.sparkSession.range(drawn).select(F.explode(F.array(coded, F.substring(digest, 1, 40), F.lower(plain), F.upper(plain))).alias("token"), F.lit(True).alias("random"))
+    return words.select("token").union(made).select("token", F.lit(False).alias("random")).union(strings)
 
 
-def secret_spans(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 0.5, base: str = "base", spans: str = "spans") -> DataFrame:
+def secret_spans(docs: DataFrame, ratios: list[float], text: str = "text", least: float = 0.8, base: str = "base", spans: str = "spans") -> DataFrame:
     """Add ``base`` and ``spans``, arrays of struct(kind, from, to) by start, then kind.
 
-    ``spans`` has the base spans and each further token whose log-likelihood ratio is
+    ``spans`` has the base spans and each token beyond them whose log-likelihood ratio is
     over ``least`` for each transition. ``kind`` counts in ``KINDS``.
     """
     llr = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
@@ -115,7 +137,7 @@ def secret_spans(docs: DataFrame, ratios: list[float], text: str = "text", least
 
     t, more = F.coalesce(F.col(text), F.lit("")), f"{OWN}random"
     out = docs.withColumn(base, base_spans(t)).withColumn(more, _found(t, TOKEN, "random", looks_random))
-    apart = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["from"] < s["to"]) & (s["from"] < b["to"])))
+    apart = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["from"] <= s["from"]) & (s["to"] <= b["to"])))
     return out.withColumn(spans, F.when(F.size(more) > 0, _ordered(F.concat(base, apart))).otherwise(F.col(base))).drop(more)
 
 
