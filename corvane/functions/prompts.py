@@ -197,3 +197,32 @@ def demirrored(text: Column) -> Column:
         return F.array_join(F.transform(half(parity), lambda i: F.substr(t, i, F.lit(1))), "")
 
     return F.regexp_replace(F.when(empty(1), others(0)).when(empty(0), others(1)).otherwise(t), r"\x00+\z", "")
+
+
+def shape(text: Column) -> Column:
+    """What an unlabelled text is: ``prompt`` for a graph of nodes (bare, labelled or nested),
+    ``Comment`` for JSON with a prompt text, ``parameters`` for any other text, null for none or another label."""
+    t = F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    label = F.regexp_extract(t, r"^([A-Za-z0-9_.-]{1,64}):\s*[\[{]", 1)
+    graph = t.startswith("{") & F.try_parse_json(t).isNotNull() & t.contains('"class_type"')
+    nested = F.get_json_object(t, "$.prompt")
+    said = t.startswith("{") & nested.isNotNull() & ~nested.startswith("{")
+    return F.when(F.coalesce(t, F.lit("")) == "", None).when(label == "prompt", "prompt").when(label != "", None).when(graph, "prompt").when(said, "Comment").otherwise("parameters")
+
+
+def chunks_of(fields: Column) -> Column:
+    """Text chunks by keyword from a map of removed fields.
+
+    A PNG's own keywords come first (a ``prompt`` that is no JSON is settings text), then
+    EXIF texts by their ``shape``; a labelled line counts only where there is neither.
+    """
+    png = {k: F.element_at(fields, F.lit(f"png:{k}")) for k in ("parameters", "prompt", "Comment", "Description")}
+    bare = png["prompt"].isNotNull() & ~F.coalesce(F.trim(png["prompt"]).startswith("{"), F.lit(False))
+    png["parameters"] = F.coalesce(png["parameters"], F.when(bare, png["prompt"]))
+    png["prompt"] = F.when(~bare, png["prompt"])
+    exif = [F.element_at(fields, F.lit(f"exif:{k}")) for k in ("UserComment", "ImageDescription")]
+    out = {k: F.coalesce(c, *(F.when(shape(x) == k, F.regexp_replace(x, r"^prompt:\s*", "")) for x in exif)) for k, c in png.items()}
+    line = F.regexp_extract(F.array_join(F.map_values(fields), "\n"), r"(?i)(?:^|\n)\s*Include in Image:[ \t]*([^\n<&]*)", 1)
+    none = F.coalesce(*out.values()).isNull()
+    out["parameters"] = F.coalesce(out["parameters"], F.when(none & (F.trim(line) != ""), F.trim(line)))
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, out)), F.array(*out.values())), lambda k, v: v.isNotNull())

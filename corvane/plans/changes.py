@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import joins, writes
+from corvane.functions import names
+from corvane.operators import joins, rollup, writes
 from corvane.plans.registry import query
 
 
@@ -145,3 +146,34 @@ def faulty_pairs(t):
     return joins.faulty_pairs(pairs, "old", "new")
 
 
+
+
+@query("""select doc_id, case when ext not in ('.png', '.jpg') then 'not an image' when n_chars > 12000 then 'too large' when kind not in (0, 5) then 'no text channel' end as refused from (select doc_id, n_chars, case doc_id % 5 when 0 then '.gif' when 1 then '' else '.png' end ext, doc_id % 3 * 5 as kind from documents)""")
+def accepted_rows(t):
+    """What a deliverer accepts: extension, size and channel kind, the first reason against it."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("f"), F.when(i % 5 == 0, ".GIF").when(i % 5 == 1, "").otherwise(".PNG"))
+    ext = names.extension_of(name)
+    refused = F.when(~ext.isin(".png", ".jpg"), "not an image").when(F.col("n_chars") > 12_000, "too large").when(~(i % 3 * 5).isin(0, 5), "no text channel")
+    return t("documents").select("doc_id", refused.alias("refused"))
+
+
+@query("""with h as (select user_id, event_type, max(event_id) as last from events group by 1, 2), r as (select *, row_number() over (order by last desc) r from h) select user_id, event_type, last from r where r <= 40""")
+def held_rows(t):
+    """Held writes, one for a key, the newest 40: the oldest are let go."""
+    held = rollup.latest(t("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
+    return held.orderBy(F.desc("event_id")).limit(40).select("user_id", "event_type", F.col("event_id").alias("last"))
+
+
+@query("""select k, max(n) as n, string_agg(distinct w, '' order by w) writers from (select user_id k, count(*) n, 'a' w from events where event_type in ('click', 'view') group by 1 union all select user_id, count(*), 'b' from events where event_type in ('view', 'error') group by 1) group by 1""")
+def merged_writers(t):
+    """States of two writers of one outbox: the union of their keys, the further count of each."""
+    of = lambda w, *kinds: t("events").where(F.col("event_type").isin(*kinds)).groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("n")).withColumn("w", F.lit(w))
+    both = of("a", "click", "view").union(of("b", "view", "error"))
+    return both.groupBy("k").agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_set("w")), "").alias("writers"))
+
+
+@query("""select doc_id, md5(text) hex, to_base64(unhex(md5(text))) coded from documents""")
+def digests(t):
+    """The digest of a text as hexadecimal digits and as base 64."""
+    return t("documents").select("doc_id", F.md5("text").alias("hex"), F.base64(F.unhex(F.md5("text"))).alias("coded"))

@@ -93,6 +93,28 @@ def prompt_sources(t):
     return t("documents").where(~text.rlike(r"[^\x20-\x7E]")).select("doc_id", F.md5(prompts.raw_prompt(chunks)).alias("digest"))
 
 
+@query("""select event_id, case event_id % 6 when 0 then 'parameters' when 1 then 'prompt' when 2 then 'parameters' when 3 then 'Comment' when 4 then 'prompt' else 'parameters' end as keys, case event_id % 6 when 5 then 'a red boat' when 0 then event_type when 2 then event_type else '' end as said from events""")
+def routed_fields(t):
+    """Removed fields to text chunks: keywords first, then the shape of unlabelled texts, then a labelled line."""
+    kind, i = F.col("event_type"), F.col("event_id") % 6
+    graph = F.concat(F.lit('{"1": {"class_type": "'), kind, F.lit('"}}'))
+    name = F.element_at(F.array(*map(F.lit, ("png:parameters", "png:prompt", "png:prompt", "exif:UserComment", "exif:ImageDescription", "iptc:caption"))), (i + 1).cast("int"))
+    value = F.when(i == 1, graph).when(i == 3, F.to_json(F.struct(kind.alias("prompt")))).when(i == 4, F.concat(F.lit("prompt: "), graph)).when(i == 5, F.lit("Title\nInclude in Image: a red boat\nmore")).otherwise(kind)
+    chunks = prompts.chunks_of(F.create_map(name, value))
+    said = F.when(i.isin(0, 2, 5), F.element_at(chunks, "parameters")).otherwise("")
+    return t("events").select("event_id", F.array_join(F.map_keys(chunks), ",").alias("keys"), said.alias("said"))
+
+
+@query("""select doc_id, md5(substr(text, 1, 200)) digest, md5(substr(text, 1, 30)) mirrored from documents where not regexp_matches(substr(text, 1, 200), '[^A-Za-z ,\n]')""")
+def repaired_texts(t):
+    """Entities written out and read back, and a text of which every other character was zero."""
+    d = t("documents").where(~F.substring("text", 1, 200).rlike("[^A-Za-z ,\n]"))
+    head = F.substring("text", 1, 200)
+    written = F.replace(F.replace(head, F.lit("a"), F.lit("&#97;")), F.lit(","), F.lit("&#x2C;"))
+    dotted = F.concat(F.lit("UNICODE.."), F.regexp_replace(F.substring("text", 1, 30), "(?s)(.)", "$1."))
+    return d.select("doc_id", F.md5(prompts.xml_unescaped(written)).alias("digest"), F.md5(prompts.demirrored(dotted)).alias("mirrored"))
+
+
 @query()
 def redact_counts(t):
     """Addresses and agents that each text loses; look-around patterns, so no SQL."""
