@@ -6,7 +6,9 @@ Texts are split by the pre-token pattern first and each pre-token is encoded
 alone. Decoding maps ids to pieces and characters back to bytes.
 
 Null texts count as empty, empty texts have no ids; texts are taken whole,
-whatever their length. Each input row gives one output row, repeated rows too.
+whatever their length. Each input row gives one output row, repeated rows too; an empty
+table gives an empty one. Further columns stay as they are; one that has the name of a
+new column is an error.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lists, map_arrow, slices, texts, with_columns
+from corvane.llm.common import lists, map_arrow, pieces, slices, tidy, with_columns
 
 #: Byte b is written as the character 256 + b, which is never white space.
 FIRST = 0x100
@@ -124,6 +127,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.chars = 0
+
     def encode(self, some: list[str]) -> list[np.ndarray]:
         """Ids of a few texts; new pre-tokens of all of them go to the model at once."""
         found = [self.split[0 if t.isascii() else 2 if self.high.search(t) else 1].findall(t) for t in some]
@@ -141,8 +148,7 @@ class Encoder:
             self.chars += sum(map(len, new))
         out = [np.frombuffer(b"".join(map(known.__getitem__, f)), "<i4") for f in found]
         if len(known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            known.clear()
-            self.chars = 0
+            self.forget()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -172,26 +178,39 @@ class ByteBpe:
         return get
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
-        """Add ``ids`` array<int>; a column of that name must not exist."""
-        worker, keep = self._worker(), df.columns
+        """Add ``ids`` array<int>; a column of that name is an error."""
+        return self._mapped(df, text, ids, None)
 
-        def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            encode = worker().encode
-            found: list[np.ndarray] = []
-            some: list[str] = []
-            size = 0
-            for t in texts(batch[text]):
-                some.append(t.decode("utf-8", "replace"))
-                if (size := size + len(some[-1])) >= TOGETHER:
-                    found += encode(some)
-                    some, size = [], 0
-            found += encode(some)
-            return with_columns(batch, **{ids: lists(found, pa.int32())})
-
-        return map_arrow(df.select(*(F.col(f"`{c}`") for c in keep)), per_batch, _schema(df, f"`{ids}` array<int>"))
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """``encode``, then ``decode`` of its ids, in one Python worker for each task in place of two."""
+        return self._mapped(df, text, ids, decoded)
+
+    def _mapped(self, df: DataFrame, text: str, ids: str, decoded: str | None) -> DataFrame:
+        worker = self._worker()
+        for c in (ids, decoded):
+            if c and c.lower() in map(str.lower, df.columns):
+                raise ValueError(f"there is a column {c} already; give another name")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = worker()
+            try:
+                for batch in batches:
+                    for part, some in pieces(batch, text, TOGETHER):
+                        found = encoder.encode([t.decode("utf-8", "replace") for t in some])
+                        new = {ids: lists(found, pa.int32())}
+                        if decoded:
+                            new[decoded] = pa.array([encoder.decode(x) for x in found], pa.binary())
+                        yield with_columns(part, **new)
+            finally:  # a reused Python worker keeps the model only
+                encoder.forget()
+
+        more = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
+        return df.select(*(F.col(f"`{c}`") for c in df.columns)).mapInArrow(tidy(run), _schema(df, more))
 
     def decode(self, df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-        """Add ``decoded`` binary, the bytes that the ids stand for; null ids give no bytes."""
+        """Add ``decoded`` binary, the bytes that the ids stand for; null ids give no bytes. A column of that name is an error."""
+        if decoded.lower() in map(str.lower, df.columns):
+            raise ValueError(f"there is a column {decoded} already; give another name")
         worker = self._worker()
 
         def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

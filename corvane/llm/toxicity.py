@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import OWN, WordHashes, alnum_words, cut, lists, map_arrow, mix, texts, with_columns
+from corvane.llm.common import ALNUM, OWN, alnum_words, cut, hashed_words, lists, map_arrow, mix, pieces, texts, tidy, with_columns
 from corvane.llm.sample import bounded
 
 
@@ -101,15 +101,20 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, grades: int = 3, least_df: int = 8, least_z: float = 4.5, least_odds: float = 8.0, features: int = 2_000) -> Ordinal:
-    """Fit on at most ``most`` labelled rows; the words are chosen by counts over those rows."""
+    """Fit on at most ``most`` labelled rows; the words are chosen by counts over those rows.
+
+    Of rows that share one of four minima of word-pair hashes with an earlier one (near
+    copies mostly) only the earlier trains. A feature is in ``least_df`` of the rows at
+    least, and the ``features`` most telling ones count; words over 64 bytes make none.
+    """
     spark = docs.sparkSession
     chosen = bounded(labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y is not null"), "id", most)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most ``most`` small rows
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, marks = WordHashes(), []
+        marks = []
         for t in texts(batch["text"]):
-            h = hashes.of(alnum_words(t))
+            h, _ = hashed_words([t], ALNUM)
             pairs = mix(h[1:] + mix(h[:-1])) if len(h) > 1 else h
             marks.append(np.array([mix(pairs ^ np.uint64(s)).min() for s in (1, 2, 3, 4)] if len(pairs) else [], np.uint64).view(np.int64))
         return with_columns(batch, marks=lists(marks, pa.int64()))
@@ -128,18 +133,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def rows() -> pa.RecordBatch:
+            words = list(found[0] | found[1])
+            counts = [pa.array([f[w] for w in words], pa.int64()) for f in found]
+            for f in found:
+                f.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *counts], ["word", "clean", "toxic"])
+
         for batch in batches:
-            for i, t in zip(batch["id"].to_pylist(), texts(batch["text"]), strict=True):
-                if i in only.value:
-                    found[only.value[i]].update({f for w in set(alnum_words(t)) if len(w) <= 64 for f in features_of(w)})
-        if words := list(found[0] | found[1]):
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([found[0][w] for w in words], pa.int64()), pa.array([found[1][w] for w in words], pa.int64())], ["word", "clean", "toxic"])
+            for part, some in pieces(batch, "text"):
+                for i, t in zip(part["id"].to_pylist(), some, strict=True):
+                    if i in only.value:
+                        found[only.value[i]].update({f for w in set(alnum_words(t)) if len(w) <= 64 for f in features_of(w)})
+                    if len(found[0]) + len(found[1]) > 200_000:
+                        yield rows()
+        if found[0] or found[1]:
+            yield rows()
 
     toxic = sum(classes.values())
     clean = len(classes) - toxic
     share = F.col("df") / (toxic + clean)
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
-    counts = rows.select("id", "text").mapInArrow(counted, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("df", F.col("clean") + F.col("toxic"))
+    counts = rows.select("id", "text").mapInArrow(tidy(counted), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("df", F.col("clean") + F.col("toxic"))
     best = counts.where(F.col("df") >= least_df).withColumn("z", z).where((F.col("z") >= least_z) & (F.col("toxic") * clean > least_odds * F.col("clean") * toxic)).orderBy(F.desc("z"), "word").limit(features).collect()
     names = {bytes(r.word): i for i, r in enumerate(best)}
     telling = {bytes(r.word) for r in best if r.toxic * clean > 20 * r.clean * toxic}
@@ -162,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch["id"].type), pa.array(shares, pa.float64()), lists(at, pa.int32()), lists(values, pa.float64())], ["id", "share", "at", "value"])
 
-    data = rows.select("id", "text").mapInArrow(sparse, f"id {docs.schema[doc_id].dataType.simpleString()}, share double, at array<int>, value array<double>").dropDuplicates(["id"]).collect()
+    data = rows.select("id", "text").mapInArrow(tidy(sparse), f"id {docs.schema[doc_id].dataType.simpleString()}, share double, at array<int>, value array<double>").dropDuplicates(["id"]).collect()
     data.sort(key=lambda r: r.id)
     y = np.array([classes[r.id] for r in data])
     shares = np.array([r.share for r in data])
@@ -187,9 +203,13 @@ def _cut(margins: np.ndarray, toxic: np.ndarray, threshold: float, false_costs:
 
 
 def severity(docs: DataFrame, model: Ordinal, text: str = "text", prefix: str = "") -> DataFrame:
-    """Add ``severity`` (the expected grade), ``p_toxic`` (of any grade over 0) and ``grade`` (the likeliest)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """Add ``severity`` (the expected grade), ``p_toxic`` (of any grade over 0) and ``grade`` (the likeliest).
+
+    Columns of these names are replaced; ``prefix`` gives the new ones others.
+    """
     names = [f"{prefix}{c}" for c in ("severity", "p_toxic", "grade")]
+    docs = docs.drop(*names)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value

@@ -1,5 +1,7 @@
 import hashlib
+import pathlib
 import re
+import time
 
 import pytest
 from odd import documents, empty
@@ -83,6 +85,28 @@ def test_odd_items_and_texts_in_one_block_and_in_many(spark, block_bytes):
         assert r.n_hit == 2 and sum(b - a for a, b in zip(r.found_hit_from, r.found_hit_to, strict=True)) == hit
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20_000])
+def test_texts_of_one_repeated_word(spark, block_bytes):
+    """20,000 times a word in an item and in a text: work in proportion to the words."""
+    items = [(1, "ha " * 20_000), (2, "ho " * 500), (3, "ha ho " * 300)]
+    texts = ["ha " * 20_000, "ho ha " * 5_000 + "he " + "ho " * 5_000, "ha " * 12 + "he"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert [(r.n_words, r.n_hit, r.items) for r in rows] == [(20_000, 20_000, ["1"]), (15_001, 15_000, ["2", "3"]), (13, 0, [])]
+
+
+def test_blocks_write_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "alpha beta gamma delta " * 2_000) for i in range(20)], "doc_id long, text string")
+    folder = spark.sparkContext.getCheckpointDir()
+    before = sum(f.stat().st_size for f in pathlib.Path(folder.removeprefix("file:")).rglob("*") if f.is_file()) if folder else 0
+    assert contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=60).where("n_items = 2").count() == 20
+    folder = spark.sparkContext.getCheckpointDir()
+    after = sum(f.stat().st_size for f in pathlib.Path(folder.removeprefix("file:")).rglob("*") if f.is_file()) if folder else 0
+    assert after - before < 100_000
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(empty(spark), items).count() == 0

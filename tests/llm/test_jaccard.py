@@ -72,11 +72,11 @@ def varied(seed, n=240):
 def test_against_all_pairs(spark, seed, k, num, den):
     docs = documents(spark, varied(seed))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert got(jaccard_components(docs, k, num, den, width=1 << 12)) == brute(rows, k, num, den)
+    assert got(jaccard_components(docs, k, num, den, bits=12)) == brute(rows, k, num, den)
 
 
 def test_empty_table(spark):
-    assert jaccard_components(empty(spark), width=1 << 12).count() == 0
+    assert jaccard_components(empty(spark), bits=12).count() == 0
 
 
 def test_components_of_chains_loops_and_repeats(spark):
