@@ -21,12 +21,14 @@ the class of each; counts and classes of the rest reach the texts by a join on a
 hash.
 
 Tokens: words between blanks (x20, x09 to x0D), A-Z in lower case, then one end. Null
-and empty texts are one end token. Rows are scored one by one. Without training texts
-every count is 0.
+and empty texts are one end token. Rows are scored one by one, so repeated rows repeat
+their score; an empty table gives an empty one. Without training texts every count is 0.
+A kept column that has the name of a result is an error.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import block_sums, cut, lists, space_words, texts
+from corvane.llm.common import block_sums, cut, lists, space_words, texts, tidy
 
 #: Spark's seed of xxhash64.
 SEED = 42
@@ -61,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if found:
             yield rows(found)
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def exchange(counts: np.ndarray, clustered: int, classes: int, rounds: int = 6) -> np.ndarray:
@@ -181,12 +183,12 @@ def train(docs: DataFrame, text: str = "text", frequent: int = 100_000, clustere
     classes = max(1, min(classes, clustered))
     class_of, k = of[symbols], int(of.max()) + 1
     for old in (False, True):
-        found = _dealt(_neighbours(seq, class_of, k, clustered, rare=False), _bigrams(seq, class_of, k), classes, class_of if old else None)
-        h, new = (np.array(x, np.int64) for x in zip(*found.where("h is not null").select("h", "class").collect(), strict=True)) if len(words) > clustered else ([], [])
-        class_of[h] = new  # of the frequent words
+        if len(words) > clustered:
+            h, new = _dealt_frequent(seq, class_of, k, clustered, _bigrams(seq, class_of, k), classes, class_of if old else None)
+            class_of[h] = new
         class_of[-2:], k = [classes, classes + 1], classes + 2
     n = _bigrams(seq, class_of, k).astype(float)
-    dealt = cut(_dealt(_neighbours(seq, class_of, k, clustered, rare=True), n, classes))
+    dealt = cut(_dealt(_rare_neighbours(seq, class_of, k), n, classes))
     of_word = dealt.where("h is not null").select("h", "class")
     rest = cut(counts.where(~is_frequent).select(F.xxhash64("word").alias("h"), "c").groupBy("h").agg(F.sum("c").alias("c"), F.count("*").alias("v")).join(of_word, "h"))
 
@@ -233,7 +235,7 @@ def _sequences(docs: DataFrame, index: dict[bytes, int]) -> DataFrame:
                 others = np.array([xxhash.xxh64_intdigest(words[i], SEED) for i in np.flatnonzero(ids == rest).tolist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([others.tobytes()], pa.binary())], ["ids", "others"])
 
-    return docs.select("text").mapInArrow(run, "ids binary, others binary")
+    return docs.select("text").mapInArrow(tidy(run), "ids binary, others binary")
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -266,12 +268,12 @@ def _summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tupl
     return [x[start] for x in columns], np.add.reduceat(np.ones(len(order), np.int64) if counts is None else counts[order], start)
 
 
-def _table(seq: DataFrame, names: list[str], each: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], most: int = 4_000_000) -> DataFrame:
+def _table(seq: DataFrame, names: list[str], each: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], schema: str, most: int = 4_000_000) -> DataFrame:
     """The rows that ``each`` gives of a row's ids and others, equal ones of a task with their count ``c``."""
 
     def rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         found, c = _summed([np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*found, c)], [*names, "c"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip((*found, c), kinds, strict=True)], [*names, "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -284,25 +286,88 @@ def _table(seq: DataFrame, names: list[str], each: Callable[[np.ndarray, np.ndar
         if n:
             yield rows(held)
 
-    return seq.mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "c")))
+    kinds = [np.int64 if x.endswith("long") else np.int32 for x in schema.split(", ")]
+    return seq.mapInArrow(tidy(run), schema)
 
 
-def _neighbours(seq: DataFrame, of: np.ndarray, k: int, clustered: int, rare: bool) -> DataFrame:
-    """(h, x, c) of the words after the clustered ones, or of the rest: x is the class before, or k and the class after.
+#: Words whose counters are exchanged and judged together.
+_WORDS = 2_048
 
-    ``h`` is the id of a frequent word, the hash of a rare one.
+
+def _dealt_frequent(seq: DataFrame, of: np.ndarray, k: int, clustered: int, n: np.ndarray, classes: int, old: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and new classes of the frequent words after the clustered ones that occur.
+
+    Each task counts their neighbours' classes in one array of ``2 k`` counters a word and
+    sends what is not zero, in blocks of words; a block is summed up and judged in one
+    task. What a task sends is bounded by the array, whatever it reads.
     """
+    sc = seq.sparkSession.sparkContext
+    sent, model = sc.broadcast(of), sc.broadcast((n.astype(float), old))
+    words = len(of) - 2 - clustered
+    size = 2 * k * _WORDS
+    kind = "block int, cells binary"
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = sent.value, np.zeros(2 * k * words, np.uint32)
+        for ids, _ in _read(batches):
+            s = of[np.r_[len(of) - 1, ids]]
+            at = np.flatnonzero((ids >= clustered) & (ids < len(of) - 2))
+            w = 2 * k * (ids[at] - clustered)
+            np.add.at(total, np.r_[w + s[at], w + k + s[at + 2]], np.uint32(1))
+        for b in range(0, -(-words // _WORDS)):
+            some = total[b * size : (b + 1) * size]
+            if len(cells := np.flatnonzero(some)):
+                packed = zlib.compress(np.diff(cells, prepend=0).astype(np.uint32).tobytes() + some[cells].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed], pa.binary())], ["block", "cells"])
+
+    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, old = model.value
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, packed in zip(batch["block"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                both = np.frombuffer(zlib.decompress(packed), np.uint32)
+                cells, c = np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :]
+                blocks.setdefault(b, np.zeros(size, np.int64))[cells] += c
+        for b, total in blocks.items():
+            cells = np.flatnonzero(total)
+            h = clustered + b * _WORDS + cells // (2 * k)
+            yield from _judge(h, cells % (2 * k), total[cells], n, classes, old)
+
+    rows = seq.mapInArrow(tidy(partial), kind).repartition(max(1, -(-words // _WORDS)), "block").mapInArrow(tidy(judged), "h long, class long").collect()  # one row a frequent word
+    return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _classes_of(h: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, classes: int, old: np.ndarray | None, most: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their best classes, and the number of its word in each sorted row (h, x, c)."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    ends = np.r_[first, len(h)]
+    word = np.repeat(np.arange(len(first)), np.diff(ends))
+    own, a = np.zeros(len(first), np.int64), 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        i = slice(ends[a], ends[b])
+        own[a:b] = best_classes(word[i] - a, x[i], c[i], n, classes, None if old is None else old[h[first[a:b]]])
+        a = b
+    return h[first], own, word
+
+
+def _judge(h: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, classes: int, old: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    if len(h):
+        words, own, _ = _classes_of(h, x, c, n, classes, old)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(own)], ["h", "class"])
+
+
+def _rare_neighbours(seq: DataFrame, of: np.ndarray, k: int) -> DataFrame:
+    """(h, x, c) of the rest's words: x is the class before times ``k`` plus the class after."""
     sent = seq.sparkSession.sparkContext.broadcast(of)
 
     def each(ids: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
         of = sent.value
-        rest = len(of) - 2
-        at = np.flatnonzero(ids == rest if rare else (ids >= clustered) & (ids < rest))
-        h = others if rare else ids[at]
-        s = of[np.r_[rest + 1, ids]]
-        return [np.r_[h, h], np.r_[s[at], k + s[at + 2]]]
+        at = np.flatnonzero(ids == len(of) - 2)
+        s = of[np.r_[len(of) - 1, ids]]
+        return [others, s[at] * k + s[at + 2]]
 
-    return _table(seq, ["h", "x"], each)
+    return _table(seq, ["h", "x"], each, "h long, x int, c int")
 
 
 def _rare_pairs(seq: DataFrame, rest: int) -> DataFrame:
@@ -312,7 +377,7 @@ def _rare_pairs(seq: DataFrame, rest: int) -> DataFrame:
         i = np.flatnonzero(np.diff(np.flatnonzero(ids == rest)) == 1)
         return [others[i], others[i + 1]]
 
-    return _table(seq, ["h", "g"], each)
+    return _table(seq, ["h", "g"], each, "h long, g long, c int")
 
 
 def best_classes(w: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, classes: int, old: np.ndarray | None = None) -> np.ndarray:
@@ -346,32 +411,24 @@ def best_classes(w: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, cla
     return gain.argmax(1)
 
 
-def _dealt(found: DataFrame, n: np.ndarray, classes: int, old: np.ndarray | None = None, most: int = 50_000) -> DataFrame:
-    """(h, class) of each word of ``found(h, x, c)``, and without h the sums (class, x, c) over words."""
-    sent = found.sparkSession.sparkContext.broadcast((n.astype(float), old))
+def _dealt(found: DataFrame, n: np.ndarray, classes: int, most: int = 50_000) -> DataFrame:
+    """(h, class) of each word of ``found(h, x, c)`` from ``_rare_neighbours``, and without h the
+    sums (class, x, c) over words, where x is the class before, or k and the class after."""
+    k = len(n)
+    sent = found.sparkSession.sparkContext.broadcast(n.astype(float))
 
     def judged(h: np.ndarray, x: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        (h, x), c = _summed([h, x], c)
-        n, old = sent.value
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-        own = np.zeros(len(first), np.int64)
-        ends = np.r_[first, len(h)]
-        a = 0
-        while a < len(first):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
-            i = slice(ends[a], ends[b])
-            own[a:b] = best_classes(word[i] - a, x[i], c[i], n, classes, None if old is None else old[h[first[a:b]]])
-            a = b
+        (h, x), c = _summed([np.r_[h, h], np.r_[x // k, k + x % k]], np.r_[c, c])
+        words, own, word = _classes_of(h, x, c, sent.value, classes, None, most)
         (of, at), sums = _summed([own[word], x], c)
         none = pa.nulls(len(of), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], ["h", "class", "x", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], ["h", "class", "x", "c"])
         yield pa.RecordBatch.from_arrays([none, pa.array(of), pa.array(at), pa.array(sums)], ["h", "class", "x", "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            new = [batch[y].to_numpy() for y in ("h", "x", "c")]
+            new = [batch[y].to_numpy().astype(np.int64) for y in ("h", "x", "c")]
             if not len(new[0]):
                 continue
             held = new if held is None else [np.r_[y, z] for y, z in zip(held, new, strict=True)]
@@ -382,7 +439,7 @@ def _dealt(found: DataFrame, n: np.ndarray, classes: int, old: np.ndarray | None
         if held:
             yield from judged(*held)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, class long, x long, c long")
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), "h long, class long, x long, c long")
 
 
 def _some(found: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
@@ -400,6 +457,9 @@ def _some(found: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
 
 def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` columns with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if clash := {c.lower() for c in docs.select(*keep).columns} & set(results):
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*keep).alias("keep"), F.col(text).alias("text"))
     k, unknown = len(model.transition), int(model.class_of[-2])
@@ -425,7 +485,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[Column], te
             yield pa.RecordBatch.from_arrays([batch["keep"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64()), lists(others, pa.int64()), lists(around, pa.int32())], ["keep", "n", "known", "b", "s", "others", "around"])
 
     kinds = rows.schema["keep"].dataType.simpleString()
-    parts = cut(rows.mapInArrow(run, f"keep {kinds}, n long, known long, b double, s double, others array<long>, around array<int>")).withColumn("row", F.monotonically_increasing_id())
+    parts = cut(rows.mapInArrow(tidy(run), f"keep {kinds}, n long, known long, b double, s double, others array<long>, around array<int>")).withColumn("row", F.monotonically_increasing_id())
 
     def looked_up(values: np.ndarray, i: Column) -> Column:
         return F.get(F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>"), i.cast("int"))
@@ -438,15 +498,14 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, keep: list[Column], te
     own = F.when(F.col("class").isNotNull(), F.log10(c + 0.1) - logs).otherwise(0.0)
     own += F.when(before >= 0, looked_up(model.rest_transition, before * size + word)).otherwise(0.0)
     own += F.when(after >= 0, looked_up(model.transition, word * k + after)).otherwise(0.0)
-    each = parts.select("row", F.explode(F.arrays_zip("others", "around")).alias("x")).select("row", F.col("x.others").alias("h"), F.col("x.around").alias("around")).join(rest.select("h", "c", "class"), "h", "left")
-    each = each.select("row", F.when(F.col("c").isNotNull(), 1).alias("is_known"), F.log10(c + 0.1).alias("log"), own.alias("own"), F.lit(1).alias("one"))
-    # neighbours that are both not frequent: a class each by the same join
-    i = F.sequence(F.lit(1), F.size("others") - 1)
-    next_to = F.filter(i, lambda j: F.element_at("around", j) % (k + 1) == 0)
-    pairs = parts.where(F.size("others") > 1).select("row", F.explode(F.transform(next_to, lambda j: F.struct(F.element_at("others", j).alias("h"), F.element_at("others", j + 1).alias("g")))).alias("x")).select("row", "x.h", "x.g")
-    pairs = pairs.join(rest.select("h", F.col("class").alias("first")), "h", "left").join(rest.select(F.col("h").alias("g"), "class"), "g", "left")
-    pairs = pairs.select("row", F.lit(None).cast("int").alias("is_known"), F.lit(0.0).alias("log"), looked_up(model.rest_transition, F.coalesce("first", F.lit(unknown)) * size + word).alias("own"), F.lit(0).alias("one"))
-    more = each.union(pairs).groupBy("row").agg(F.count("is_known").alias("known2"), F.sum("log").alias("logs"), F.sum("own").alias("own"), F.sum("one").alias("k"))
+    each = parts.select("row", F.posexplode(F.arrays_zip("others", "around")).alias("i", "x")).select("row", "i", F.col("x.others").alias("h"), F.col("x.around").alias("around")).join(rest.select("h", "c", "class"), "h", "left")
+    # of neighbours that are both not frequent, each one's class comes back to its row and is compared there
+    beside = (before < 0) | (after < 0)
+    each = each.select("row", F.col("c").isNotNull().alias("is_known"), F.log10(c + 0.1).alias("log"), own.alias("own"), F.when(beside, F.struct("i", (before < 0).alias("follows"), word.cast("int").alias("w"))).alias("one"))
+    more = each.groupBy("row").agg(F.count_if("is_known").alias("known2"), F.sum("log").alias("logs"), F.sum("own").alias("own"), F.count("*").alias("k"), F.array_sort(F.collect_list("one")).alias("ones"))
+    last = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("w"))
+    step = lambda acc, x: F.struct((acc["sum"] + F.when(x["follows"], looked_up(model.rest_transition, F.when(acc["w"] >= 0, acc["w"]).otherwise(unknown) * size + x["w"])).otherwise(0.0)).alias("sum"), x["w"].alias("w"))
+    more = more.withColumn("own", F.col("own") + F.when(F.size("ones") > 0, F.aggregate("ones", last, step, lambda acc: acc["sum"])).otherwise(0.0)).drop("ones")
     none = F.lit(0)
     base = F.col("b") + F.coalesce("logs", none) - F.coalesce("k", none) * float(np.log10(model.n + 0.1 * (model.v + 1)))
     s = F.col("s") + F.coalesce("own", none)
