@@ -10,7 +10,10 @@ floats beyond). With x = s q + e it holds that
 
 so only pairs whose product plus bound reaches the threshold are computed again, in
 double precision; these decide. Tiles are dealt to the tasks one by one, so a label
-with a third of all vectors is spread like any other.
+with a third of all vectors is spread like any other. A label has as few blocks as its
+tiles need to be dealt well (``FEW``) and to fit a task's memory (``BYTES``): each vector
+is sent once for each block, so larger blocks mean fewer copies. Inside a tile the products
+are taken ``BLOCK`` by ``BLOCK``.
 
 A tile returns, for each vector, how many it links with, and a spanning forest of its
 links, so what leaves a tile grows with its vectors, not with its links.
@@ -18,7 +21,9 @@ links, so what leaves a tile grows with its vectors, not with its links.
 Defined results: vectors that are null, of zero length, or with null or non-finite
 components, and those without a label, link with nothing; vectors of different
 dimensions do not link; rows with equal ids each give a row, and count as one vector
-with the links of each of them; a row with a null id links with nothing.
+with the links of each of them; a row with a null id links with nothing and is not kept.
+An empty table gives an empty one. Only the named columns are read, so further columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -27,14 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, tidy
 from corvane.llm.graph import components
 
-#: Vectors in a block, about.
+#: Vectors whose products are taken at once, and of the least block.
 BLOCK = 1024
+#: A label is cut into so many blocks before they grow beyond ``BLOCK``, up to so many bytes of 32-bit components.
+FEW, BYTES = 6, 4 << 20
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,22 +71,31 @@ def _links(x: dict, y: dict | None, least: float) -> tuple[np.ndarray, np.ndarra
     """Places of linked vectors of two blocks, or of one with itself."""
     b = x if y is None else y
     kind = np.float32 if x["q"].shape[1] <= 1040 else np.float64
-    product = (x["q"].astype(kind) @ b["q"].astype(kind).T).astype(np.float64) * x["scale"][:, None] * b["scale"][None, :]
-    bound = x["lost"][:, None] + b["lost"][None, :] * (1 + x["lost"][:, None]) + 1e-9
-    i, j = np.nonzero(product + bound >= least)
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    good = []
-    for at in range(0, len(i), 50_000):
-        p, q = x["v"][i[at : at + 50_000]], b["v"][j[at : at + 50_000]]
-        good.append((p * q).sum(1) / (x["norm"][i[at : at + 50_000]] * b["norm"][j[at : at + 50_000]]) >= least)
-    keep = np.concatenate(good) if good else np.zeros(0, bool)
-    return i[keep], j[keep]
+    out = []
+    for r in range(0, len(x["q"]), BLOCK):
+        rows = slice(r, r + BLOCK)
+        left = x["q"][rows].astype(kind)
+        for c in range(r if y is None else 0, len(b["q"]), BLOCK):
+            columns = slice(c, c + BLOCK)
+            product = (left @ b["q"][columns].astype(kind).T).astype(np.float64) * x["scale"][rows, None] * b["scale"][None, columns]
+            bound = x["lost"][rows, None] + b["lost"][None, columns] * (1 + x["lost"][rows, None]) + 1e-9
+            i, j = np.nonzero(product + bound >= least)
+            i, j = i + r, j + c
+            if y is None:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 50_000):
+                p, q = i[at : at + 50_000], j[at : at + 50_000]
+                good = (x["v"][p] * b["v"][q]).sum(1) / (x["norm"][p] * b["norm"][q]) >= least
+                out.append((p[good], q[good]))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _packed(classes: DataFrame, block: int) -> DataFrame:
-    """One row for each block of about ``block`` vectors: (label, dims, blocks, block, x)."""
-    sizes = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    """One row for each block: (label, dims, blocks, block, x)."""
+    n = F.count("*")
+    most = F.greatest(F.lit(block), F.floor(F.lit(BYTES) / (4 * F.col("dims"))))
+    blocks = F.greatest(F.ceil(n / most), F.least(F.ceil(n / block), F.lit(FEW)))
+    sizes = classes.groupBy("label", "dims").agg(blocks.cast("int").alias("blocks"))
     rows = classes.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["label", "dims"])
     return rows.groupBy("label", "dims", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("rep", "copies", "v")).alias("x"))
 
@@ -130,7 +146,7 @@ def _tiles(tiles: DataFrame, least: float) -> DataFrame:
                 other[a] = root
                 yield pa.RecordBatch.from_arrays([pa.array(both[at]), pa.array(counts[at]), pa.array(both[other[at]], mask=other[at] < 0)], ["rep", "links", "other"])
 
-    return cut(tiles.mapInArrow(run, "rep long, links long, other long"))
+    return cut(tiles.mapInArrow(tidy(run), "rep long, links long, other long"))
 
 
 def _result(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -139,8 +155,15 @@ def _result(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     of_class = classes.join(counts, "rep", "left").join(joined, classes.rep == joined.node, "left").select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     # only classes that link or have copies say more than the row itself
     of_class = cut(of_class.where("n_links > 0"))
-    right = of_class.select(F.col("label").alias("l2"), F.col("v").alias("v2"), "n_links", "component_id")
-    left = rows.select("id", "label", F.when(F.col("usable"), F.col("v")).alias("v"))
-    out = left.join(right, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")), "left")
+    right = of_class.select("label", *_digest(F.col("v")), "n_links", "component_id")
+    left = rows.select("id", "label", *_digest(F.when(F.col("usable"), F.col("v"))))
+    out = left.join(right, ["label", "h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    kept = F.coalesce(component == F.col("id"), F.lit(False))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+
+
+def _digest(v: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a vector where rows get their class back (two of a billion
+    vectors share them with a chance of about one in 10**20); null for none."""
+    return F.when(v.isNotNull(), F.xxhash64(v)).alias("h1"), F.when(v.isNotNull(), F.xxhash64(F.lit(1), v)).alias("h2")
