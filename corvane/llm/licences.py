@@ -13,15 +13,13 @@ feature and are ``unknown`` without being scored one by one.
 Notices that go over several lines, or name several families, are found by windows of
 about a template's length over the words of consecutive lines that are not blank. A
 window that holds enough of a template and that the classifier gives to its family (or,
-if to none, finds likeliest to be of it, given something that family alone has) is a confirmed finding at the line where it begins, unless a better one covers most of it.
-
-Notices that go over several lines, or name several families, are found by windows of
-about a template's length over the words of consecutive lines that are not blank. A
-window that holds enough of a template and that the classifier gives to its family (or,
-if to none, finds likeliest to be of it, given something that family alone has) is a confirmed finding at the line where it begins, unless a better one covers most of it.
+if to none, finds likeliest to be of it, given something that family alone has) is a
+confirmed finding at the line where it begins, unless a better one covers most of it.
 
 Defined results: null and empty texts have no findings; texts are scanned whole; rows
-are judged one by one; without corpus paragraphs the varied templates alone train.
+are judged one by one, so repeated rows repeat their findings; an empty table gives an
+empty one; without corpus paragraphs the varied templates alone train. A column that has
+the name of the new one is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -35,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import alnum_words, map_arrow, texts, with_columns
+from corvane.llm.common import alnum_words, map_arrow, texts, tidy, with_columns
 
 # Usual short notices of each family.
 TEMPLATES = {
@@ -258,7 +256,7 @@ def corpus(docs: DataFrame, text: str = "text", most: int = 5_000) -> Corpus:
         none = [None] * len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*(r for r, _ in best.values()), *none], pa.int64()), pa.array([*(x for _, x in best.values()), *none], pa.binary()), pa.array([*([0] * len(best)), *counts.tolist()], pa.int64())], ["h", "rank", "line", "c"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, rank long, line binary, c long").groupBy("h").agg(F.min_by("line", F.struct("rank", "line")).alias("line"), F.sum("c").alias("c")).collect()
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "h long, rank long, line binary, c long").groupBy("h").agg(F.min_by("line", F.struct("rank", "line")).alias("line"), F.sum("c").alias("c")).collect()
     counts = {-1 - r.h: r.c for r in rows if r.h < 0}
     return Corpus([alnum_words(bytes(r.line)) for r in sorted(rows, key=lambda r: r.h) if r.h >= 0], counts.get(len(TOLD), 0), {w: counts.get(i, 0) for w, i in number.items()})
 
@@ -378,6 +376,7 @@ def block_findings(model: Model, block: list[tuple[int, list[bytes]]], confirm:
 
 def licence_findings(docs: DataFrame, model: Model, text: str = "text", found: str = "licences", confirm: float = 0.6) -> DataFrame:
     """Add ``found``: struct(line, family, chance, share, confirmed) of each paragraph of a known family."""
+    docs = docs.drop(found)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = {"line": pa.int32(), "family": pa.string(), "chance": pa.float64(), "share": pa.float64(), "confirmed": pa.bool_()}
     kind = pa.list_(pa.struct(list(fields.items())))

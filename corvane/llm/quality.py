@@ -7,7 +7,8 @@ one column expression, so scoring is a projection.
 
 Defined results: null and empty texts have statistics of 0 and a score like any other;
 rows are scored one by one; of labelled rows that share an id one is used; null labels
-are left out; without labels of both kinds every score is their mean, or 0.5.
+are left out; without labels of both kinds every score is their mean, or 0.5. An empty
+table gives an empty one. Statistics replace columns of their names.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bpe = ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs).drop("text"))
+    out = bpe.round_trip(docs).drop("text")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -76,7 +76,8 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.licence_findings(docs, licences.model(docs))
-    return found.select("doc_id", F.size("licences").cast("long").alias("n_findings"), licences.families().alias("families"), F.transform("licences", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])).alias("lines"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return found.select("doc_id", F.size(sure).cast("long").alias("n_findings"), licences.families().alias("families"), F.transform(sure, lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])).alias("lines"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

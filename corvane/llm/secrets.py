@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import OWN
+from corvane.llm.common import OWN, cut
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 _KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -106,7 +106,8 @@ def labelled_samples(docs: DataFrame, text: str = "text", ordinary: int = 20_000
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("token"))
     bucket = F.pmod(F.xxhash64("token"), F.lit(ordinary)).alias("bucket")
     words = words.where(~F.col("token").rlike("|".join(BASE.values()))).groupBy(bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), "token").alias("hash"), "token"))["token"].alias("token"))
-    # at most ``ordinary`` rows, each with the one of the next bucket
+    words = cut(words)  # at most ``ordinary`` rows; read three times
+    # each with the one of the next bucket
     other = words.select(F.pmod(F.col("bucket") - 1, F.lit(ordinary)).alias("bucket"), F.regexp_replace("token", "[^A-Za-z]", "").alias("p"))
     both = words.select("bucket", F.regexp_replace("token", "[^A-Za-z]", "").alias("w")).join(other, "bucket")
     w, p, n = F.substring("w", 1, 7), F.substring("p", 1, 8), F.col("bucket")

@@ -8,7 +8,7 @@ bits, and only cells that are still too large are summed again on further bits.
 Defined results: null texts have 0 bytes; null ids hash like the empty string, with the
 text; equal rows have equal hashes, stay together and, like one text over the limit, can
 make a shard of more than the limit, which is marked ``oversized``; an empty table has
-no shards.
+no shards. Only the two named columns are read, so further columns may have any names.
 """
 
 from __future__ import annotations

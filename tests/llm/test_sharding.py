@@ -53,6 +53,6 @@ def test_odd_rows(spark):
     assert shard(empty(spark), 10).count() == 0
 
 
-def test_query(spark, sf):
+def test_query(spark, sf="/root/testdata/sf0.1"):
     rows = queries.op2_sharding(spark, sf).collect()
     assert not any(r.oversized for r in rows)
