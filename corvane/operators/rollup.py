@@ -26,20 +26,51 @@ def completion(plan: DataFrame, outcomes: DataFrame, key: str, by: str, done: Co
 
 
 def trailing(df: DataFrame, key: str, at: str, span_ms: int, cap: int) -> DataFrame:
-    """Rows of the key in the ``span_ms`` before each row (itself included, the far end not), and what the cap leaves."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-(span_ms - 1), 0)
-    return df.withColumn("used", F.count("*").over(w)).withColumn("remaining", F.greatest(F.lit(0).cast("long"), cap - F.col("used")))
-
-
-def with_previous(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    return df.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
-
-
-def runs(df: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Each run of consecutive failures: its key, first place and length."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = df.withColumn("__failed", failed).withColumn("__island", F.count_if(~F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where("__failed").groupBy(key, "__island").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("__first")).select(key, "length", *(F.col("__first")[c].alias(f"first_{c}") for c in order))
+    """Rows of the key in the ``span_ms`` before each row (itself included, the far end not), and what the cap leaves.
+
+    A window lies in two stretches of ``span_ms`` at most, so each row is sent to its own
+    and the next one, and a key with very many rows is spread over as many tasks as it has stretches.
+    """
+    own = F.floor(F.col(at) / span_ms)
+    rows = df.withColumn("__own", own).withColumn("__part", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(key, "__part").orderBy(at).rangeBetween(-(span_ms - 1), 0)
+    rows = rows.withColumn("used", F.count("*").over(w)).where(F.col("__own") == F.col("__part")).drop("__own", "__part")
+    return rows.withColumn("remaining", F.greatest(F.lit(0).cast("long"), cap - F.col("used")))
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], value: str, stretch: Column | None = None) -> DataFrame:
+    """Each row with the ``value`` of the row before it (``previous``).
+
+    With ``stretch``, a column that grows with the order (a day, say), rows of one key and
+    stretch are sorted together, and only the last value of each stretch is carried on.
+    """
+    if stretch is None:
+        return df.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+    rows = df.withColumn("__part", stretch)
+    last = rows.groupBy(key, "__part").agg(F.max(F.struct(*order, F.col(value).alias("__value")))["__value"].alias("__last"))
+    before = last.withColumn("__before", F.lag("__last").over(Window.partitionBy(key).orderBy("__part"))).drop("__last")
+    w = Window.partitionBy(key, "__part").orderBy(*order)
+    rows = rows.withColumn("__previous", F.lag(value).over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    rows = rows.join(before, [key, "__part"])
+    return rows.select(*df.columns, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__previous")).alias("previous"))
+
+
+def runs(df: DataFrame, key: str, order: list[str], failed: Column, stretch: Column | None = None) -> DataFrame:
+    """Each run of consecutive failures: its key, first place and length.
+
+    With ``stretch`` as in ``with_previous``: the successes of a key are counted in each
+    stretch, and the sums over the stretches before are added.
+    """
+    rows = df.withColumn("__failed", failed).withColumn("__part", F.lit(0) if stretch is None else stretch)
+    w = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("__island", F.count_if(~F.col("__failed")).over(w)).where("__failed")
+    if stretch is not None:
+        sums = rows.groupBy(key, "__part").agg(F.count_if(~F.col("__failed")).alias("__n"))
+        up_to = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(key, "__part", F.coalesce(F.sum("__n").over(up_to), F.lit(0)).alias("__n"))
+        marked = marked.join(before, [key, "__part"]).withColumn("__island", F.col("__island") + F.col("__n"))
+    found = marked.groupBy(key, "__island").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("__first"))
+    return found.select(key, "length", *(F.col("__first")[c].alias(f"first_{c}") for c in order))
 
 
 def due(df: DataFrame, at: str, now: Column, order: list[str], most: int) -> DataFrame:

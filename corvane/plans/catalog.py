@@ -118,12 +118,12 @@ def strike_cooldown(t):
 @query("""with m as (select *, count(*) filter (event_type <> 'error') over (partition by user_id order by ts, event_id rows unbounded preceding) g from events)
 select user_id, count(*) length, min((ts, event_id))[2] first_event_id from m where event_type = 'error' group by user_id, g""")
 def failure_streaks(t):
-    return rollup.runs(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").drop("first_ts")
+    return rollup.runs(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.to_date("ts")).drop("first_ts")
 
 
 @query("""select coalesce(previous, 'none') previous, event_type, count(*) n from (select event_type, lag(event_type) over (partition by user_id order by ts, event_id) previous from events) group by 1, 2""")
 def transitions(t):
-    e = rollup.with_previous(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    e = rollup.with_previous(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
     return e.groupBy(F.coalesce("previous", F.lit("none")).alias("previous"), "event_type").agg(F.count("*").alias("n"))
 
 
@@ -180,7 +180,7 @@ def schedule_table(t):
 @query("""with g as (select user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id) gap from events) select user_id, count(*) filter (gap > 43200000) lost, max(gap) longest from g group by 1""")
 def heartbeat_gaps(t):
     e = t("events").select("user_id", "ts", "event_id", fx.epoch_ms(F.col("ts")).alias("at"))
-    g = rollup.with_previous(e, "user_id", ["ts", "event_id"], "at").withColumn("gap", F.col("at") - F.col("previous"))
+    g = rollup.with_previous(e, "user_id", ["ts", "event_id"], "at", F.to_date("ts")).withColumn("gap", F.col("at") - F.col("previous"))
     return g.groupBy("user_id").agg(F.count_if(F.col("gap") > 43_200_000).alias("lost"), F.max("gap").alias("longest"))
 
 

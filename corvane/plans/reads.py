@@ -140,7 +140,7 @@ def target_status(t):
 when user_id % 5 = 0 then 'denied' when event_type = 'error' then 'removal' when event_type = 'view' and value < 20 then 'edit' when event_type = 'view' then 'command' else 'image' end route from e) group by 1""")
 def event_routes(t):
     """Each event to one route, by precedence."""
-    e = rollup.with_previous(t("events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type")
+    e = rollup.with_previous(t("events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
     kind, p = F.col("event_type"), F.col("previous")
     membership = F.when(p.isNull(), "invite").when(p == "signup", "profile").when(p == "error", "rejoin").otherwise("join")
     route = F.when(kind == "signup", membership).when(F.col("user_id") % 5 == 0, "denied").when(kind == "error", "removal").when((kind == "view") & (F.col("value") < 20), "edit").when(kind == "view", "command").otherwise("image")
