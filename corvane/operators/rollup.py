@@ -42,7 +42,8 @@ def with_previous(df: DataFrame, key: str, order: list[str], value: str, stretch
     """Each row with the ``value`` of the row before it (``previous``).
 
     With ``stretch``, a column that grows with the order (a day, say), rows of one key and
-    stretch are sorted together, and only the last value of each stretch is carried on.
+    stretch are sorted together, and only the last value of each stretch is carried on;
+    rows with a null key go then.
     """
     if stretch is None:
         return df.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
