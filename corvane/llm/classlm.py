@@ -16,9 +16,10 @@ transitions by the classes' shares, so the model sums to 1 over the known words
 unknown.
 
 All counts cover all training texts and grow with them: word counts are a shuffled
-table. Only the ``frequent`` most frequent words (of at most 64 bytes) are broadcast, and
+table. Only the ``frequent`` most frequent words (of at most 256 bytes) are broadcast, and
 the class of each; counts and classes of the rest reach the texts by a join on a 64-bit
-hash.
+hash. Of v distinct words two share a hash, and so a count, with a chance of about
+v ** 2 / 2 ** 65: one in 30 for a billion words.
 
 Tokens: words between blanks (x20, x09 to x0D), A-Z in lower case, then one end. Null
 and empty texts are one end token. Rows are scored one by one, so repeated rows repeat
@@ -43,7 +44,7 @@ from corvane.llm.common import block_sums, cut, lists, space_words, texts, tidy
 
 #: Spark's seed of xxhash64.
 SEED = 42
-LONGEST = 64
+LONGEST = 256
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def train(docs: DataFrame, text: str = "text", frequent: int = 100_000, clustere
             break
         least = r["level"]
     is_frequent = (F.octet_length("word") <= LONGEST) & (level >= least) if least is not None else F.lit(False)
-    best = counts.where(is_frequent).toArrow()  # at most ``frequent`` words of at most 64 bytes
+    best = counts.where(is_frequent).toArrow()  # at most ``frequent`` words of at most ``LONGEST`` bytes
     words = sorted(zip(best["word"].to_pylist(), best["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     c = np.array([x[1] for x in words], np.int64)
     clustered = min(clustered, len(words))

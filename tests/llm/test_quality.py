@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 from odd import documents, empty
 from pyspark.sql import functions as F
@@ -40,3 +43,29 @@ def test_odd_rows_and_labels(spark):
         scores = [r.s for r in stats.select(rules.score({n: F.col(n) for n in names}).alias("s")).collect()]
         assert len(scores) == 13 and all(0 <= s <= 1 for s in scores)
     assert quality.with_statistics(empty(spark))[0].count() == 0
+
+
+def statistics(t):
+    """The same statistics of one text in plain Python."""
+    n = max(1, len(t))
+    words = [w for w in re.split(r"[ \n\t\r]+", t) if w]
+    lines = t.split("\n")
+    n_words = max(1, len(words))
+    share = lambda p: len(re.findall(p, t)) / n
+    return {
+        "log_chars": math.log1p(len(t)), "word_length": len(t) / n_words, "distinct_words": math.log1p(len(set(words))) / math.log1p(n_words), "distinct_lines": len(set(lines)) / len(lines),
+        "line_words": math.log1p(n_words / len(lines)), "symbols": share(r"[#$%&*|!]"), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "stops": share("[.?]"), "other": share("[^A-Za-z0-9 \t\n\x0b\f\r\u00c0-\u024f.,?#$%&*|!]"),
+    }
+
+
+def test_query_against_the_rules_in_plain_python(spark, sf="/root/testdata/sf0.01"):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stats, names = quality.with_statistics(docs)
+    rules = quality.train(stats, spark.read.parquet(f"{sf}/labels.parquet").where(~queries.held_out("doc_id", 5)), names)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = queries.op1_quality(spark, sf).collect()
+    assert rules.rules and {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        of = statistics(texts[r.doc_id])
+        margin = rules.intercept + sum(w for w, rule in rules.rules if all(of[s] > b if over else of[s] <= b for s, over, b in rule))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-margin)), rel_tol=1e-9)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from odd import documents, empty
 
@@ -43,3 +45,23 @@ def test_odd_rows_and_labels(spark):
 def test_query(spark, sf):
     rows = queries.op7_toxicity(spark, sf).collect()
     assert len({r.doc_id for r in rows}) == len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_query_against_the_model_in_plain_python(spark, sf="/root/testdata/sf0.01"):
+    """Chances of each grade from the shared weights and the ordered thresholds, text by text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = queries.op7_toxicity(spark, sf).collect()
+    assert model.features and any(r.toxic for r in rows)
+    for r in rows:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]))
+        words = [w.encode() for w in words]
+        margin = 0.0
+        for f, i in model.features.items():
+            n = sum(w == f[:-1] if f.endswith(b"$") else w.startswith(f) for w in words)
+            if n:
+                margin += model.weights[i] * (1 + np.log1p(1000 * n / len(words)))
+        above = [1 / (1 + np.exp(np.clip(t - margin, -40, 40))) for t in model.thresholds]
+        assert np.isclose(r.severity, sum(above), rtol=1e-9) and np.isclose(r.p_toxic, above[0], rtol=1e-9)
+        assert r.toxic == (above[0] >= model.cut) or np.isclose(above[0], model.cut)
