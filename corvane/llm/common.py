@@ -260,8 +260,8 @@ def block_sums(df: DataFrame, size: int, count: Callable[[Iterable[pa.RecordBatc
 
 
 def bits_for(count: int, most: int = 26) -> int:
-    """Bits of a bitmap for so many keys: 16 places for each, 8 MB at most."""
-    return min(most, max(16, math.ceil(math.log2(16 * max(1, count)))))
+    """Bits of a bitmap for so many keys: 256 places for each, 8 MB at most."""
+    return min(most, max(16, math.ceil(math.log2(256 * max(1, count)))))
 
 
 def id_bits(df: DataFrame, key: str, bits: int = 26) -> np.ndarray:

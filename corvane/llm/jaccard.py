@@ -19,10 +19,11 @@ and only groups are joined:
    its token, each member with its group's first. Then posting lists, one of those
    with equal members, cut into blocks, are compared block by block (a tile), and of
    the pairs that pass the filters a tile sends those of a spanning forest of its
-   components. Last, in the lists from which that left out a pair, tiles get the whole
-   sets and verify every pair of members that is still not connected where it lies, so
-   that no list of pairs is written. Pairs inside one component would add nothing to
-   it, so none is missed, and what leaves a tile grows with its members only.
+   components. Last, of the lists from which that left out a pair, every pair of members
+   that is still not connected is verified: lists that left out ``MANY`` pairs a member
+   at most send these pairs; in the others tiles get the whole sets and verify their
+   pairs where they lie. Pairs inside one component would add nothing to it, so none is
+   missed, and what leaves a tile grows with its members only.
 
 Hashes of 64 bits stand for shingles, so two shingles may count as one with a chance
 of about one in 10**19 for each pair in one document or compared pair. Posting lists
@@ -58,6 +59,8 @@ PART = 4096
 PARTS = "shiftleft(1, cast(token & 255 as int))"
 #: 64-bit words of a set's bitmap.
 MARKS = 16
+#: Pairs that a list may write for each member; one that would write more gets its members' sets.
+MANY = 32
 #: About how many members of a posting list are compared as one block.
 BLOCK = 1024
 
@@ -283,27 +286,28 @@ def _distinct_lists(rows: DataFrame, twice: DataFrame) -> DataFrame:
 def _open_lists(rows: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (token, n, pos, rep) of the posting lists that span several components, with
     the component ``c`` and the other columns of ``sets``, and the number of ``blocks`` of the list."""
-    rows = rows.join(found, rows.rep == found.node, "left").select("token", "part", "n", "pos", "rep", F.coalesce("component", "rep").alias("c"))
+    more = [c for c in rows.columns if c == "many"]
+    rows = rows.join(found, rows.rep == found.node, "left").select("token", "part", "n", "pos", "rep", F.coalesce("component", "rep").alias("c"), *more)
     # a block has about BLOCK members, fewer where their sets are large
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / (512 * BLOCK)))
     several = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), blocks.alias("blocks")).where("c1 <> c2").select("token", "blocks")
     return rows.join(_every_part(several), ["token", "part"]).drop("part").join(sets.withColumnRenamed("id", "rep"), "rep")
 
 
-def _tiles(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+def _tiles(rows: DataFrame, num: int, den: int, what: str) -> DataFrame:
     """Pairs (a, b) of ``_open_lists`` that share a token but not the component ``c`` and pass all filters.
 
-    Without ``exact`` those of a spanning forest of each tile's components; then a row
-    (null, null, token) tells of each tile that left a pair out. With it the pairs'
-    sets ``s`` are compared, and the pairs of a spanning forest of the links returned.
+    ``all`` of them, or those of a spanning ``forest`` of each tile's components; then a
+    row (null, null, token, pairs, members) tells how many pairs each tile left out. For
+    ``links`` the pairs' sets ``s`` are compared, and a spanning forest of the links returned.
     """
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # a row of a list of one block is sent once; of a longer list to the tile of its block and each other one
-    own = ["rep", "n", "pos", "c", "marks", *(["s"] if exact else [])]
+    own = ["rep", "n", "pos", "c", "marks", *(["s"] if what == "links" else [])]
     tile = ["token", "low", "high"]
     rows = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") == F.least("block", "other")).alias("left"), *own)
 
-    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
         c = {x: t[x].to_numpy(zero_copy_only=False) for x in ("rep", "n", "pos", "c", "left")}
         marks = t["marks"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, MARKS)
         two = t["low"][0].as_py() < t["high"][0].as_py()
@@ -326,18 +330,21 @@ def _tiles(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
                 good = differ <= n[p2, q2] - 2 * least[p2, q2]
                 found.append((x[at + p2[good]], y[q2[good]], (differ / n[p2, q2])[good]))
         if not found or not sum(len(f[0]) for f in found):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         i, j, weight = map(np.concatenate, zip(*found, strict=True))
-        if exact:
+        if what == "all":
+            kept = np.arange(len(i))
+        elif what == "links":
             kept = np.array(_linked(i, j, weight, c["c"], t["s"].combine_chunks(), num, den), int)
         else:
             kept = _forest(c["c"][i], c["c"][j], weight)
-        return c["rep"][i[kept]], c["rep"][j[kept]], len(kept) < len(i)
+        return c["rep"][i[kept]], c["rep"][j[kept]], len(i) - len(kept) if what == "forest" else 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, partly: list[int]) -> pa.RecordBatch:
-            none, void = pa.nulls(len(partly), pa.int64()), pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([void, pa.array(partly, pa.int64())])], ["a", "b", "token"])
+        def out(a: np.ndarray, b: np.ndarray, left: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            void, none = pa.nulls(len(left), pa.int64()), pa.nulls(len(a), pa.int64())
+            said = [pa.concat_arrays([none, pa.array([x[i] for x in left], pa.int64())]) for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), void]), pa.concat_arrays([pa.array(b), void]), *said], ["a", "b", "token", "pairs", "members"])
 
         held: list[pa.RecordBatch] = []
 
@@ -349,9 +356,9 @@ def _tiles(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
             held[:] = [] if last else t.slice(edges[-2]).to_batches()
             for a, b in zip(edges[:-1] if last else edges[:-2], edges[1:], strict=False):
                 if b - a > 1:
-                    left, right, partly = pairs_of(t.slice(a, b - a))
-                    if len(left) or partly:
-                        yield out(left, right, [int(keys[0][a])] if partly and not exact else [])
+                    low, high, left = pairs_of(t.slice(a, b - a))
+                    if len(low) or left:
+                        yield out(low, high, [(int(keys[0][a]), left, b - a)] if left else [])
 
         for batch in batches:
             if batch.num_rows:
@@ -360,7 +367,7 @@ def _tiles(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
         if held:
             yield from judged(True)
 
-    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tidy(run), "a long, b long, token long")
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tidy(run), "a long, b long, token long, pairs long, members long")
 
 
 def _linked(i: np.ndarray, j: np.ndarray, weight: np.ndarray, c: np.ndarray, s: pa.ListArray, num: int, den: int) -> list[int]:
@@ -455,14 +462,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     rows = shared.select("token", "gid", "n", "pos").join(members, "gid", "left").select("token", "n", "pos", F.coalesce("rep", "gid").alias("rep")).withColumn("part", _part("rep"))
     rows = cut(_distinct_lists(rows, classes.groupBy("rep").count().where("count > 1").select("rep")))
     marks = own.select("id", "marks")
-    rest = cut(_tiles(_open_lists(rows, found, marks), num, den, exact=False))
+    rest = cut(_tiles(_open_lists(rows, found, marks), num, den, "forest"))
     found = _joined(found, _verified(docs, rest.where("a is not null").select("a", "b"), k, num, den))
-    partly = rest.where("token is not null").select("token").distinct()
-    rows = _open_lists(rows.join(_every_part(partly), ["token", "part"], "left_semi"), found, marks)
-    rows = cut(rows)
+    left = rest.where("token is not null").groupBy("token").agg((F.sum("pairs") > MANY * F.sum("members")).alias("many"))
+    rows = cut(_open_lists(rows.join(_every_part(left), ["token", "part"]), found, marks))
+    found = _joined(found, _verified(docs, _tiles(rows.where("not many"), num, den, "all").select("a", "b"), k, num, den))
+    rows = rows.where("many")
     if not rows.isEmpty():
         rows = rows.join(_whole_sets(docs, rows.select(F.col("rep").alias("id")).distinct(), k).withColumnRenamed("id", "rep"), "rep")
-        found = _joined(found, cut(_tiles(rows, num, den, exact=True)).select("a", "b"))
+        found = _joined(found, cut(_tiles(rows, num, den, "links")).select("a", "b"))
 
     copies = classes.where("copies > 1").select("digest", "rep")
     out = sets.select("id", "n", "digest").join(copies, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from odd import documents, empty
 
-from corvane.llm import queries
+from corvane.llm import jaccard, queries
 from corvane.llm.common import id_bits
 from corvane.llm.graph import components
 from corvane.llm.jaccard import jaccard_components
@@ -75,6 +75,25 @@ def test_against_all_pairs(spark, seed, k, num, den):
     assert got(jaccard_components(docs, k, num, den, bits=12)) == brute(rows, k, num, den)
 
 
+@pytest.mark.parametrize("many", [0, 2])
+def test_lists_just_below_the_threshold(spark, monkeypatch, many):
+    """Families whose members are mostly a little too different: pairs that no forest holds are verified too."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(60), 2):
+            w[at] = f"x{r.randrange(12)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 70, 100)
+    assert 1 < len({c for *_, c in want}) < len(rows)
+    assert got(jaccard_components(docs, 4, 70, 100, bits=12)) == want
+
+
 def test_empty_table(spark):
     assert jaccard_components(empty(spark), bits=12).count() == 0
 
