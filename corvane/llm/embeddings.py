@@ -41,7 +41,7 @@ from corvane.llm.graph import components
 #: Vectors whose products are taken at once, and of the least block.
 BLOCK = 1024
 #: A label is cut into so many blocks before they grow beyond ``BLOCK``, up to so many bytes of 32-bit components.
-FEW, BYTES = 6, 4 << 20
+FEW, BYTES = 2, 4 << 20
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
