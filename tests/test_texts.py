@@ -101,7 +101,7 @@ def test_names(spark):
     ident = "123456789012345678"
     cases = [("a.b-c_d", None, "a.b-c_d"), ("Deleted User", ident, f"deleted_user_{ident}"), ("_x_", ident, f"x_{ident}"), ("x__y", ident, f"x_y_{ident}"), ("日本", ident, f"user_{ident}"), ("Big", "12", None), (None, ident, f"user_{ident}"), ("a" * 65, ident, f"{'a' * 40}_{ident}"), ("a" * 64, None, "a" * 64)]
     assert applied(spark, [c[:2] for c in cases], names.creator_name(F.col("x"), F.col("y"))) == [c[2] for c in cases]
-    tags = [("name", "aichan", "aichan_name"), ("name", "own", None), ("name", "Bad!", None), ("_n", "aichan", None)]
+    tags = [("name", "harbour", "harbour_name"), ("name", "own", None), ("name", "Bad!", None), ("_n", "harbour", None)]
     assert applied(spark, [c[:2] for c in tags], names.creator_tag(F.col("x"), F.col("y"), ["own"])) == [c[2] for c in tags]
     assert applied(spark, ["@ann:own.host", "@ann:else", "ann", "@:own.host"], names.local_part(F.col("x"), "own.host")) == ["ann", None, None, None]
     assert applied(spark, ["2024-02-30", "2024-02-29 10:00:00", "soon", None], names.iso_time(F.col("x"))) == [None, "2024-02-29T10:00:00.000Z", None, None]
