@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ LEGACY_NAME = r"^(?:(?:character_)?oc_[a-z0-9].*|.*[a-z0-9]_(?:character_)?oc)\z
 NUMBER = r"^[0-9_.]+\z"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rewritten(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)
 
@@ -70,8 +76,10 @@ def escaped(text: Column) -> Column:
 
 
 def normalize_escaped(term: Column) -> Column:
-    t = F.regexp_replace(term, WEIGHT, "")
-    t = F.when(t.rlike(QUALIFIED) & ~F.regexp_extract(t, QUALIFIED, 2).rlike(NUMBER_IN_BRACKETS), F.regexp_replace(t, QUALIFIED, "$1 \x01$2\x02")).otherwise(t)
+    def unqualified(t: Column) -> Column:
+        return F.when(t.rlike(QUALIFIED) & ~F.regexp_extract(t, QUALIFIED, 2).rlike(NUMBER_IN_BRACKETS), F.regexp_replace(t, QUALIFIED, "$1 \x01$2\x02")).otherwise(t)
+
+    t = bound(F.regexp_replace(term, WEIGHT, ""), unqualified)
     t = _rewritten(t, [(r"[()\[\]{}]", " "), (r"\\+", " ")])
     return _rewritten(F.lower(F.translate(t, "\x01\x02", "()")), SPELLING)
 
@@ -82,18 +90,20 @@ def normalize_term(term: Column) -> Column:
 
 
 def expand_escaped(term: Column) -> Column:
-    groups, parts = F.regexp_extract_all(term, F.lit(GROUP), F.lit(0)), F.split(term, GROUP, -1)
-    n = F.size(groups)
-    before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    whole = _blank(after) & (_blank(before) | ~F.get(groups, F.lit(0)).rlike(WEIGHTED_GROUP))
+    def cut(x: Column) -> Column:
+        groups, parts, n = x["groups"], x["parts"], F.size(x["groups"])
+        before, after, tail = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, n)
+        whole = (n == 1) & _blank(after) & (_blank(before) | ~F.get(groups, F.lit(0)).rlike(WEIGHTED_GROUP))
+
+        def piece(g: Column, i: Column) -> Column:
+            p = F.get(parts, i)
+            return F.when(_blank(p), F.array(g)).otherwise(F.array(p, g))
 
-    def piece(i: Column) -> Column:
-        p, g = F.get(parts, i), F.get(groups, i)
-        return F.when(_blank(p), F.array(g)).otherwise(F.array(p, g))
+        rest = F.when(_blank(tail), F.array().cast("array<string>")).otherwise(F.array(tail))
+        return F.when(whole, F.array(x["term"])).otherwise(F.concat(F.flatten(F.transform(groups, piece)), rest))
 
-    tail = F.get(parts, n)
-    cut = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), piece)), F.when(_blank(tail), F.array().cast("array<string>")).otherwise(F.array(tail)))
-    return F.when((n == 0) | ((n == 1) & whole), F.array(term)).otherwise(cut)
+    split = F.struct(term.alias("term"), F.regexp_extract_all(term, F.lit(GROUP), F.lit(0)).alias("groups"), F.split(term, GROUP, -1).alias("parts"))
+    return F.when(F.contains(term, F.lit("(")) & term.rlike(GROUP), bound(split, cut)).otherwise(F.array(term))
 
 
 def expand_term(term: Column) -> Column:
@@ -106,7 +116,7 @@ def terms(text: Column, least: int = 2, most: int = 60) -> Column:
     """Normalised terms in order of first appearance, without numbers."""
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"(?<![A-Za-z0-9_])BREAK(?![A-Za-z0-9_])", ",")
     pieces = F.flatten(F.transform(F.split(escaped(plain), ",", -1), expand_escaped))
-    found = F.transform(pieces, normalize_escaped)
+    found = F.transform(pieces, normalize_escaped)  # each piece once
     return F.array_distinct(F.filter(found, lambda x: F.length(x).between(least, most) & ~x.rlike(NUMBER)))
 
 
@@ -120,12 +130,19 @@ def name_kind(term: Column, owner: Column) -> Column:
 def routed(text: Column, owner: Column | None = None, most: int = 60) -> Column:
     """struct(tags, meta, characters): at most ``most`` tags; declared names and quality words don't count."""
     owner = F.lit(None).cast("string") if owner is None else owner
-    kinds = F.transform(terms(text), lambda t: F.struct(t.alias("t"), name_kind(t, owner).alias("kind")))
     declared = lambda x: F.coalesce(x["kind"] == "declared", F.lit(False))
-    tags = F.slice(F.filter(kinds, lambda x: ~declared(x) & ~x["t"].isin(QUALITY)), 1, most)
     of = lambda x: F.transform(x, lambda y: y["t"])
-    names = F.filter(kinds, lambda x: declared(x) | ((x["kind"] == "offered") & F.array_contains(of(tags), x["t"])))
-    return F.struct(of(tags).alias("tags"), of(F.filter(kinds, lambda x: ~declared(x) & x["t"].isin(QUALITY))).alias("meta"), of(names).alias("characters"))
+    kinds = F.transform(terms(text), lambda t: F.struct(t.alias("t"), name_kind(t, owner).alias("kind"), t.isin(QUALITY).alias("quality")))
+
+    def lists(x: Column) -> Column:
+        kinds, tags = x["kinds"], x["tags"]
+        names = F.filter(kinds, lambda y: declared(y) | ((y["kind"] == "offered") & F.array_contains(tags, y["t"])))
+        return F.struct(tags.alias("tags"), of(F.filter(kinds, lambda y: ~declared(y) & y["quality"])).alias("meta"), of(names).alias("characters"))
+
+    def with_tags(kinds: Column) -> Column:
+        return F.struct(kinds.alias("kinds"), of(F.slice(F.filter(kinds, lambda y: ~declared(y) & ~y["quality"]), 1, most)).alias("tags"))
+
+    return bound(bound(kinds, with_tags), lists)
 
 
 def has_markers(text: Column) -> Column:
@@ -137,8 +154,8 @@ def has_markers(text: Column) -> Column:
 def strength(text: Column) -> Column:
     """strong, loose or none."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WS}+|{WS}+\z", "")
-    parts = F.filter(F.transform(F.split(t, ",", -1), lambda x: F.regexp_replace(x, rf"^{WS}+|{WS}+\z", "")), lambda x: x != "")
-    short = (F.size(parts) >= 4) & F.forall(parts, lambda x: (F.length(x) <= 64) & (F.size(F.split(x, rf"{WS}+", -1)) <= 6))
+    found = F.filter(F.transform(F.split(t, ",", -1), lambda x: F.regexp_replace(x, rf"^{WS}+|{WS}+\z", "")), lambda x: x != "")
+    short = bound(found, lambda parts: (F.size(parts) >= 4) & F.forall(parts, lambda x: (F.length(x) <= 64) & (F.size(F.split(x, rf"{WS}+", -1)) <= 6)))
     strong = has_markers(t) | t.rlike(STRONG_WORDS[0]) | t.rlike(STRONG_WORDS[1])
     return F.when(strong, "strong").when(t.rlike(LOOSE_WORDS[0]) | t.rlike(LOOSE_WORDS[1]) | short, "loose").otherwise("none")
 

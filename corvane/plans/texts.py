@@ -43,7 +43,8 @@ string_agg(t, ' ' order by seen) filter (bucket = 'tag' and r <= 60) said from o
 select d.doc_id, coalesce(tags, 0) tags, coalesce(meta, 0) meta, coalesce(names, 0) names, md5(coalesce(said, '')) digest from documents d left join p using (doc_id)""")
 def prompt_terms(t):
     """Terms of whole texts, routed into at most 60 tags, quality words and names; none leaves its row."""
-    r = t("documents").select("doc_id", prompts.routed(F.col("text")).alias("r"))
+    # the explode of one element keeps the struct from being computed anew for each of its fields
+    r = t("documents").select("doc_id", F.explode(F.array(prompts.routed(F.col("text")))).alias("r"))
     size = lambda c: F.size(f"r.{c}").cast("long")
     return r.select("doc_id", size("tags").alias("tags"), size("meta").alias("meta"), size("characters").alias("names"), F.md5(F.array_join("r.tags", " ")).alias("digest"))
 
