@@ -106,6 +106,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.described("base"), 256).alias("base_sha256"), secrets.described("spans").alias("spans"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import merkle
+
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.leaf(*(low if c == "text" else F.col(c) for c in merkle.FIELDS))
+    built = merkle.manifest(table(spark, sf_dir, "documents"), changed=F.when(held_out("doc_id", 5), changed))
+    found = built.proofs().withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("changed", "hash")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return found.select(F.col("key").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -117,5 +128,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,
+    "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {}
