@@ -106,6 +106,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.described("base"), 256).alias("base_sha256"), secrets.described("spans").alias("spans"))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.wordbpe import WordBpe
+
+    bpe = WordBpe(spark, public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import merkle
 
@@ -128,6 +138,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_secrets": op10_secrets,
+    "op12_word_bpe": op12_word_bpe,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {}
