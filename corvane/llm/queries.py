@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import oracles
 from corvane.llm.common import cut, table
 
 
@@ -148,4 +149,4 @@ QUERIES = {
     "op12_word_bpe": op12_word_bpe,
     "op13_merkle": op13_merkle,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_search": oracles.SEARCH, "op13_merkle": oracles.MERKLE}
