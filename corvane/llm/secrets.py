@@ -16,6 +16,8 @@ empty table gives an empty one. Positions are code points, end exclusive. The co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +41,48 @@ KINDS = (*BASE, "random")
 CODES = 128
 
 
+#: Elements that a running total goes over before it is joined to what stands before them.
+_RUN = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """At each place of an array of numbers, which isn't empty, what ``combine`` makes of them so far, from 0.
+
+    An array that grows by one is copied each time, so it grows within short runs only.
+    """
+
+    def grown(some: Column) -> Column:
+        from_0 = F.aggregate(some, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+        return F.slice(from_0, 2, F.size(some))
+
+    def joined(runs: Column) -> Column:
+        ends = F.transform(runs, lambda r: F.element_at(r, -1))
+        before = F.concat(F.array(F.lit(0)), F.slice(grown(ends), F.lit(1), F.size(runs) - 1))
+        return F.flatten(F.zip_with(runs, before, lambda r, at: F.transform(r, lambda x: combine(at, x))))
+
+    def of(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _RUN).cast("int"))
+        return _let(F.transform(starts, lambda i: grown(F.slice(own, i * _RUN + 1, _RUN))), joined)
+
+    return _let(values, of)
+
+
 def _found(text: Column, pattern: str, kind: str, passes=None) -> Column:
     """Spans of the matches, leftmost and not overlapping: what lies between them gives the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<kind:int,from:int,to:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["between"])
-        end = begin + F.length(x["match"])
-        span = F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("from"), end.alias("to")))
-        keep = F.lit(True) if passes is None else passes(x["match"])
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(matches: Column) -> Column:
+        steps = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, b: F.length(b) + F.length(m))
+        pairs = F.zip_with(matches, _running(steps, lambda at, x: at + x), lambda m, end: F.struct(m.alias("match"), end.alias("end")))
+        kept = pairs if passes is None else F.filter(pairs, lambda x: passes(x["match"]))
+        return F.transform(kept, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (x["end"] - F.length(x["match"])).alias("from"), x["end"].alias("to")))
 
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("match"), b.alias("between")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def _long_value(match: Column) -> Column:
@@ -72,9 +100,14 @@ def _ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(key), lambda s: F.struct(s["kind"].alias("kind"), s["from"].alias("from"), s["to"].alias("to")))
 
 
-def _transition(token: Column, i: Column) -> Column:
-    """Number of the pair of characters at places i and i + 1."""
-    return F.ascii(F.substr(token, i, F.lit(1))) * CODES + F.ascii(F.substr(token, i + 1, F.lit(1)))
+def _transitions(token: Column) -> Column:
+    """Number of each pair of neighbouring characters."""
+
+    def pairs(codes: Column) -> Column:
+        n = F.greatest(F.size(codes) - 1, F.lit(0))
+        return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * CODES + b)
+
+    return _let(F.transform(F.split(token, ""), F.ascii), pairs)
 
 
 def train(samples: DataFrame, weight: float = 5.0, symbols: int = 66) -> list[float]:
@@ -84,7 +117,7 @@ def train(samples: DataFrame, weight: float = 5.0, symbols: int = 66) -> list[fl
     character, and that with one count to even chances. At most 2 * 128 * 128 counts
     come to the driver. Samples with characters beyond ASCII are skipped.
     """
-    pairs = samples.where((F.length("token") > 1) & ~F.col("token").rlike(r"[^\x00-\x7F]")).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _transition(F.col("token"), i))).alias("pair"))
+    pairs = samples.where((F.length("token") > 1) & ~F.col("token").rlike(r"[^\x00-\x7F]")).select("random", F.explode(_transitions(F.col("token"))).alias("pair"))
     counts = {c: np.zeros((CODES, CODES)) for c in (False, True)}
     for r in pairs.groupBy("random", "pair").count().collect():
         counts[r["random"]][divmod(r["pair"], CODES)] = r["count"]
@@ -133,13 +166,18 @@ def secret_spans(docs: DataFrame, ratios: list[float], text: str = "text", least
     llr = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
     def looks_random(token: Column) -> Column:
-        total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.get(llr, _transition(token, i)))
+        total = F.aggregate(_transitions(token), F.lit(0.0), lambda a, pair: a + F.get(llr, pair))
         return total > least * (F.length(token) - 1)
 
+    def beyond(every: Column) -> Column:
+        """Of spans in order, the base ones and those of which no base span holds the whole."""
+        reach = _running(F.transform(every, lambda s: F.when(s["kind"] < len(BASE), s["to"]).otherwise(0)), F.greatest)
+        marked = F.zip_with(every, reach, lambda s, to: F.struct(s.alias("span"), ((s["kind"] < len(BASE)) | (to < s["to"])).alias("keep")))
+        return F.transform(F.filter(marked, lambda x: x["keep"]), lambda x: x["span"])
+
     t, more = F.coalesce(F.col(text), F.lit("")), f"{OWN}random"
     out = docs.withColumn(base, base_spans(t)).withColumn(more, _found(t, TOKEN, "random", looks_random))
-    apart = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["from"] <= s["from"]) & (s["to"] <= b["to"])))
-    return out.withColumn(spans, F.when(F.size(more) > 0, _ordered(F.concat(base, apart))).otherwise(F.col(base))).drop(more)
+    return out.withColumn(spans, F.when(F.size(more) > 0, _let(_ordered(F.concat(base, more)), beyond)).otherwise(F.col(base))).drop(more)
 
 
 def described(spans: str) -> Column:
@@ -148,16 +186,30 @@ def described(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["from"].cast("string"), s["to"].cast("string"))), ",")
 
 
+#: Characters of a text that are cut out of it together.
+_CHUNK = 4096
+
+
 def redacted(text: str, spans: str, mark: str = "[secret]") -> Column:
-    """The text with each span (overlapping ones as one) replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each span (overlapping ones as one) replaced by ``mark``.
+
+    The text is cut in chunks first, so that each piece between spans is looked up in its own.
+    """
+
+    def pieces(chunks: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            parts = F.transform(F.sequence(F.floor(begin / _CHUNK).cast("int"), F.floor((end - 1) / _CHUNK).cast("int")), lambda c: F.substr(F.get(chunks, c), F.greatest(begin - c * _CHUNK, F.lit(0)) + 1, end - F.greatest(begin, c * _CHUNK)))
+            return F.when(begin < end, F.array_join(parts, "")).otherwise("")
+
+        def between(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), reach)
+            own = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, at: F.when(s["from"] >= at, F.concat(piece(at, s["from"]), F.lit(mark))).otherwise(""))
+            return F.array_join(F.concat(own, F.array(piece(F.element_at(reach, -1), F.length(text)))), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col(text), acc["at"] + 1, s["from"] - acc["at"])
-        return F.when(s["from"] >= acc["at"], F.struct(F.concat(acc["out"], between, F.lit(mark)).alias("out"), s["to"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["to"]).alias("at")))
+        return _let(_running(F.transform(spans, lambda s: s["to"]), F.greatest), between)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
+    whole = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(whole, pieces)).otherwise(F.col(text))
 
 
 def model(spark: SparkSession, docs: DataFrame, text: str = "text") -> list[float]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from odd import documents, empty
 
@@ -118,6 +119,29 @@ def test_choice_of_words_does_not_follow_their_order(spark, sf="/root/testdata/s
     assert len(set(first)) >= 10 and max(first.count(x) for x in set(first)) < 0.4 * len(first)
 
 
+def test_long_tokens_and_many_matches_take_seconds(spark, sf):
+    """A token of a million characters, and a hundred thousand matches in one text."""
+    r, letters = random.Random(5), string.ascii_letters + string.digits
+    long = "data " + "".join(r.choice(letters) for _ in range(1_000_000)) + " end"
+    many = " ".join(f"token=abcdefgh{i:06}" for i in range(100_000))
+    apart = " ".join("".join(r.choice(letters) for _ in range(24)) for _ in range(20_000))
+    mixed = "\U0001f600é" * 3000 + f" key {HEX} " + "ä" * 5000 + " token=12345678 " + "x" * 9000
+    docs = spark.createDataFrame(list(enumerate([long, many, apart, mixed])), "doc_id long, text string").repartition(4, "doc_id").persist()
+    ratios = secrets.model(spark, docs.union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")))
+    start = time.monotonic()
+    rows = secrets.secret_spans(docs, ratios).withColumn("said", secrets.described("base")).withColumn("clean", secrets.redacted("text", "spans")).orderBy("doc_id").collect()
+    assert time.monotonic() - start < 60
+    for row in rows:
+        assert row.said.split(",") == (brute(row.text) or [""])
+        at, want = 0, []
+        for x in sorted((x["from"], x["to"]) for x in row.spans):
+            if x[0] >= at:
+                want += [row.text[at : x[0]], "[secret]"]
+            at = max(at, x[1])
+        assert row.clean == "".join([*want, row.text[at:]])
+    assert (3, 5, 1_000_005) in [tuple(x) for x in rows[0].spans] and len(rows[1].spans) >= 100_000 and len(rows[2].spans) > 19_000
+
+
 def test_empty_table(spark):
     ratios = secrets.model(spark, empty(spark))
     assert secrets.secret_spans(empty(spark), ratios, base="b", spans="s").count() == 0
