@@ -103,13 +103,15 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, grades: int = 3, least_df: int = 8, least_z: float = 4.5, least_odds: float = 8.0, features: int = 2_000) -> Ordinal:
     """Fit on at most ``most`` labelled rows; the words are chosen by counts over those rows.
 
-    Of rows that share one of four minima of word-pair hashes with an earlier one (near
-    copies mostly) only the earlier trains. A feature is in ``least_df`` of the rows at
+    Of rows that share an id the one with the least text counts. Of rows that share one of
+    four minima of word-pair hashes with an earlier one (near copies mostly) only the
+    earlier trains. A feature is in ``least_df`` of the rows at
     least, and the ``features`` most telling ones count; words over 64 bytes make none.
     """
     spark = docs.sparkSession
     chosen = bounded(labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y is not null"), "id", most)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most ``most`` small rows
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # an id may have very many rows
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks = []
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch["id"].type), pa.array(shares, pa.float64()), lists(at, pa.int32()), lists(values, pa.float64())], ["id", "share", "at", "value"])
 
-    data = rows.select("id", "text").mapInArrow(tidy(sparse), f"id {docs.schema[doc_id].dataType.simpleString()}, share double, at array<int>, value array<double>").dropDuplicates(["id"]).collect()
+    data = rows.select("id", "text").mapInArrow(tidy(sparse), f"id {docs.schema[doc_id].dataType.simpleString()}, share double, at array<int>, value array<double>").collect()
     data.sort(key=lambda r: r.id)
     y = np.array([classes[r.id] for r in data])
     shares = np.array([r.share for r in data])

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 from odd import documents, empty
+from pyspark.sql import functions as F
 
 from corvane.llm import queries, toxicity
 
@@ -42,6 +43,19 @@ def test_odd_rows_and_labels(spark):
     assert toxicity.without_toxic(empty(spark), labels).count() == 0
 
 
+def test_one_labelled_id_in_very_many_rows(spark, sf, monkeypatch):
+    """No more rows come to the driver than there are labels, and repeats change nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one = labels.join(docs, "doc_id").orderBy("doc_id").first()
+    more = docs.union(spark.range(50_000).select(F.lit(one.doc_id), F.lit(one.text)))
+    want, sizes, kind = toxicity.train(docs, labels), [], type(docs)
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: (sizes.append(len(rows := f(self))), rows)[1])
+    found = toxicity.train(more, labels)
+    assert sizes and max(sizes) <= max(2_000, labels.count())
+    assert found.features == want.features and np.allclose(found.weights, want.weights) and found.cut == want.cut
+
+
 def test_query(spark, sf):
     rows = queries.op7_toxicity(spark, sf).collect()
     assert len({r.doc_id for r in rows}) == len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
