@@ -47,6 +47,9 @@ from corvane.llm.common import OWN, cut, lists, map_arrow, pieces, slices, tidy,
 STRETCH = 16 << 20
 #: Texts with no character from here on are in composed form.
 _COMPOSED = re.compile("[̀-\U0010ffff]")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+#: Words whose ids a task holds back, to send those of a stretch together.
+HELD = 1_000_000
 
 
 def _library():
@@ -73,8 +76,8 @@ def _character_classes() -> dict[str, str]:
     return out
 
 
-def _patterns(definition: str) -> tuple[str, str]:
-    """The pattern of words for texts of ASCII characters, and for any; refuses other kinds of tokenizers."""
+def _patterns(definition: str) -> tuple[str, str, str]:
+    """The pattern of words for texts of ASCII characters, of characters below U+10000, and of any; refuses other kinds of tokenizers."""
     known = json.loads(definition)
     steps = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
     if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or known["post_processor"] or known["decoder"]:
@@ -85,14 +88,16 @@ def _patterns(definition: str) -> tuple[str, str]:
     if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in known["added_tokens"]):
         raise ValueError("added tokens must stand for their very strings")
     pattern = steps[0]["pattern"]["Regex"]
-    return spelled_out(pattern, {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}), spelled_out(pattern, _character_classes())
+    full = _character_classes()
+    low = {k: "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", v) if r < r"\U00010000") for k, v in full.items()}
+    return spelled_out(pattern, {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}), spelled_out(pattern, low), spelled_out(pattern, full)
 
 
 class Splitter:
     """Splits texts into the words that the library would encode one by one."""
 
-    def __init__(self, definition: str, patterns: tuple[str, str]):
-        self.ascii, self.any = (re.compile(p).findall for p in patterns)
+    def __init__(self, definition: str, patterns: tuple[str, str, str]):
+        self.ascii, self.low, self.any = (re.compile(p).findall for p in patterns)
         self.normalise = _tokenizer(definition).normalizer.normalize_str
         self.added = [t["content"] for t in json.loads(definition)["added_tokens"]]
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -109,7 +114,10 @@ class Splitter:
         # blanks are part of no word, so there is no need to join them
         if text.isascii():
             return self.ascii(text.lower())
-        return self.any(self.normalise(text) if _COMPOSED.search(text) else text.lower())
+        if not _COMPOSED.search(text):
+            return self.low(text.lower())
+        text = self.normalise(text)  # which may go beyond the characters that it is given
+        return (self.any if _HIGH.search(text) else self.low)(text)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -123,6 +131,27 @@ def _unpacked(data: bytes) -> np.ndarray:
     return sum(p.astype(np.int32) << 8 * k for k, p in enumerate(planes))
 
 
+def _gathered(which: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of lists that lie one after the other in ``flat``, the chosen ones, again one after the other."""
+    start, many = ends[which], ends[which + 1] - ends[which]
+    return flat[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+
+def _differ() -> RuntimeError:
+    return RuntimeError("the documents' two readings differ")
+
+
+def _table(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of a stretch by their numbers, one after the other, and where each word's begin and end."""
+    number = np.concatenate([np.cumsum(gaps) for gaps, _, _ in held])
+    size, flat = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+    order = np.argsort(number)
+    if not np.array_equal(number[order], np.arange(len(number))):
+        raise _differ()
+    flat = _gathered(order, flat, np.concatenate([[0], np.cumsum(size)]))
+    return flat, np.concatenate([[0], np.cumsum(size[order])])
+
+
 class WordBpe:
     """Encode and decode columns by a tokenizer's file; the file, of fixed size, is broadcast."""
 
@@ -182,26 +211,45 @@ class WordBpe:
         return docs.select(F.col(f"`{text}`").alias("text"), F.spark_partition_id().alias("part")).mapInArrow(tidy(run), "stretch long, number int, word string")
 
     def encoded_words(self, words: DataFrame) -> DataFrame:
-        """(stretch, number, word_ids): equal words meet, and the library encodes each distinct one once.
+        """(stretch, numbers, sizes, word_ids): equal words meet, and the library encodes each distinct one once.
 
-        ``word_ids`` are little-endian numbers of 32 bits.
+        A row has some words of a stretch, their numbers in the stretch, how many ids each has, and these.
         """
         spec = self.spec
 
+        def together(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            stretch, number, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((number, stretch))
+            flat = _gathered(order, flat, np.concatenate([[0], np.cumsum(size)]))
+            stretch, number, size = stretch[order], number[order], size[order]
+            edges = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(stretch)]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            pairs = list(zip(edges[:-1], edges[1:], strict=True))
+            parts = [[_packed(np.diff(number[a:b], prepend=0)) for a, b in pairs], [_packed(size[a:b]) for a, b in pairs], [_packed(flat[ends[a] : ends[b]]) for a, b in pairs]]
+            yield pa.RecordBatch.from_arrays([pa.array(stretch[edges[:-1]]), *(pa.array(x, pa.binary()) for x in parts)], ["stretch", "numbers", "sizes", "word_ids"])
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, last = _tokenizer(spec.value[0]).encode_batch, (None, b"")
+            encode, last, held, many = _tokenizer(spec.value[0]).encode_batch, (None, []), [], 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 coded = batch["word"].dictionary_encode()
                 some = coded.dictionary.to_pylist()
                 new = some[1:] if some[0] == last[0] else some  # a word that goes on from the batch before
-                ids = [np.array(e.ids, "<i4").tobytes() for e in encode(new, add_special_tokens=False)]
+                ids = [e.ids for e in encode(new, add_special_tokens=False)]
                 ids = [last[1], *ids] if len(new) < len(some) else ids
                 last = some[-1], ids[-1]
-                yield pa.RecordBatch.from_arrays([batch["stretch"], batch["number"], pa.array(ids, pa.binary()).take(coded.indices)], ["stretch", "number", "word_ids"])
-
-        return words.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "stretch long, number int, word_ids binary")
+                size, which = np.array([len(x) for x in ids]), coded.indices.to_numpy()
+                flat = _gathered(which, np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum(size)]))
+                held.append((batch["stretch"].to_numpy(), batch["number"].to_numpy(), size[which], flat))
+                many += batch.num_rows
+                if many >= HELD:
+                    yield from together(held)
+                    held, many = [], 0
+            if held:
+                yield from together(held)
+
+        return words.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "stretch long, numbers binary, sizes binary, word_ids binary")
 
     def _sequences(self, docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
         """(stretch, sequence, row) of each document, ``row`` with its further columns."""
@@ -227,12 +275,13 @@ class WordBpe:
             docs = cut(docs)
         sequences = self._sequences(docs, text, kept)
         table = self.encoded_words(self.words(docs, text))
-        both = table.select("stretch", "number", "word_ids", F.lit(None).cast("binary").alias("sequence"), F.lit(None).cast(sequences.schema["row"].dataType).alias("row"))
-        both = both.union(sequences.select("stretch", F.lit(None).cast("int"), F.lit(None).cast("binary"), "sequence", "row"))
-        both = both.repartition("stretch").sortWithinPartitions("stretch", F.col("number").asc_nulls_last())
+        none = [F.lit(None).cast("binary").alias(c) for c in ("numbers", "sizes", "word_ids")]
+        both = table.select("*", none[0].alias("sequence"), F.lit(None).cast(sequences.schema["row"].dataType).alias("row"))
+        both = both.union(sequences.select("stretch", *none, "sequence", "row"))
+        both = both.repartition("stretch").sortWithinPartitions("stretch", F.col("numbers").isNull())
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, table = None, []
+            key, held = None, []
             flat, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
             for batch in batches:
                 stretch = batch["stretch"].to_numpy()
@@ -242,36 +291,23 @@ class WordBpe:
                         continue
                     part = batch.slice(a, b - a)
                     if stretch[a] != key:
-                        if table:
-                            raise RuntimeError("the documents' two readings differ")
+                        if held:
+                            raise _differ()
                         key, flat, ends = stretch[a], flat[:0], ends[:1]
-                    n = part.num_rows - part["number"].null_count  # rows of words come first
-                    if n:
-                        if part["number"][0].as_py() != sum(len(x[0]) for x in table):
-                            raise RuntimeError("the documents' two readings differ")
-                        table.append(slices_of(part["word_ids"].slice(0, n)))
+                    n = part.num_rows - part["numbers"].null_count  # rows of words come first
+                    held += [tuple(map(_unpacked, x)) for x in zip(*(part[c].slice(0, n).to_pylist() for c in ("numbers", "sizes", "word_ids")), strict=True)]
                     if n == part.num_rows:
                         continue
-                    if table:
-                        flat = np.concatenate([x for _, x in table])
-                        ends = np.concatenate([[0], np.cumsum(np.concatenate([x for x, _ in table]))])
-                        table = []
+                    if held:
+                        flat, ends = _table(held)
+                        held = []
                     rest = part.slice(n)
                     found = [_unpacked(x) for x in rest["sequence"].to_pylist()]
                     if max((int(x.max(initial=-1)) for x in found), default=-1) >= len(ends) - 1:
-                        raise RuntimeError("the documents' two readings differ")
-                    yield pa.RecordBatch.from_arrays([*rest["row"].flatten()[1:], lists([ids_of(x, flat, ends) for x in found], pa.int32())], [*kept, ids])
-            if table:
-                raise RuntimeError("the documents' two readings differ")
-
-        def slices_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            """How many ids each word has, and all of them."""
-            return pc.binary_length(column).to_numpy() // 4, np.frombuffer(b"".join(column.to_pylist()), "<i4")
-
-        def ids_of(numbers: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            """The ids at each place of a sequence, one after the other."""
-            start, many = ends[numbers], ends[numbers + 1] - ends[numbers]
-            return flat[np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                        raise _differ()
+                    yield pa.RecordBatch.from_arrays([*rest["row"].flatten()[1:], lists([_gathered(x, flat, ends) for x in found], pa.int32())], [*kept, ids])
+            if held:
+                raise _differ()
 
         schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{ids}` array<int>"])
         return both.mapInArrow(tidy(run), schema)
