@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.plans.registry import query
+from corvane.plans.states import _projections
 from corvane.sources.commits import Store, shared_folder
-from corvane.streaming import acquire
+from corvane.streaming import acquire, views
 
 # users as partitions, events as messages with up to three parts each
 _MESSAGES = """(select *, event_type = 'view' and event_id % 7 = 0 own, event_type = 'signup' and value > 95 withheld, event_type = 'error' and value < 20 and event_id % 4 > 1 fails from events)"""
@@ -56,3 +57,41 @@ def acquired_marks(t):
         acquire.acquire(store, part, number, _deliver, "user_id", "event_id")
     seen = messages.join(_marks(t).withColumnRenamed("after", "was"), "user_id", "left").where("was is null or event_id > was").select("user_id").distinct()
     return store.read("marks").join(seen, "user_id", "left_semi").select("user_id", "after", F.col("stopped").isNotNull().alias("stopped"))
+
+
+# customers as posts, orders as stored rows; two lists follow each other, the second one with other names
+_LISTS = ("c_custkey % 7 = 0", "c_custkey % 7 = 0 and c_acctbal > 0 or c_custkey % 11 = 0")
+
+
+def _list(t, i: int) -> DataFrame:
+    k = F.col("c_custkey")
+    return t("customer").where(_LISTS[i]).select(k.alias("post_id"), F.concat(F.lit("mxc"), k.cast("string")).alias("mxc"), F.md5(k.cast("string").cast("binary")).alias("md5"), (k % 2 == 0).alias("flagged"), F.lit(False).alias("banished"))
+
+
+def _rows(t) -> DataFrame:
+    o = t("orders")
+    sources = F.create_map(F.lit("auto"), F.array(F.lower("o_orderstatus")), F.lit("creator"), F.array(F.lit("kept"), F.lit("p")))
+    return o.select((F.col("o_custkey") % 25).alias("room"), F.concat(F.lit("mxc"), F.col("o_orderkey").cast("string")).alias("mxc"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("post_id"), F.array(F.lower("o_orderpriority"), F.lower("o_orderstatus"), F.lit("low")).alias("tags"), F.lit("s").alias("rating"), sources.alias("sources"))
+
+
+_PROJECTED = """(select c_custkey as post_id, case when c_custkey % 2 = 0 then ['p', lower(c_mktsegment)] else [] end as p_tags, case when c_custkey % 3 = 0 then ['low', 'legacy', lower(c_mktsegment)] end as legacy from customer where c_custkey % 5 <> 1)"""
+_ROWS = """(select o_custkey % 25 as room, 'mxc' || o_orderkey as mxc, case when o_orderkey % 3 <> 0 then o_custkey end as post_id, [lower(o_orderpriority), lower(o_orderstatus), 'low'] as tags from orders)"""
+
+
+@query(f"""with p as (select c_custkey as id, 'mxc' || c_custkey as pm, {_LISTS[1]} as now from customer where ({_LISTS[0]}) or ({_LISTS[1]})),
+j as (select s.room, s.mxc, coalesce(s.post_id, m.id) as target, s.post_id, s.tags, h.id is not null or m.id is not null as hit from {_ROWS} s left join p m on m.pm = s.mxc left join p h on h.id = s.post_id),
+k as (select j.*, case when len(x.p_tags) > 0 then x.p_tags when x.legacy is not null then x.legacy else j.tags end as base from j left join {_PROJECTED} x on x.post_id = j.target),
+l as (select room, mxc, case when hit then target else post_id end as post_id, case when hit then list_filter(base, lambda x: x not in ('p', 'low')) else tags end as tags from k)
+select room, count(*) as n, sum(post_id) as posts, sum(len(tags)) as n_tags, sum(strlen(list_aggregate(tags, 'string_agg', ','))) as chars from l group by 1""")
+def maintained_view(t):
+    """Stored rows after two lists, one after the other: those of one projection of all posts that either names."""
+    rows = _rows(t)
+    spark = rows.sparkSession
+    known = _projections(t).withColumn("failed", F.lit(False))
+    visible = t("customer").select(F.col("c_custkey").alias("post_id"), F.array().cast("array<string>").alias("legacy"), F.lit("s").alias("rating"))
+    store = Store(spark, shared_folder(spark))
+    views.stored(store, rows)
+    for i, names in enumerate((["urgent"], ["p", "low"])):
+        own = t("region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
+        views.tick(store, known, visible, i, "ok", generation=str(i), names=own, posts=_list(t, i))
+    return store.read("state").groupBy("room").agg(F.count("*").alias("n"), F.sum("post_id").alias("posts"), F.sum(F.size("tags")).alias("n_tags"), F.sum(F.octet_length(F.array_join("tags", ","))).alias("chars"))

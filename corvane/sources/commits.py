@@ -111,10 +111,10 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
-    def commit(self, base: int, meta: dict | None = None, **writes: Replace | Append | Upsert) -> int:
+    def commit(self, base: int, meta: dict | Callable[[], dict] | None = None, **writes: Replace | Append | Upsert) -> int:
         """Write version ``base + 1``: the tables of ``base`` with these changes, and ``meta`` over what was there.
 
-        Raises ``Conflict`` if that version is there already.
+        ``meta`` may be a function, which is called when the data are written. Raises ``Conflict`` if that version is there already.
         """
         manifest, made = self._manifest(base), []
         try:
@@ -122,7 +122,7 @@ class Store:
                 folder = f"data/{uuid.uuid4().hex}"
                 made.append(folder)
                 manifest["tables"][name] = self._written(manifest["tables"].get(name), write, folder)
-            manifest["meta"] |= meta or {}
+            manifest["meta"] |= (meta() if callable(meta) else meta) or {}
             self._create(base + 1, json.dumps(manifest))
         except BaseException:
             for folder in made:
