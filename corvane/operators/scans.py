@@ -80,3 +80,19 @@ def above(scores: Column, bars: Column) -> Column:
 def best(scores: Column) -> Column:
     """The key of the greatest score, the first in order of equal ones."""
     return F.element_at(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))), 1)["k"]
+
+
+def layout(df: DataFrame, path: str, *keys: str) -> None:
+    """Write a table with a folder for each value of the keys, and one task for each, so that scans can leave folders out."""
+    df.repartition(*keys).write.partitionBy(*keys).parquet(path)
+
+
+def undenied(table: DataFrame, key: str, denied: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows of a table in ``layout`` whose partition is not denied; the files of denied ones are not opened.
+
+    Up to ``most`` denied values become a filter on the partitions; of more, a join decides row by row.
+    """
+    some = [r[0] for r in denied.select(key).where(F.col(key).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(some) > most:
+        return table.join(denied.select(key).distinct(), key, "left_anti")
+    return table.where(F.col(key).isNull() | ~F.col(key).isin(some)) if some else table

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import scans
 from corvane.plans.registry import query
 from corvane.plans.states import _projections
 from corvane.sources.commits import Store, shared_folder
-from corvane.streaming import acquire, views
+from corvane.streaming import acquire, outboxes, views
 
 # users as partitions, events as messages with up to three parts each
 _MESSAGES = """(select *, event_type = 'view' and event_id % 7 = 0 own, event_type = 'signup' and value > 95 withheld, event_type = 'error' and value < 20 and event_id % 4 > 1 fails from events)"""
@@ -95,3 +96,34 @@ def maintained_view(t):
         own = t("region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
         views.tick(store, known, visible, i, "ok", generation=str(i), names=own, posts=_list(t, i))
     return store.read("state").groupBy("room").agg(F.count("*").alias("n"), F.sum("post_id").alias("posts"), F.sum(F.size("tags")).alias("n_tags"), F.sum(F.octet_length(F.array_join("tags", ","))).alias("chars"))
+
+
+_ASKED = """case (post_id + strlen(mxc)) % 4 when 0 then 'accepted' when 1 then 'no_such_post' when 2 then '404' else 'retry' end"""
+
+
+@query(f"""with half as (select max(event_id) // 2 as h from events), a as (select distinct user_id as post_id, event_type as mxc from events, half where event_id <= h and user_id > 0 order by 1, 2 limit 60),
+b as (select post_id, mxc, {_ASKED} as cls from a qualify true), c as (select * from b where cls in ('404', 'retry')),
+d as (select distinct user_id as post_id, event_type as mxc from events, half where event_id > h and user_id > 0), e as (select * from d anti join c using (post_id, mxc) order by 1, 2 limit (select 60 - count(*) from c)),
+f as (select post_id, mxc, {_ASKED} as cls from e)
+select post_id, mxc, 0 as queued_at, 1 as attempts, cls as last_class, 600001 as next_try_at from c union all select post_id, mxc, 2, 1, cls, 600003 from f where cls in ('404', 'retry')""".replace(" qualify true", ""))
+def outbox_passes(t):
+    """What an outbox of 60 holds after two rounds of reports, each with a pass over what is due."""
+    e = t("events").select("event_id", F.col("user_id").alias("post_id"), F.col("event_type").alias("mxc"))
+    store = Store(e.sparkSession, shared_folder(e.sparkSession))
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    cls = F.element_at(F.array(*map(F.lit, ("accepted", "no_such_post", "404", "retry"))), ((F.col("post_id") + F.octet_length("mxc")) % 4 + 1).cast("int"))
+    ask = lambda due: due.withColumns({"cls": cls, "took": F.lit(1)})
+    for now, part in ((0, e.where(F.col("event_id") <= half)), (2, e.where(F.col("event_id") > half))):
+        outboxes.report(store, part, now, cap=60)
+        outboxes.flush(store, ask, now + 1, breaker=1_000)
+    return store.read("outbox")
+
+
+@query("""select o_custkey % 50 as room, count(*) as n, max(o_orderkey) as last from orders where o_custkey % 50 not in (select c_custkey % 50 from customer where c_custkey % 9 = 4 and c_custkey < 200) group by 1""")
+def pruned_layout(t):
+    """State by room, with the folders of denied rooms left out of the scan."""
+    o = t("orders").select((F.col("o_custkey") % 50).alias("room"), "o_orderkey")
+    path = f"{shared_folder(o.sparkSession)}/by-room"
+    scans.layout(o, path, "room")
+    denied = t("customer").where("c_custkey % 9 = 4 and c_custkey < 200").select((F.col("c_custkey") % 50).alias("room"))
+    return scans.undenied(o.sparkSession.read.schema(o.schema).parquet(path), "room", denied).groupBy("room").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
