@@ -167,19 +167,70 @@ def keyword_strength(keyword: Column, text: Column, generators: list[str], share
     return F.when(keyword.isin(generators), "strong").when(text.isNull(), "none").when(keyword.isin(shared), strength(text)).otherwise(marked)
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kind(value: Column) -> Column:
+    """STRING, OBJECT<...>, ARRAY<...>, ... of a variant; null for none."""
+    return F.schema_of_variant(value)
+
+
+def _member(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """A member that is a text; null if it is anything else."""
+    found = _member(value, path)
+    return F.when(_kind(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
+def _nodes(graph: Column) -> Column:
+    """Members of an object or an array, as (number, key, node): numbered ones first, as they are walked."""
+    return _let(graph, _nodes_of)
+
+
+def _nodes_of(graph: Column) -> Column:
+    kind = _kind(graph)
+    plain = lambda k: F.when(k.rlike(r"^(0|[1-9][0-9]{0,9})\z"), k.try_cast("long"))
+    of_object = F.transform(F.map_entries(F.try_variant_get(F.when(kind.startswith("OBJECT"), graph), "$", "map<string,variant>")), lambda e: F.struct(F.coalesce(plain(e["key"]), F.lit(1 << 40)).alias("number"), e["key"].alias("key"), e["value"].alias("node")))
+    of_array = F.transform(F.try_variant_get(F.when(kind.startswith("ARRAY"), graph), "$", "array<variant>"), lambda v, i: F.struct(i.cast("long").alias("number"), F.lit("").alias("key"), v.alias("node")))
+    return F.coalesce(of_object, of_array)
+
+
+def _is_graph(value: Column) -> Column:
+    """Whether some member is an object with a ``class_type``."""
+    return F.coalesce(F.exists(_nodes(value), lambda n: F.coalesce(_member(n["node"], "class_type").isNotNull(), F.lit(False))), F.lit(False))
+
+
 def raw_prompt(chunks: Column) -> Column:
     """The prompt among text chunks (a map): settings text up to its negative part or its
-    steps, else the longest text node of a graph, else the prompt of a JSON comment, else a plain description."""
+    steps, else the longest text of a graph's text nodes, else the prompt text of a JSON
+    comment, else that of a JSON description or the plain description.
+
+    Lengths count UTF-16 units; of equal ones the least node number counts, then the least
+    other name. What is no text where a text should be (an object, a number) is passed over.
+    """
     settings = F.element_at(chunks, F.lit("parameters"))
     cut = F.when(F.instr(settings, "\nNegative prompt:") > 0, F.substring_index(settings, "\nNegative prompt:", 1)).otherwise(F.substring_index(settings, "\nSteps:", 1))
-    graph = F.from_json(F.element_at(chunks, F.lit("prompt")), "map<string,struct<class_type:string,inputs:map<string,string>>>")
-    nodes = F.filter(F.map_entries(graph), lambda e: e["value"]["class_type"].rlike("(?i)CLIPTextEncode") & F.element_at(e["value"]["inputs"], F.lit("text")).isNotNull())
-    # the longest; of equal ones the least node number
-    longest = F.element_at(F.array_sort(F.transform(nodes, lambda e: F.struct((-F.length(F.element_at(e["value"]["inputs"], F.lit("text")))).alias("n"), F.expr("try_cast(0 as bigint)").alias("z"), e["key"].cast("string").alias("k"), F.element_at(e["value"]["inputs"], F.lit("text")).alias("t")))), 1)["t"]
-    comment = F.get_json_object(F.element_at(chunks, F.lit("Comment")), "$.prompt")
+    nodes = F.filter(_nodes(F.try_parse_json(F.element_at(chunks, F.lit("prompt")))), lambda n: F.coalesce(F.try_variant_get(n["node"], "$.class_type", "string").rlike("(?i)CLIPTextEncode"), F.lit(False)) & _text_at(n["node"], "inputs.text").isNotNull())
+
+    def row(n: Column) -> Column:
+        text = _text_at(n["node"], "inputs.text")
+        return F.struct((-F.octet_length(F.encode(text, "UTF-16BE"))).alias("n"), n["number"].alias("number"), n["key"].alias("key"), text.alias("text"))
+
+    longest = F.get(F.array_sort(F.transform(nodes, row)), F.lit(0))["text"]
+    comment = _text_at(F.try_parse_json(F.element_at(chunks, F.lit("Comment"))), "prompt")
     description = F.element_at(chunks, F.lit("Description"))
-    said = F.coalesce(F.get_json_object(description, "$.prompt"), F.when(F.try_parse_json(description).isNull(), description))
-    return F.coalesce(F.regexp_replace(F.coalesce(cut, F.when(F.size(nodes) > 0, longest), comment, said), rf"^{WS}+|{WS}+\z", ""), F.lit(""))
+    parsed = F.try_parse_json(description)
+    said = F.when(parsed.isNull(), description).otherwise(_text_at(parsed, "prompt"))
+    return F.coalesce(_trimmed(F.coalesce(cut, longest, comment, said)), F.lit(""))
 
 
 def xml_unescaped(text: Column) -> Column:
@@ -219,27 +270,67 @@ def demirrored(text: Column) -> Column:
 def shape(text: Column) -> Column:
     """What an unlabelled text is: ``prompt`` for a graph of nodes (bare, labelled or nested),
     ``Comment`` for JSON with a prompt text, ``parameters`` for any other text, null for none or another label."""
-    t = F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
-    label = F.regexp_extract(t, r"^([A-Za-z0-9_.-]{1,64}):\s*[\[{]", 1)
-    graph = t.startswith("{") & F.try_parse_json(t).isNotNull() & t.contains('"class_type"')
-    nested = F.get_json_object(t, "$.prompt")
-    said = t.startswith("{") & nested.isNotNull() & ~nested.startswith("{")
-    return F.when(F.coalesce(t, F.lit("")) == "", None).when(label == "prompt", "prompt").when(label != "", None).when(graph, "prompt").when(said, "Comment").otherwise("parameters")
+    return unlabelled(text)["kind"]
+
+
+def unlabelled(text: Column) -> Column:
+    """(kind, text) of a text without a keyword, by its ``shape``: a label goes, and a nested graph comes out."""
+    label = r"(?s)^([A-Za-z0-9_.-]{1,64}):\s*([\[{].*)\z"
+
+    def said(kind: str, what: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), what.alias("text"))
+
+    def told(t: Column, value: Column, name: Column) -> Column:
+        nested = _member(value, "prompt")
+        found = (
+            F.when(name == "prompt", said("prompt", F.regexp_extract(t, label, 2))).when(name != "", F.lit(None)).when(_is_graph(value), said("prompt", t))
+            .when(_is_graph(nested), said("prompt", F.to_json(nested))).when(_text_at(value, "prompt").isNotNull(), said("Comment", t)).otherwise(said("parameters", t))
+        )
+        return F.when(F.coalesce(t, F.lit("")) != "", found)
+
+    return _let(_trimmed(text), lambda t: _let(F.try_parse_json(F.when(t.startswith("{"), t)), lambda v: told(t, v, F.regexp_extract(t, label, 1))))
+
+
+#: A labelled line of a caption, after a line's start, a character reference or a tag.
+_LABELLED = r"(?i)(?:^|\n|&#x?[0-9a-f]+;|>)\s*Include in Image:[ \t]*([^\n<&]*)"
 
 
 def chunks_of(fields: Column) -> Column:
     """Text chunks by keyword from a map of removed fields.
 
     A PNG's own keywords come first (a ``prompt`` that is no JSON is settings text), then
-    EXIF texts by their ``shape``; a labelled line counts only where there is neither.
+    EXIF texts by their ``shape``, then a graph labelled in EXIF's ``Model``. Where there is
+    none of these, the first labelled line of a field counts, and where there is none
+    either, the copy in the pixels: its comment and description, or all of it as settings.
     """
-    png = {k: F.element_at(fields, F.lit(f"png:{k}")) for k in ("parameters", "prompt", "Comment", "Description")}
-    bare = png["prompt"].isNotNull() & ~F.coalesce(F.trim(png["prompt"]).startswith("{"), F.lit(False))
+    keys = ("parameters", "prompt", "Comment", "Description")
+    png = {k: F.element_at(fields, F.lit(f"png:{k}")) for k in keys}
+    bare = png["prompt"].isNotNull() & ~F.coalesce(_trimmed(png["prompt"]).startswith("{"), F.lit(False))
     png["parameters"] = F.coalesce(png["parameters"], F.when(bare, png["prompt"]))
     png["prompt"] = F.when(~bare, png["prompt"])
-    exif = [F.element_at(fields, F.lit(f"exif:{k}")) for k in ("UserComment", "ImageDescription")]
-    out = {k: F.coalesce(c, *(F.when(shape(x) == k, F.regexp_replace(x, r"^prompt:\s*", "")) for x in exif)) for k, c in png.items()}
-    line = F.regexp_extract(F.array_join(F.map_values(fields), "\n"), r"(?i)(?:^|\n)\s*Include in Image:[ \t]*([^\n<&]*)", 1)
-    none = F.coalesce(*out.values()).isNull()
-    out["parameters"] = F.coalesce(out["parameters"], F.when(none & (F.trim(line) != ""), F.trim(line)))
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, out)), F.array(*out.values())), lambda k, v: v.isNotNull())
+    label = r"(?s)^prompt:\s*(\{.*\})\s*\z"
+    model = F.element_at(fields, F.lit("exif:Model"))
+
+    def found(comment: Column, description: Column) -> Column:
+        own = {k: F.coalesce(c, *(F.when(x["kind"] == k, x["text"]) for x in (comment, description))) for k, c in png.items()}
+        own["prompt"] = F.coalesce(own["prompt"], F.when(model.rlike(label), F.regexp_extract(model, label, 1)))
+        return F.struct(*(c.alias(k) for k, c in own.items()))
+
+    lines = F.filter(F.transform(F.map_values(fields), lambda v: _trimmed(F.regexp_extract(v, _LABELLED, 1))), lambda x: x != "")
+    stealth = F.element_at(fields, F.lit("png:stealth"))
+
+    def other(own: Column, line: Column) -> Column:
+        """Where there is no chunk: a labelled line, or the copy in the pixels."""
+        kept = F.coalesce(_kind(own).startswith("OBJECT") | _kind(own).startswith("ARRAY"), F.lit(False))
+        settings = F.coalesce(line, F.when(~kept & ~stealth.startswith("[undecodable "), stealth))
+        said = {k: F.when(line.isNull(), _text_at(own, k)) for k in ("Comment", "Description")}
+        return F.struct(settings.alias("parameters"), F.lit(None).cast("string").alias("prompt"), *(c.alias(k) for k, c in said.items()))
+
+    exif = [unlabelled(F.element_at(fields, F.lit(f"exif:{k}"))) for k in ("UserComment", "ImageDescription")]
+    first = _let(exif[0], lambda a: _let(exif[1], lambda b: found(a, b)))
+    rest = _let(F.try_parse_json(stealth), lambda own: _let(F.get(lines, F.lit(0)), lambda line: other(own, line)))
+
+    def mapped(own: Column) -> Column:
+        return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(own[k] for k in keys))), lambda k, v: v.isNotNull())
+
+    return _let(first, lambda own: F.when(F.coalesce(*(own[k] for k in keys)).isNotNull(), mapped(own)).otherwise(_let(rest, mapped)))

@@ -80,8 +80,10 @@ def keyword_strengths(t):
     return _dressed(t).groupBy("source", level.alias("strength")).agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, md5(regexp_replace(case doc_id % 5 when 0 then text when 1 then text when 2 then case when length(text) >= 12 then text else 'a plain text' end when 3 then text else 'plain ' || text end, '^\\s+|\\s+\\z', '', 'g')) digest from documents
-where not regexp_matches(text, '[^\\x20-\\x7E]')""")
+_BLANK = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+@query(rf"""select doc_id, md5(regexp_replace(case doc_id % 5 when 2 then case when length(text) >= 12 then text else 'a plain text' end when 4 then 'plain ' || text else text end, '^{_BLANK}|{_BLANK}\z', '', 'g')) digest from documents""")
 def prompt_sources(t):
     """The prompt out of settings text, a node graph, a JSON comment or a description."""
     text, kind = F.col("text"), F.col("doc_id") % 5
@@ -91,19 +93,24 @@ def prompt_sources(t):
         F.array(*map(F.lit, ("parameters", "prompt", "Comment", "Description"))),
         F.array(F.when(kind == 0, F.concat(text, F.lit("\nNegative prompt: x\nSteps: 3"))).when(kind == 1, F.concat(text, F.lit("\nSteps: 20, Sampler: y"))).otherwise(none), F.when(kind == 2, graph).otherwise(none), F.when(kind == 3, F.to_json(F.struct(text.alias("prompt")))).otherwise(none), F.when(kind == 4, F.concat(F.lit("plain "), text)).otherwise(none)),
     )
-    return t("documents").where(~text.rlike(r"[^\x20-\x7E]")).select("doc_id", F.md5(prompts.raw_prompt(chunks)).alias("digest"))
+    return t("documents").select("doc_id", F.md5(prompts.raw_prompt(chunks)).alias("digest"))
 
 
-@query("""select event_id, case event_id % 6 when 0 then 'parameters' when 1 then 'prompt' when 2 then 'parameters' when 3 then 'Comment' when 4 then 'prompt' else 'parameters' end as keys, case event_id % 6 when 5 then 'a red boat' when 0 then event_type when 2 then event_type else '' end as said from events""")
+@query("""select event_id, case when event_id % 12 in (0, 2, 5, 9) then 'parameters' when event_id % 12 in (1, 4, 6, 7) then 'prompt' when event_id % 12 in (3, 10) then 'Comment' when event_id % 12 = 8 then 'Comment,Description' else '' end as keys,
+case event_id % 12 when 5 then 'a red boat' when 0 then event_type when 2 then event_type when 9 then event_type when 3 then event_type when 8 then event_type when 10 then '' when 11 then '' else 'node ' || event_type end as said from events""")
 def routed_fields(t):
-    """Removed fields to text chunks: keywords first, then the shape of unlabelled texts, then a labelled line."""
-    kind, i = F.col("event_type"), F.col("event_id") % 6
-    graph = F.concat(F.lit('{"1": {"class_type": "'), kind, F.lit('"}}'))
-    name = F.element_at(F.array(*map(F.lit, ("png:parameters", "png:prompt", "png:prompt", "exif:UserComment", "exif:ImageDescription", "iptc:caption"))), (i + 1).cast("int"))
-    value = F.when(i == 1, graph).when(i == 3, F.to_json(F.struct(kind.alias("prompt")))).when(i == 4, F.concat(F.lit("prompt: "), graph)).when(i == 5, F.lit("Title\nInclude in Image: a red boat\nmore")).otherwise(kind)
-    chunks = prompts.chunks_of(F.create_map(name, value))
-    said = F.when(i.isin(0, 2, 5), F.element_at(chunks, "parameters")).otherwise("")
-    return t("events").select("event_id", F.array_join(F.map_keys(chunks), ",").alias("keys"), said.alias("said"))
+    """The prompt out of removed fields: keywords, then the shape of unlabelled texts (graphs bare, labelled, nested), then a labelled line, then the copy in the pixels."""
+    kind, i = F.col("event_type"), F.col("event_id") % 12
+    graph = F.concat(F.lit('{"1": {"class_type": "CLIPTextEncode", "inputs": {"text": "node '), kind, F.lit('", "clip": ["4", 1]}}, "2": {"class_type": "KSampler", "inputs": {"text": ["1", 0]}}}'))
+    names = ("png:parameters", "png:prompt", "png:prompt", "exif:UserComment", "exif:ImageDescription", "iptc:caption", "exif:Model", "exif:UserComment", "png:stealth", "png:stealth", "png:Comment", "exif:UserComment")
+    name = F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    said = F.to_json(F.struct(kind.alias("prompt")))
+    value = (
+        F.when(i == 1, graph).when(i == 3, said).when(i == 4, F.concat(F.lit("prompt: "), graph)).when(i == 5, F.lit("Title>Include in Image: a red boat\nmore")).when(i == 6, F.concat(F.lit("prompt:"), graph)).when(i == 7, F.concat(F.lit('{"prompt": '), graph, F.lit(', "v": 1}')))
+        .when(i == 8, F.to_json(F.struct(said.alias("Comment"), F.lit("else").alias("Description"), F.lit(7).alias("Software")))).when(i == 10, F.lit('{"prompt": {"a": 1}}')).when(i == 11, F.lit('note: {"class_type": 1}')).otherwise(kind)
+    )
+    found = t("events").select("event_id", prompts.chunks_of(F.create_map(name, value)).alias("chunks"))
+    return found.select("event_id", F.array_join(F.map_keys("chunks"), ",").alias("keys"), prompts.raw_prompt(F.col("chunks")).alias("said"))
 
 
 @query("""select doc_id, md5(substr(text, 1, 200)) digest, md5(substr(text, 1, 30)) mirrored from documents where not regexp_matches(substr(text, 1, 200), '[^A-Za-z ,\n]')""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
@@ -107,3 +108,29 @@ def test_names(spark):
     assert applied(spark, ["2024-02-30", "2024-02-29 10:00:00", "soon", None], names.iso_time(F.col("x"))) == [None, "2024-02-29T10:00:00.000Z", None, None]
     assert applied(spark, ["https://h/posts/17", "/posts/18?x=1", "/posts/new"], names.id_at_end(F.col("x"))) == [17, 18, None]
     assert applied(spark, ['{"message": "no"}', '{"errors": {"base": ["a", "b"]}}', "<html>"], names.reasons(F.col("x"))) == ["no", "a; b", "unknown"]
+
+
+def test_prompt_sources_tell_texts_from_objects_and_order_nodes_by_number(spark):
+    node = lambda text, kind="CLIPTextEncode": {"class_type": kind, "inputs": {"text": text}}
+    graphs = [
+        ({"10": node("bb"), "9": node("aa")}, "aa"), ({"x": node("bb"), "10": node("cc")}, "cc"), ({"1": node(["2", 0]), "2": node("from two"), "3": node(7)}, "from two"),
+        ({"1": node("\U0001f600\U0001f600"), "2": node("abc")}, "\U0001f600\U0001f600"), ({"1": node("a"), "2": "text", "3": None, "4": []}, "a"), ([node("one"), node("three")], "three"),
+    ]
+    cases = [({"prompt": json.dumps(g)}, want) for g, want in graphs]
+    cases += [({"Comment": '{"prompt": {"a": 1}}', "Description": " plain "}, "plain"), ({"Description": '{"prompt": {"a": 1}}'}, ""), ({"Description": "12"}, ""), ({"prompt": "{}", "Comment": '{"prompt": " c "}'}, "c"), ({"parameters": "", "Comment": '{"prompt": "c"}'}, "")]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c map<string,string>")
+    got = [r.p for r in df.select("i", prompts.raw_prompt(F.col("c")).alias("p")).orderBy("i").collect()]
+    assert got == [w for _, w in cases]
+
+
+def test_fields_are_routed(spark):
+    graph = json.dumps({"1": {"class_type": "CLIPTextEncode", "inputs": {"text": "a node"}}})
+    cases = [
+        ({"exif:UserComment": f'{{"prompt": {graph}, "v": 2}}'}, {"prompt"}, "a node"), ({"exif:UserComment": f"  {graph}\n"}, {"prompt"}, "a node"), ({"exif:Model": f"prompt:{graph} "}, {"prompt"}, "a node"), ({"exif:Model": "prompt:none", "png:prompt": " bare"}, {"parameters"}, "bare"),
+        ({"exif:UserComment": f"prompt: {graph}", "exif:ImageDescription": "settings\nSteps: 3"}, {"prompt", "parameters"}, "settings"), ({"exif:UserComment": f"workflow:{graph}"}, set(), ""), ({"exif:UserComment": '{"other": 1}'}, {"parameters"}, '{"other": 1}'),
+        ({"png:stealth": '{"Comment": "{\\"prompt\\": \\"from pixels\\"}", "Description": 5}'}, {"Comment"}, "from pixels"), ({"png:stealth": "settings\nSteps: 2"}, {"parameters"}, "settings"), ({"png:stealth": "[undecodable 9]"}, set(), ""), ({"png:stealth": "x", "png:Description": "d"}, {"Description"}, "d"),
+        ({"xmp:a": "Include in Image:  ", "xmp:b": "x&#xA; Include in image: a boat<br>"}, {"parameters"}, "a boat"), ({}, set(), ""),
+    ]
+    df = spark.createDataFrame([(i, f) for i, (f, _, _) in enumerate(cases)], "i int, f map<string,string>")
+    for r in df.select("i", prompts.chunks_of(F.col("f")).alias("c")).select("i", "c", prompts.raw_prompt(F.col("c")).alias("p")).collect():
+        assert (set(r.c), r.p) == cases[r.i][1:], cases[r.i]
