@@ -44,4 +44,4 @@ def epoch_ms(ts: Column) -> Column:
 
 def entry_id(*parts: Column) -> Column:
     """A key that is the same in every run: sanitised parts, 64 characters at most."""
-    return F.substring(F.regexp_replace(F.concat_ws("-", *parts), r"[^A-Za-z0-9._-]", "_"), 1, 64)
+    return F.substring(F.regexp_replace(F.concat_ws("-", *parts), r"[^A-Za-z0-9_-]", "_"), 1, 64)

@@ -137,7 +137,7 @@ def upsert_no_op(t):
     return joins.upsert_changes(stored, new, "k", ["b"]).groupBy("action").agg(F.count("*").alias("c"))
 
 
-@query("select doc_id, substr(regexp_replace(source || '-' || lang || '-' || doc_id || '-' || substr(text, 1, 60), '[^A-Za-z0-9._-]', '_', 'g'), 1, 64) entry from documents")
+@query("select doc_id, substr(regexp_replace(source || '-' || lang || '-' || doc_id || '-' || substr(text, 1, 60), '[^A-Za-z0-9_-]', '_', 'g'), 1, 64) entry from documents")
 def entry_ids(t):
     return t("documents").select("doc_id", fx.entry_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.substring("text", 1, 60)).alias("entry"))
 
