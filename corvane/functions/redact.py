@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.prompts import _let
+
 ADDRESS, AGENT = "[address removed]", "[user agent removed]"
 
 # Products whose name and version are a user agent wherever they stand.
@@ -33,17 +37,40 @@ RULES = [
 ]
 
 
+#: What a text must have for each rule to match at all, in their order: most prose has none of it.
+_MAY = [
+    lambda t: F.lower(t).contains("agent"),
+    lambda t: t.contains("/"),
+    lambda t: t.contains("/") & t.contains(";"),
+    lambda t: t.contains("://"),
+    lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    lambda t: t.contains("::") | t.rlike(f"{_H}:{_H}:{_H}:"),
+    lambda t: t.rlike(r"[A-Za-z0-9-]:[0-9]{2}"),
+    lambda t: t.rlike(r"[A-Za-z0-9-]:[0-9]{2}"),
+]
+
+
 def scrubbed(text: Column) -> Column:
     """struct(text, address, agent): the redacted text and how many of each kind went.
 
-    The text after each rule is one common subexpression of the next rule and its count.
+    Each rule acts on what the one before left; a text that it cannot match is passed on as it is.
     """
-    marks, counts = {"agent": AGENT, "address": ADDRESS}, {"agent": F.lit(0), "address": F.lit(0)}
-    text = F.coalesce(text, F.lit(""))
-    for kind, pattern in RULES:
-        counts[kind] += F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, marks[kind])
-    return F.struct(text.alias("text"), *(counts[k].cast("long").alias(k) for k in ("address", "agent")))
+    zero = F.lit(0).cast("long")
+    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), zero.alias("address"), zero.alias("agent"))
+    for (kind, pattern), may in zip(RULES, _MAY, strict=True):
+        state = _let(state, _step(kind, pattern, may))
+    return state
+
+
+def _step(kind: str, pattern: str, may: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """One rule on the state so far."""
+    mark = ADDRESS if kind == "address" else AGENT
+
+    def step(s: Column) -> Column:
+        counts = [(s[k] + F.regexp_count(s["text"], F.lit(pattern)) if k == kind else s[k]).alias(k) for k in ("address", "agent")]
+        return F.when(may(s["text"]), F.struct(F.regexp_replace(s["text"], pattern, mark).alias("text"), *counts)).otherwise(s)
+
+    return step
 
 
 def scrubbed_prose(kind: Column, text: Column, prose: list[str]) -> Column:

@@ -60,11 +60,3 @@ def redirected_ids(t):
     host = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
     place = F.when(F.col("page_id") % 5 == 0, F.concat(host, F.lit("/posts/"), i, F.lit("?q=/posts/1"))).when(F.col("page_id") % 5 == 1, F.concat(F.lit("/posts/"), i, F.lit(".json#x"))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("posts/"), i)).when(F.col("page_id") % 5 == 3, F.concat(host, F.lit("/users/"), i)).otherwise(F.concat(F.lit("/posts/"), i, F.lit("/edit")))
     return t("pages").select("page_id", messages.post_id(place).alias("id"))
-
-
-@query()
-def scrubbed_messages(t):
-    """Both texts of every message, redacted where they are prose; look-around patterns, so no SQL."""
-    kind = F.when(F.col("role") == "user", "m.text").when(F.col("role") == "assistant", "m.notice").otherwise("m.image")
-    out = t("conversations").select("conv_id", "turn", messages.scrubbed_content(kind, F.col("text"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).alias("x"))
-    return out.select("conv_id", "turn", "x.address", "x.agent", F.md5("x.body").alias("body"), F.md5("x.formatted").alias("formatted"))
