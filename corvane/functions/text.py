@@ -10,14 +10,6 @@ def without_query(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "")
 
 
-def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1)
-
-
-def extension(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]{1,8})$", 1))
-
-
 def duration(minutes: Column) -> Column:
     """1 minute, 5 minutes, 1 hour, 3 hours, 1h 5m."""
     hours, rest = F.floor(minutes / 60), minutes % 60

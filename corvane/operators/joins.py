@@ -23,6 +23,26 @@ def first_match(rows: DataFrame, lookups: list[tuple[str, str, DataFrame]], valu
     return rows.withColumn(value, F.coalesce(*hit)).withColumn("via", via).drop(*hit)
 
 
+def by_digest(rows: DataFrame, posts: DataFrame, records: DataFrame) -> DataFrame:
+    """Each row with the post that holds its bytes (``post_id``, ``md5``) and ``via``: by the
+    digest of the stripped bytes, else by what is on record for the raw ones, else by that of the raw ones.
+
+    ``rows`` have ``raw_md5`` and ``stripped_md5``; ``posts(md5, post_id)`` and
+    ``records(raw_md5, recorded)`` have one row for a digest. A record that names the stripped
+    digest, and a raw digest that equals it, were looked up already. Keys that are not
+    looked up get a value of their own that no digest has, so that they spread over tasks.
+    """
+    rows = rows.join(records.select("raw_md5", F.col("recorded").alias("__r")), "raw_md5", "left")
+    none = F.concat(F.lit("none-"), F.coalesce("raw_md5", F.expr("uuid()")))
+    stripped, raw = F.col("stripped_md5"), F.col("raw_md5")
+    again = lambda c: c.isNull() | F.coalesce(c == stripped, F.lit(False))
+    rows = rows.withColumns({"__k0": F.coalesce(stripped, none), "__k1": F.when(again(F.col("__r")), none).otherwise(F.col("__r")), "__k2": F.when(again(raw), none).otherwise(raw)})
+    labels = ("stripped", "raw-record", "raw")
+    found = first_match(rows, [(label, f"__k{i}", posts.select(F.col("md5").alias(f"__k{i}"), "post_id")) for i, label in enumerate(labels)], "post_id")
+    md5 = F.when(F.col("via") == labels[0], F.col("__k0")).when(F.col("via") == labels[1], F.col("__k1")).when(F.col("via") == labels[2], F.col("__k2"))
+    return found.withColumn("md5", md5).drop("__k0", "__k1", "__k2", "__r")
+
+
 def in_scope(rows: DataFrame, *scopes: tuple[DataFrame, str]) -> DataFrame:
     """Rows whose keys are in every scope."""
     return reduce(lambda d, s: d.join(s[0].select(s[1]), s[1], "left_semi"), scopes, rows)

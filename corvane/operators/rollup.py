@@ -13,11 +13,6 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(row).alias("__row")).select(*keys, *(F.col("__row")[c].alias(c) for c in [*order, *rest]))
 
 
-def tally(df: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
-    """Rows of each group and those that meet each condition."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
-
-
 def completion(plan: DataFrame, outcomes: DataFrame, key: str, by: str, done: Column) -> DataFrame:
     """Planned, done and untouched rows of each group; ``outcomes`` has one row for a key."""
     joined = plan.join(outcomes.withColumn("__seen", F.lit(True)), key, "left")
@@ -30,6 +25,7 @@ def trailing(df: DataFrame, key: str, at: str, span_ms: int, cap: int) -> DataFr
 
     A window lies in two stretches of ``span_ms`` at most, so each row is sent to its own
     and the next one, and a key with very many rows is spread over as many tasks as it has stretches.
+    Rows without a time are in no window and go.
     """
     own = F.floor(F.col(at) / span_ms)
     rows = df.withColumn("__own", own).withColumn("__part", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
@@ -38,39 +34,68 @@ def trailing(df: DataFrame, key: str, at: str, span_ms: int, cap: int) -> DataFr
     return rows.withColumn("remaining", F.greatest(F.lit(0).cast("long"), cap - F.col("used")))
 
 
+def _by_stretch(df: DataFrame, key: str, stretch: Column | None) -> DataFrame:
+    """Rows with ``__part``, their key and stretch as one value, in which nulls equal each other."""
+    return df.withColumn("__part", F.struct(F.col(key).alias("k"), (F.lit(0) if stretch is None else stretch).alias("p")))
+
+
+def _earlier() -> Window:
+    """The stretches of a key before a row's own, over one row for each."""
+    return Window.partitionBy("__part.k").orderBy("__part.p").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_previous(df: DataFrame, key: str, order: list[str], value: str, stretch: Column | None = None) -> DataFrame:
     """Each row with the ``value`` of the row before it (``previous``).
 
-    With ``stretch``, a column that grows with the order (a day, say), rows of one key and
-    stretch are sorted together, and only the last value of each stretch is carried on;
-    rows with a null key go then.
+    With ``stretch``, a column that grows with the order (a day, say; null where the order
+    is), rows of one key and stretch are sorted together, and only the last value of each
+    stretch is carried on. The result is the same: null keys are a key, and rows without a
+    time come first.
     """
     if stretch is None:
         return df.withColumn("previous", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
-    rows = df.withColumn("__part", stretch)
-    last = rows.groupBy(key, "__part").agg(F.max(F.struct(*order, F.col(value).alias("__value")))["__value"].alias("__last"))
-    before = last.withColumn("__before", F.lag("__last").over(Window.partitionBy(key).orderBy("__part"))).drop("__last")
-    w = Window.partitionBy(key, "__part").orderBy(*order)
-    rows = rows.withColumn("__previous", F.lag(value).over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    rows = rows.join(before, [key, "__part"])
+    rows = _by_stretch(df, key, stretch)
+    last = rows.groupBy("__part").agg(F.max(F.struct(*order, F.col(value).alias("__value")))["__value"].alias("__last"))
+    before = last.select("__part", F.lag("__last").over(Window.partitionBy("__part.k").orderBy("__part.p")).alias("__before"))
+    w = Window.partitionBy("__part").orderBy(*order)
+    rows = rows.withColumn("__previous", F.lag(value).over(w)).withColumn("__first", F.row_number().over(w) == 1).join(before, "__part")
     return rows.select(*df.columns, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__previous")).alias("previous"))
 
 
+def greatest_so_far(df: DataFrame, key: str, order: list[str], names: list[str], stretch: Column | None = None, itself: bool = False) -> DataFrame:
+    """Some columns replaced by their greatest value among the key's earlier rows, or up to the row ``itself``.
+
+    ``stretch`` as in ``with_previous``: the greatest values of the stretches before are added.
+    """
+    rows = _by_stretch(df, key, stretch)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    out = rows.withColumns({n: F.max(n).over(w) for n in names})
+    if stretch is not None:
+        most = rows.groupBy("__part").agg(*(F.max(n).alias(f"{n}__most") for n in names))
+        before = most.select("__part", *(F.max(f"{n}__most").over(_earlier()).alias(f"{n}__before") for n in names))
+        out = out.join(before, "__part").withColumns({n: F.when(F.col(n).isNull() | (F.col(f"{n}__before") > F.col(n)), F.col(f"{n}__before")).otherwise(F.col(n)) for n in names})
+    return out.select(*df.columns)
+
+
+def _failures(df: DataFrame, key: str, order: list[str], failed: Column, stretch: Column | None) -> DataFrame:
+    """The rows that failed, with the number of their key's successes before them (``__island``)."""
+    rows = _by_stretch(df.withColumn("__failed", failed), key, stretch)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("__island", F.count_if(~F.col("__failed")).over(w)).where("__failed")
+    if stretch is not None:
+        sums = rows.groupBy("__part").agg(F.count_if(~F.col("__failed")).alias("__n"))
+        before = sums.select("__part", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)).alias("__n"))
+        marked = marked.join(before, "__part").withColumn("__island", F.col("__island") + F.col("__n"))
+    return marked.select(*df.columns, "__island")
+
+
 def runs(df: DataFrame, key: str, order: list[str], failed: Column, stretch: Column | None = None) -> DataFrame:
     """Each run of consecutive failures: its key, first place and length.
 
     With ``stretch`` as in ``with_previous``: the successes of a key are counted in each
     stretch, and the sums over the stretches before are added.
     """
-    rows = df.withColumn("__failed", failed).withColumn("__part", F.lit(0) if stretch is None else stretch)
-    w = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("__island", F.count_if(~F.col("__failed")).over(w)).where("__failed")
-    if stretch is not None:
-        sums = rows.groupBy(key, "__part").agg(F.count_if(~F.col("__failed")).alias("__n"))
-        up_to = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        before = sums.select(key, "__part", F.coalesce(F.sum("__n").over(up_to), F.lit(0)).alias("__n"))
-        marked = marked.join(before, [key, "__part"]).withColumn("__island", F.col("__island") + F.col("__n"))
-    found = marked.groupBy(key, "__island").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("__first"))
+    found = _failures(df, key, order, failed, stretch).groupBy(key, "__island").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("__first"))
     return found.select(key, "length", *(F.col("__first")[c].alias(f"first_{c}") for c in order))
 
 
@@ -90,22 +115,26 @@ def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
     return df.where(F.col(key) > after).orderBy(key).limit(size)
 
 
-def until_failures(df: DataFrame, key: str, order: list[str], failed: Column, most: int) -> DataFrame:
-    """Rows of each key up to its ``most``-th failure in a row: ``sent``, and whether that came (``stopped``)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = df.withColumn("__failed", failed).withColumn("__island", F.count_if(~F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.when(F.col("__failed"), F.row_number().over(Window.partitionBy(key, "__island", "__failed").orderBy(*order)))
-    marked = marked.withColumn("__run", run).withColumn("__stop", F.count_if(F.coalesce(F.col("__run") >= most, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    sent = marked.where(F.coalesce(F.col("__stop"), F.lit(0)) == 0)
-    return sent.groupBy(key).agg(F.count("*").alias("sent"), F.bool_or(F.coalesce(F.col("__run") >= most, F.lit(False))).alias("stopped"))
+def until_failures(df: DataFrame, key: str, order: list[str], failed: Column, most: int, stretch: Column | None = None) -> DataFrame:
+    """Rows of each key up to its ``most``-th failure in a row: ``sent``, and whether that came (``stopped``).
+
+    ``order`` is unique within a key. ``stretch`` as in ``runs``; of each run only the first
+    ``most`` failures are sorted, and the rows are compared with where their key stops.
+    """
+    run = F.row_number().over(Window.partitionBy(key, "__island").orderBy(*order))
+    last = _failures(df, key, order, failed, stretch).withColumn("__run", run).where(F.col("__run") == most)
+    stops = last.groupBy(F.struct(key).alias("__key")).agg(F.min(F.struct(*order)).alias("__stop"))
+    rows = df.withColumn("__key", F.struct(key)).join(stops, "__key", "left")
+    sent = rows.where(F.col("__stop").isNull() | (F.struct(*order) <= F.col("__stop")))
+    return sent.groupBy(key).agg(F.count("*").alias("sent"), F.bool_or(F.col("__stop").isNotNull()).alias("stopped"))
 
 
-def armed(df: DataFrame, key: str, order: list[str], arms: Column, uses: Column, span: str) -> DataFrame:
+def armed(df: DataFrame, key: str, order: list[str], arms: Column, uses: Column, span: str, stretch: Column | None = None) -> DataFrame:
     """Events that may use what an earlier one of their key armed: ``session`` is consumed,
-    expired (the span passed), or none (not armed, or used since)."""
+    expired (the span passed), or none (not armed, or used since). ``stretch`` as in ``with_previous``."""
     at = order[0]
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("__uses", uses).withColumn("__armed", F.max(F.when(arms, F.col(at))).over(before)).withColumn("__used", F.max(F.when(uses, F.col(at))).over(before))
+    rows = df.withColumn("__uses", uses).withColumn("__armed", F.when(arms, F.col(at))).withColumn("__used", F.when(F.col("__uses"), F.col(at)))
+    rows = greatest_so_far(rows, key, order, ["__armed", "__used"], stretch)
     none = F.col("__armed").isNull() | F.coalesce(F.col("__used") >= F.col("__armed"), F.lit(False))
     session = F.when(none, "none").when(F.col(at) - F.col("__armed") <= F.expr(span), "consumed").otherwise("expired")
     return rows.where("__uses").withColumn("session", session).drop("__uses", "__armed", "__used")

@@ -26,10 +26,22 @@ def provenance(creator: Column, auto: Column, meta: Column, labels: list[str]) -
     return F.struct(both.alias("both"), auto_only.alias("auto_only"), creator_only.alias("creator_only"), F.concat(auto_only, both, meta).alias("spectrum"))
 
 
-def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys of exactly one side, with the side, in one exchange."""
-    both = a.select(key, F.lit(1).alias("__s")).union(b.select(key, F.lit(2).alias("__s")))
-    return both.groupBy(key).agg(F.min("__s").alias("low"), F.max("__s").alias("high")).where("low = high").select(key, F.when(F.col("low") == 1, "left").otherwise("joined").alias("change"))
+def reread(creator: Column, meta: Column, oc: Column, stored: Column, labels: list[str]) -> Column:
+    """struct(creator, auto, both, meta, oc, replace_creator): a stored partition rebuilt around a fresh read.
+
+    ``stored`` maps the parts of what is public to lists (null: nothing is known). What was
+    automatic stays so, the creator's part is read anew, ``both`` is where they meet, and
+    ``replace_creator`` says that the rows of the read before have to go. Missing lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    creator, meta, oc = (F.coalesce(x, none) for x in (creator, meta, oc))
+    of = lambda part: F.coalesce(F.element_at(stored, part), none)
+    auto = merged(of("auto"), of("both"))
+    own = F.filter(kept(creator, labels), lambda x: ~F.array_contains(auto, x))
+    return F.struct(
+        own.alias("creator"), F.filter(auto, lambda x: ~F.array_contains(creator, x)).alias("auto"), F.filter(auto, lambda x: F.array_contains(creator, x)).alias("both"),
+        merged(of("meta"), meta).alias("meta"), oc.alias("oc"), F.lit(True).alias("replace_creator"),
+    )
 
 
 def edited(current: Column, add: Column, remove: Column) -> Column:

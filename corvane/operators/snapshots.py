@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.rollup import greatest_so_far
+
 
 def without_names(tags: Column, names: Column) -> Column:
     """The tags without the names; repeats and order stay."""
@@ -78,12 +80,16 @@ def drained(parked: DataFrame, listed: DataFrame, visible: DataFrame) -> DataFra
     return rows.withColumn("action", F.when(F.col("flagged"), "keep").when(F.col("banished"), "drop banished").when(F.col("seen").isNull(), "drop hidden").otherwise("write")).drop("flagged", "banished", "seen")
 
 
-def polled(polls: DataFrame, key: str) -> DataFrame:
-    """State of a polled source after each answer, by ``at``: the generation that holds (a 304
-    confirms it, an error keeps it), when it was last checked, and whether that is fresh."""
-    from pyspark.sql import Window
+def polled(polls: DataFrame, key: str, order: list[str] = ["at"], stretch: Column | None = None) -> DataFrame:
+    """State of a polled source after each answer, by ``order`` (``at`` first): the generation that holds (a 304
+    confirms it, an error keeps it), when it was last checked, and whether that is fresh.
 
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    holds = F.last(F.when(F.col("status") == 200, F.col("generation")), True).over(w)
-    checked = F.max(F.when(F.col("status").isin(200, 304) & holds.isNotNull(), F.col("at"))).over(w)
-    return polls.withColumn("holds", holds).withColumn("checked_at", checked).withColumn("fresh", is_fresh(F.col("checked_at"), F.col("at")))
+    ``stretch``, a column that grows with ``at``, spreads a source with very many answers
+    over tasks, as in ``rollup.with_previous``.
+    """
+    new = F.when((F.col("status") == 200) & F.col("generation").isNotNull(), F.struct(*order, "generation"))
+    rows = polls.withColumn("__held", new).withColumn("checked_at", F.when(F.col("status").isin(200, 304), F.col("at")))
+    rows = greatest_so_far(rows, key, list(order), ["__held", "checked_at"], stretch, itself=True)
+    # the answer that brought the generation was a check itself, so no check after it came before it
+    rows = rows.withColumn("checked_at", F.when(F.col("__held").isNotNull(), F.col("checked_at")))
+    return rows.withColumn("holds", F.col("__held.generation")).drop("__held").withColumn("fresh", is_fresh(F.col("checked_at"), F.col("at")))

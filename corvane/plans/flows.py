@@ -9,7 +9,7 @@ from corvane.operators import scans
 from corvane.plans.registry import query
 from corvane.plans.states import _projections
 from corvane.sources.commits import Store, shared_folder
-from corvane.streaming import acquire, outboxes, views
+from corvane.streaming import acquire, outboxes, redactions, views
 
 # users as partitions, events as messages with up to three parts each
 _MESSAGES = """(select *, event_type = 'view' and event_id % 7 = 0 own, event_type = 'signup' and value > 95 withheld, event_type = 'error' and value < 20 and event_id % 4 > 1 fails from events)"""
@@ -127,3 +127,37 @@ def pruned_layout(t):
     scans.layout(o, path, "room")
     denied = t("customer").where("c_custkey % 9 = 4 and c_custkey < 200").select((F.col("c_custkey") % 50).alias("room"))
     return scans.undenied(o.sparkSession.read.schema(o.schema).parquet(path), "room", denied).groupBy("room").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
+# events as messages of which purchases take back the event seven before them, unless that was three days ago; each fourth hour's events land after all others
+_LATE = "hour(ts) % 4 = 3"
+
+
+@query("""with m as (select event_id, user_id, ts from events where event_type <> 'purchase'), r as (select event_id - 7 as event_id, ts from events where event_type = 'purchase'),
+g as (select distinct m.event_id from m join r using (event_id))
+select event_id, user_id from m anti join g using (event_id)""")
+def unredacted_messages(t):
+    """Messages that nobody took back: what the stream lets through, what the walk after it finds, and what was still waiting."""
+    e = t("events").select("event_id", "user_id", "event_type", "ts")
+    spark = e.sparkSession
+    top = shared_folder(spark)
+    rows = e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("taken", F.when(F.col("event_type") == "purchase", F.col("event_id") - 7))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{top}/landed")
+    through = redactions.kept(*_sides(stream), "event_id", "ts", "3 days")
+    until = None
+    for late in (False, True):
+        rows.where(f"({_LATE}) = {late}").write.mode("append").parquet(f"{top}/landed")
+        query = through.writeStream.format("parquet").option("path", f"{top}/through").option("checkpointLocation", f"{top}/offsets").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = redactions.settled_until(query) or until
+    landed, gone = _sides(spark.read.schema(rows.schema).parquet(f"{top}/landed"))
+    sent = spark.read.schema(through.schema).parquet(f"{top}/through")
+    found = redactions.missed(landed, sent, gone, "event_id", "ts", "3 days", until)
+    waiting = landed.join(redactions.settled(landed, "ts", "3 days", until).select("event_id"), "event_id", "left_anti")
+    waiting = waiting.join(sent.select("event_id"), "event_id", "left_anti").join(gone.select("event_id"), "event_id", "left_anti")
+    later = gone.select("event_id").distinct()  # taken back after the stream's three days
+    return sent.join(later, "event_id", "left_anti").unionByName(found).unionByName(waiting).select("event_id", "user_id")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("taken is null").select("event_id", "user_id", "ts"), rows.where("taken is not null").select(F.col("taken").alias("event_id"), "ts")

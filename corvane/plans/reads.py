@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import names, prompts
 from corvane.functions import text as fx
-from corvane.operators import joins, outbox, permissions, rollup, scans, sets, snapshots
+from corvane.operators import backfill, joins, outbox, permissions, rollup, scans, sets, snapshots
 from corvane.plans.registry import query
 
 K = "coalesce(cast(json_extract_string(props, '$.k') as bigint), 0)"
@@ -339,7 +339,7 @@ f as (select user_id, min((ts, event_id)) as stop from (select *, row_number() o
 select e.user_id, count(*) sent, bool_or(f.stop is not null) stopped from events e left join f using (user_id) where f.stop is null or (e.ts, e.event_id) <= f.stop group by 1""")
 def stopped_runs(t):
     """Each key up to its second failure in a row, and whether that came."""
-    return rollup.until_failures(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2)
+    return rollup.until_failures(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2, F.to_date("ts"))
 
 
 @query("""select user_id, max(a) most, arg_min(event_id, (-a, event_id)) as event_id from (select user_id, event_id, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) % 7 a from events) group by 1""")
@@ -392,4 +392,79 @@ a as (select *, max(armed) over (partition by user_id order by ts, event_id rows
 select event_id, case when last_armed is null or (last_used is not null and last_used >= last_armed) then 'none' when ts - last_armed <= interval 12 hours then 'consumed' else 'expired' end as session from a where event_type = 'click'""")
 def armed_sessions(t):
     """A session that one event arms is consumed by the next picture in time, else it expires (here after twelve hours)."""
-    return rollup.armed(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "click", "interval 12 hours").select("event_id", "session")
+    return rollup.armed(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "click", "interval 12 hours", F.to_date("ts")).select("event_id", "session")
+
+
+@query("""with d as (select doc_id, source s, lang l, n_chars % 2 = 0 as e, doc_id % 5 = 0 as unknown from documents),
+x as (select doc_id, case when unknown then [] when s = l then [s] else [s, l] end as auto, [case when e then s else l end, 'no_train', 'mine', 'mine'] as creator, case when unknown then ['seed'] else ['m', 'seed'] end as meta from d)
+select doc_id, array_to_string(list_filter(creator, lambda x: x <> 'no_train' and not list_contains(auto, x)), ' ') as creator, array_to_string(list_filter(auto, lambda x: not list_contains(creator, x)), ' ') as auto, array_to_string(list_filter(auto, lambda x: list_contains(creator, x)), ' ') as both, array_to_string(meta, ' ') as meta, '' as oc from x""")
+def reread_partition(t):
+    """Stored partitions rebuilt around a fresh read: what was automatic stays, the creator's part is new."""
+    lang, source = F.col("lang"), F.col("source")
+    stored = F.when(F.col("doc_id") % 5 != 0, F.create_map(F.lit("auto"), F.array(source), F.lit("both"), F.array(lang, source), F.lit("meta"), F.array(F.lit("m"))))
+    creator = F.array(F.when(F.col("n_chars") % 2 == 0, source).otherwise(lang), F.lit("no_train"), F.lit("mine"), F.lit("mine"))
+    p = sets.reread(creator, F.array(F.lit("seed")), F.lit(None).cast("array<string>"), stored, ["ai-generated", "no_train"])
+    join = lambda c: F.array_join(f"p.{c}", " ").alias(c)
+    return t("documents").select("doc_id", p.alias("p")).select("doc_id", *map(join, ("creator", "auto", "both", "meta", "oc")))
+
+
+_BYTES = """(select doc_id, md5(text) as raw, case when doc_id % 3 = 0 then md5(text) else md5(lower(text) || ' ') end as stripped from documents)"""
+
+
+@query(f"""with b as {_BYTES}, p as (select md5, min(post_id) as post_id from (select stripped as md5, doc_id as post_id from b where doc_id % 4 = 0 union all select raw, doc_id from b where doc_id % 7 = 1 union all select md5('old' || raw), doc_id from b where doc_id % 5 < 2) group by 1),
+r as (select raw, any_value(case when lang = 'en' then stripped else md5('old' || raw) end order by doc_id) as recorded from b join documents using (doc_id) where doc_id % 2 = 1 group by 1),
+j as (select b.doc_id, stripped, raw, recorded, (select post_id from p where p.md5 = b.stripped) as a, (select post_id from p where p.md5 = recorded and recorded <> b.stripped) as c, (select post_id from p where p.md5 = b.raw and b.raw <> b.stripped) as d from b left join r using (raw))
+select doc_id, coalesce(a, c, d) as post_id, case when a is not null then 'stripped' when c is not null then 'raw-record' when d is not null then 'raw' end as via, case when a is not null then stripped when c is not null then recorded when d is not null then raw end as md5 from j""")
+def bytes_lookup(t):
+    """The post of each text's bytes by the stripped digest, the one on record for the raw bytes, or the raw one."""
+    d = t("documents")
+    raw, i = F.md5("text"), F.col("doc_id")
+    b = d.select("doc_id", "lang", raw.alias("raw_md5"), F.when(i % 3 == 0, raw).otherwise(F.md5(F.concat(F.lower("text"), F.lit(" ")))).alias("stripped_md5"))
+    old = F.md5(F.concat(F.lit("old"), F.col("raw_md5")))
+    posts = b.select(F.explode(F.array_compact(F.array(F.when(i % 4 == 0, F.col("stripped_md5")), F.when(i % 7 == 1, F.col("raw_md5")), F.when(i % 5 < 2, old)))).alias("md5"), "doc_id").groupBy("md5").agg(F.min("doc_id").alias("post_id"))
+    records = b.where(i % 2 == 1).groupBy("raw_md5").agg(F.min_by(F.when(F.col("lang") == "en", F.col("stripped_md5")).otherwise(old), "doc_id").alias("recorded"))
+    return joins.by_digest(b.drop("lang"), posts, records).select("doc_id", "post_id", "via", "md5")
+
+
+# stretches of 200 events as rooms of 20 pages
+_IMAGE = "event_type <> 'signup'"
+_OUTCOME = "case when value < 10 then 'failed' when value < 18 then 'tags-blocked' when value < 22 then 'strip-refused' when value < 25 then 'held-hidden' else 'posted' end"
+
+
+@query(f"""with e as (select event_id, event_id // 200 as room, event_id % 200 // 10 + 1 as page, event_id % 10 as seq, {_IMAGE} as image, {_OUTCOME} as outcome, event_type, value from events),
+o as (select *, count(*) filter (value >= 20) over (partition by room order by event_id rows between unbounded preceding and current row) - (value >= 20)::int as b from e where event_type = 'error' and page > 15),
+o2 as (select *, case when b >= 90 then 'carried' when value < 12 then 'unreadable' when value < 20 then 'dropped' when value < 40 then 'failed' else 'done' end as became from o),
+d as (select room, count(*) filter (became in ('failed', 'done')) as retried from o2 group by 1),
+p as (select room, page, sum(image::int) as n, case when room % 6 = 1 and page = 7 then 'error' when room % 5 = 2 and page = 6 then 'start' when room % 7 = 3 and page = 5 then 'stalled' end as mark from e where page <= 12 group by 1, 2),
+w as (select p.*, coalesce(retried, 0) + coalesce(sum(n) over (partition by room order by page rows between unbounded preceding and 1 preceding), 0) as before from p left join d using (room)),
+s as (select *, case when mark = 'error' then mark when before + n > 90 then 'partial' else mark end as stops from w),
+f as (select * from (select *, min(case when stops is not null then page end) over (partition by room) as stop from s) where before < 90 and (stop is null or page <= stop)),
+h as (select room, became from o2 union all select room, case outcome when 'posted' then 'done' when 'tags-blocked' then 'blocked' when 'strip-refused' then 'refused' when 'held-hidden' then 'hidden' else outcome end from
+(select e.room, e.outcome, f.before + row_number() over (partition by e.room, e.page order by e.seq) as k from e join f using (room, page) where e.image and f.stops is distinct from 'error') where k <= 90),
+c as (select room, count(*) filter (became = 'done') as done, count(*) filter (became = 'blocked') as blocked, count(*) filter (became = 'refused') as refused, count(*) filter (became = 'hidden') as hidden, count(*) filter (became = 'failed') as failed, count(*) filter (became in ('failed', 'carried', 'unreadable')) as n_failures, count(*) filter (became = 'dropped') as n_dropped from h group by 1),
+z as (select room, count(*) filter (stops is distinct from 'error') as pages, sum(n) filter (stops is distinct from 'error') as seen, arg_max(coalesce(stops, 'none'), page) as why, arg_max(case when stops is null then page + 1 else page end, page) as cur from f group by 1),
+r as (select r.room, coalesce(seen, 0) as seen, coalesce(done, 0) as done, coalesce(blocked, 0) as blocked, coalesce(refused, 0) as refused, coalesce(hidden, 0) as hidden, coalesce(failed, 0) as failed, coalesce(retried, 0) as retried, coalesce(pages, 0) as pages, why, cur, n_failures, n_dropped from (select distinct room from e) r left join z using (room) left join c using (room) left join d using (room)),
+q as (select *, done + blocked + refused + hidden + failed >= 90 as capped from r)
+select room, case when cur = 1 or cur is null then null else 't' || cur end as cursor, coalesce(n_failures, 0) as n_failures, coalesce(n_dropped, 0) as n_dropped,
+'[backfill] ' || room || ': ' || seen || ' image(s) found, ' || done || ' done' || case when retried > 0 then ', ' || retried || ' earlier failure(s) retried' else '' end || case when blocked > 0 then ', ' || blocked || ' posted but tag state blocked' else '' end
+|| case when refused > 0 then ', ' || refused || ' NOT posted: generation data would not strip (see the [strip] lines)' else '' end || case when hidden > 0 then ', ' || hidden || ' NOT posted: the booru holds them under a deleted or jailed post (see the [skip] lines; not retried)' else '' end
+|| case when failed > 0 then ', ' || failed || ' failed (retried on the next run)' else '' end || case when capped then ', stopped at the cap' else '' end || ' in ' || (room % 3 + 1) || 's' ||
+case when room % 4 = 1 then case when why = 'start' then '; caught up to where the last walk began' else '; the gap since the last walk is NOT fully walked (!backfill restart walks it)' end when why = 'start' then '; reached the start of the room (or the furthest back the bot may read)'
+else '; OLDER HISTORY NOT YET WALKED (' || case when why = 'error' then 'stopped by an error, named in the bridge log''s history page line' when why = 'stalled' then 'the homeserver''s pagination token stopped moving' when capped then 'this run''s picture cap was reached' else 'this run''s ' || pages || '-page budget was spent' end || ') -- the sweep resumes it, or !backfill' end as report from q""")
+def room_runs(t):
+    """One run over every room's history at once: what it reaches up to 90 pictures or 12 pages, its failures, and its report."""
+    i = F.col("event_id")
+    e = t("events").select("event_id", F.floor(i / 200).alias("room"), (F.floor(i % 200 / 10) + 1).alias("page"), (i % 10).alias("seq"), "event_type", "value", F.expr(_OUTCOME).alias("outcome"))
+    room, page = F.col("room"), F.col("page")
+    url = F.concat(F.lit("mxc://h/"), i.cast("string")).alias("url")
+    why = F.when(F.col("outcome") == "failed", "no answer").alias("error")
+    token = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    end = F.when((room % 5 == 2) & (page == 6), None).when((room % 7 == 3) & (page == 5), token(page)).otherwise(token(page + 1))
+    pages = e.select("room", "page").distinct().select("room", "page", token(page).alias("first"), end.alias("end"), F.when((room % 6 == 1) & (page == 7), "no page").alias("error"))
+    v = F.col("value")
+    again = F.when(v < 12, "unreadable").when(v < 20, "gone").when(v < 40, "failed").otherwise("posted").alias("outcome")
+    owed = e.where("event_type = 'error' and page > 15").select("room", i.alias("seq"), "event_id", url, (i % 4).alias("attempts"), again, F.lit("owed").alias("error"))
+    rooms = e.select("room").distinct().withColumn("start", F.lit(None).cast("string"))
+    out = backfill.run(rooms, pages, e.where(_IMAGE).select("room", "page", "seq", "event_id", url, "outcome", why), owed, "room", cap=90, most_pages=12)
+    kind = F.when(room % 4 == 1, "gap").otherwise("resume")
+    return out.select("room", "cursor", F.size("failures").cast("long").alias("n_failures"), F.size("dropped").cast("long").alias("n_dropped"), backfill.report(kind, room, (room % 3 + 1) * 1000).alias("report"))

@@ -97,8 +97,8 @@ def polled_snapshot(t):
     """What a polled list holds after each answer: 304 confirms, an error keeps, half an hour is the grace."""
     e = t("events")
     status = F.when(F.col("event_type") == "click", 200).when(F.col("event_type") == "view", 304).otherwise(503)
-    p = e.select("user_id", F.struct(fx.epoch_ms(F.col("ts")).alias("ms"), "event_id").alias("order"), fx.epoch_ms(F.col("ts")).alias("at"), "event_id", status.alias("status"), F.col("event_id").alias("generation"))
-    return snapshots.polled(p, "user_id").select("event_id", "holds", "fresh")
+    p = e.select("user_id", fx.epoch_ms(F.col("ts")).alias("at"), "event_id", status.alias("status"), F.col("event_id").alias("generation"))
+    return snapshots.polled(p, "user_id", ["at", "event_id"], F.floor(F.col("at") / 86_400_000)).select("event_id", "holds", "fresh")
 
 
 _SAVED = """(select c_custkey k, case c_custkey % 4 when 0 then 'command' when 1 then 'rejoin' when 2 then 'sweep' else 'join' end "trigger", c_custkey % 17 = 0 restart, case when c_custkey % 5 <> 0 then c_custkey * 10 end head, case when c_custkey % 3 = 0 then c_custkey end as cursor, c_custkey % 2 = 0 reached, c_custkey % 7 attempts from customer)"""
