@@ -129,7 +129,7 @@ def pruned_layout(t):
     return scans.undenied(o.sparkSession.read.schema(o.schema).parquet(path), "room", denied).groupBy("room").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
-# events as messages of which purchases take back the event seven before them, unless that was three days ago; each fourth hour's events land after all others
+# events as messages; a purchase takes back the message whose id is seven less; each fourth hour's events land after all others
 _LATE = "hour(ts) % 4 = 3"
 
 
@@ -142,11 +142,10 @@ def unredacted_messages(t):
     spark = e.sparkSession
     top = shared_folder(spark)
     rows = e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("taken", F.when(F.col("event_type") == "purchase", F.col("event_id") - 7))
-    stream = spark.readStream.schema(rows.schema).parquet(f"{top}/landed")
-    through = redactions.kept(*_sides(stream), "event_id", "ts", "3 days")
     until = None
     for late in (False, True):
         rows.where(f"({_LATE}) = {late}").write.mode("append").parquet(f"{top}/landed")
+        through = redactions.kept(*_sides(spark.readStream.schema(rows.schema).parquet(f"{top}/landed")), "event_id", "ts", "3 days")
         query = through.writeStream.format("parquet").option("path", f"{top}/through").option("checkpointLocation", f"{top}/offsets").trigger(availableNow=True).start()
         query.awaitTermination()
         until = redactions.settled_until(query) or until

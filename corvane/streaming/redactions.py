@@ -15,8 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 def kept(messages: DataFrame, redactions: DataFrame, ident: str, at: str, within: str, delay: str = "10 minutes") -> DataFrame:
     """Messages that no redaction within ``within`` after them names (append mode).
 
-    ``redactions(ident, at)``; a message with several is still one that is gone. Both
-    streams have the watermark; messages without an id or a time are in no result.
+    ``redactions(ident, at)``; a message with several is still one that is gone. The
+    watermark is that of the stream that is further behind, so a quiet stream of
+    redactions needs a row now and then, which may name no message. Messages without an id
+    or a time are in no result.
     """
     m = messages.withWatermark(at, delay)
     r = redactions.select(F.col(ident).alias("__ident"), F.col(at).alias("__at")).withWatermark("__at", delay)
