@@ -36,6 +36,19 @@ STEPS, SETTINGS = r"\bSteps:\s*[0-9]+\s*,", r"\b(?:Sampler|CFG scale|Seed|Model
 STRONG_WORDS = [r"\([^()]{1,80}:\s*-?[0-9]*\.[0-9]+\s*\)", r"(?i)\b(?:1girl|1boy|absurdres)\b"]
 LOOSE_WORDS = [r"(?i)\b(?:masterpiece|best[ _]quality)\b", r"\([^()]{1,80}:\s*-?[0-9]+\s*\)"]
 
+# Keywords of text chunks that only generators write, those of one tool's settings, which also make its
+# ordinary words (the next line) count, keywords that other tools write too, one tool's further ones, and EXIF fields that hold prompts.
+GENERATOR_KEYWORDS = ("parameters", "postprocessing", "extras", "prompt", "workflow", "invokeai_metadata", "invokeai_graph", "invokeai_workflow", "sd-metadata", "Dream", "fooocus_scheme", "parameters-json", "smproj")
+SETTING_KEYWORDS = (
+    "negative_prompt use_stable_diffusion_model use_vae_model use_text_encoder_model use_lora_model lora_alpha use_hypernetwork_model hypernetwork_strength "
+    "use_embedding_models use_embeddings_model use_controlnet_model control_filter_to_apply control_alpha use_face_correction use_upscale upscale_amount "
+    "latent_upscaler_steps num_inference_steps guidance_scale distilled_guidance_scale prompt_strength sampler_name scheduler_name clip_skip"
+).split()
+SETTING_WORDS = ("seed", "width", "height", "tiling")
+SHARED_KEYWORDS = ("Comment", "Description")
+NOVEL_KEYWORDS = ("Source", "Generation time")
+EXIF_PROMPTS = ("UserComment", "ImageDescription", "XPComment")
+
 #: A bracketed group; escaped brackets are two control characters by then.
 GROUP = r"\([^()]*\)"
 WEIGHTED_GROUP = rf":{WS}*[0-9.]+{WS}*\)\z"
@@ -167,6 +180,38 @@ def keyword_strength(keyword: Column, text: Column, generators: list[str], share
     return F.when(keyword.isin(generators), "strong").when(text.isNull(), "none").when(keyword.isin(shared), strength(text)).otherwise(marked)
 
 
+def chunk_strengths(chunks: Column) -> Column:
+    """The strength of each text chunk of a file, an array of (keyword, text) in the file's order.
+
+    A generator's own keyword is strong even without text. Some ordinary keywords are strong
+    in a file that is known as a generator's: by the name of its software, by a keyword of
+    its settings, or by its graph, where every JSON text is. Two keywords that other tools write too are judged
+    as prompts, mirrored EXIF fields as the fields are, all others by their markers; a
+    keyword that names a prompt makes other text loose. A null array gives null.
+    """
+
+    def first(of: Column, keyword: str) -> Column:
+        return F.coalesce(F.get(F.filter(of, lambda c: (c["keyword"] == keyword) & c["text"].isNotNull()), F.lit(0))["text"], F.lit(""))
+
+    def kinds(of: Column) -> Column:
+        named = reduce(Column.__or__, (first(of, k).rlike("(?i)novelai") for k in ("Software", "Source")))
+        graph = reduce(Column.__or__, (first(of, k).rlike(r'"class_type"|"nodes"\s*:') for k in ("prompt", "workflow")))
+        return F.struct(named.alias("novel"), F.exists(of, lambda c: F.coalesce(c["keyword"].isin(*SETTING_KEYWORDS), F.lit(False))).alias("settings"), graph.alias("graph"))
+
+    return bound(chunks, lambda of: bound(kinds(of), lambda file: F.transform(of, lambda c: _chunk_strength(c["keyword"], c["text"], file))))
+
+
+def _chunk_strength(keyword: Column, text: Column, file: Column) -> Column:
+    marked = lambda t: F.when(has_markers(t), "strong").otherwise("none")
+    mirror = bound(demirrored(text), lambda t: F.when(F.substr(keyword, F.lit(6)).isin(*EXIF_PROMPTS), strength(t)).otherwise(marked(t)))
+    is_json = _trimmed(text).rlike(r"^[\[{]") & F.try_parse_json(_trimmed(text)).isNotNull()
+    own = keyword.isin(*GENERATOR_KEYWORDS, *SETTING_KEYWORDS) | (file["settings"] & keyword.isin(*SETTING_WORDS))
+    return (
+        F.when(own, "strong").when(text.isNull(), "none").when(file["novel"] & keyword.isin(*SHARED_KEYWORDS, *NOVEL_KEYWORDS), "strong").when(keyword.isin(*SHARED_KEYWORDS), strength(text))
+        .when(keyword.startswith("exif:"), mirror).when(has_markers(text) | (file["graph"] & is_json), "strong").when(keyword.rlike("(?i)prompt|workflow|parameters") & (_trimmed(text) != ""), "loose").otherwise("none")
+    )
+
+
 def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
 
@@ -250,21 +295,20 @@ def xml_unescaped(text: Column) -> Column:
 
 def demirrored(text: Column) -> Column:
     """Text whose every other character was a zero byte (shown as a dot), read back: nine
-    tenths of one parity must be such; a leading charset label goes."""
+    tenths of one parity must be such; a leading charset label goes. Linear in the text's length."""
     t = F.regexp_replace(text, r"^(?:UNICODE|ASCII|JIS)[.\x00]{0,3}", "")
-    at = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
-
-    def half(parity: int) -> Column:
-        return F.filter(at, lambda i: i % 2 == parity)
 
-    def empty(parity: int) -> Column:
-        dots = F.size(F.filter(half(parity), lambda i: F.substr(t, i, F.lit(1)).isin(".", "\x00")))
-        return (F.length(t) >= 4) & (dots >= 0.9 * F.size(half(parity)))
+    def read(t: Column) -> Column:
+        blanks = F.length(t) - F.length(F.translate(t, ".\x00", ""))
+        # a text with fewer blanks has no such half, and is not taken apart
+        return F.when((F.length(t) >= 4) & (blanks >= 0.9 * F.floor(F.length(t) / 2)), _let(F.split(t, ""), half)).otherwise(t)
 
-    def others(parity: int) -> Column:
-        return F.array_join(F.transform(half(parity), lambda i: F.substr(t, i, F.lit(1))), "")
+    def half(chars: Column) -> Column:
+        of = lambda parity: F.filter(chars, lambda _, i: i % 2 == parity)
+        empty = lambda parity: F.size(F.filter(of(parity), lambda c: c.isin(".", "\x00"))) >= 0.9 * F.size(of(parity))
+        return F.when(empty(0), F.array_join(of(1), "")).when(empty(1), F.array_join(of(0), "")).otherwise(F.array_join(chars, ""))
 
-    return F.regexp_replace(F.when(empty(1), others(0)).when(empty(0), others(1)).otherwise(t), r"\x00+\z", "")
+    return F.regexp_replace(_let(t, read), r"\x00+\z", "")
 
 
 def shape(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import names, prompts, redact
+from corvane.functions import messages, names, prompts, redact
 from corvane.functions import text as fx
 from corvane.functions.prompts import WS
 from corvane.plans.registry import query
@@ -57,13 +57,13 @@ when regexp_matches(t, '{prompts.LOOSE_WORDS[0]}') or regexp_matches(t, '{prompt
 
 
 # every fifth text gets settings or weights, every seventh is cut into short terms
-_DRESSED = """(select doc_id, source, case when doc_id % 5 = 0 then text || chr(10) || 'Negative prompt: blurry' when doc_id % 5 = 1 then substr(text, 1, 40) || ' (soft light:1.2)' when doc_id % 7 = 2 then replace(substr(text, 1, 60), ' ', ', ') else text end as text from documents)"""
+_DRESSED = """(select doc_id, source, case when doc_id % 5 = 0 then text || chr(10) || 'Negative prompt: blurry' when doc_id % 5 = 1 then text || ' (soft light:1.2)' when doc_id % 7 = 2 then replace(text, ' ', ', ') else text end as text from documents)"""
 
 
 def _dressed(t):
     text = F.col("text")
-    new = F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("\nNegative prompt: blurry"))).when(F.col("doc_id") % 5 == 1, F.concat(F.substring(text, 1, 40), F.lit(" (soft light:1.2)")))
-    new = new.when(F.col("doc_id") % 7 == 2, F.replace(F.substring(text, 1, 60), F.lit(" "), F.lit(", "))).otherwise(text)
+    new = F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("\nNegative prompt: blurry"))).when(F.col("doc_id") % 5 == 1, F.concat(text, F.lit(" (soft light:1.2)")))
+    new = new.when(F.col("doc_id") % 7 == 2, F.replace(text, F.lit(" "), F.lit(", "))).otherwise(text)
     return t("documents").select("doc_id", "source", new.alias("text"))
 
 
@@ -80,6 +80,29 @@ def keyword_strengths(t):
     return _dressed(t).groupBy("source", level.alias("strength")).agg(F.count("*").alias("n"))
 
 
+_KEYWORDS = ("Comment", "Source", "seed", "graph", "Title", "exif:UserComment", "my_prompt", "exif:Model")
+
+
+@query(f"""with d as (select doc_id, doc_id // 4 as file, doc_id % 4 as i, {list(_KEYWORDS)}[doc_id % 8 + 1] as keyword, text from {_DRESSED}),
+x as (select file, bool_or(keyword = 'Source' and file % 3 = 0) as novel from d group by 1),
+s as (select doc_id, file, keyword, novel, t, list_filter(list_transform(string_split(t, ','), lambda x: regexp_replace(x, '{_TRIM}', '', 'g')), lambda x: x <> '') parts from (select d.*, novel, {_T} t from d join x using (file)))
+select keyword, strength, count(*) n from (select keyword, case when keyword = 'seed' and file % 5 = 1 then 'strong' when novel and keyword in ('Comment', 'Source') then 'strong' when keyword in ('Comment', 'exif:UserComment') then {_STRENGTH}
+when {_MARKED} then 'strong' when keyword = 'graph' and file % 4 = 0 then 'strong' when keyword = 'my_prompt' and t <> '' then 'loose' else 'none' end strength from s) group by 1, 2""")
+def chunk_strengths(t):
+    """Four texts as the chunks of a file: some files are known by their software, a setting or a graph; EXIF fields come mirrored."""
+    i, text = F.col("doc_id"), F.col("text")
+    file, keyword = F.floor(i / 4), F.element_at(F.array(*map(F.lit, _KEYWORDS)), (i % 8 + 1).cast("int"))
+    mirrored = F.concat(F.lit("UNICODE..."), F.regexp_replace(text, "(?s)(.)", "$1."))
+    said = F.when(keyword.startswith("exif:"), mirrored).when((keyword == "Source") & (file % 3 == 0), F.concat(F.lit("NovelAI "), text)).when((keyword == "graph") & (file % 4 == 0), F.to_json(F.struct(text.alias("t")))).otherwise(text)
+    d = _dressed(t).select(file.alias("file"), F.struct(i.alias("i"), keyword.alias("keyword"), said.alias("text")).alias("c"))
+    files = d.groupBy("file").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    chunk = lambda k, v: F.struct(F.lit(-1).cast("long").alias("i"), F.lit(k).alias("keyword"), F.lit(v).cast("string").alias("text"))
+    more = F.array_compact(F.array(F.when(F.col("file") % 5 == 1, chunk("clip_skip", None)), F.when(F.col("file") % 4 == 0, chunk("workflow", '{"nodes": []}'))))
+    every = files.select(F.concat(more, "cs").alias("cs"))
+    out = every.select(F.explode(F.arrays_zip("cs", prompts.chunk_strengths(F.col("cs")).alias("s"))).alias("x")).where("x.cs.i >= 0")
+    return out.groupBy(F.col("x.cs.keyword").alias("keyword"), F.col("x.s").alias("strength")).agg(F.count("*").alias("n"))
+
+
 _BLANK = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
@@ -113,14 +136,15 @@ def routed_fields(t):
     return found.select("event_id", F.array_join(F.map_keys("chunks"), ",").alias("keys"), prompts.raw_prompt(F.col("chunks")).alias("said"))
 
 
-@query("""select doc_id, md5(substr(text, 1, 200)) digest, md5(substr(text, 1, 30)) mirrored from documents where not regexp_matches(substr(text, 1, 200), '[^A-Za-z ,\n]')""")
+@query("""select doc_id, md5(text) digest, md5(case when length(text) = 1 then text || '.' else text end) mirrored from documents""")
 def repaired_texts(t):
     """Entities written out and read back, and a text of which every other character was zero."""
-    d = t("documents").where(~F.substring("text", 1, 200).rlike("[^A-Za-z ,\n]"))
-    head = F.substring("text", 1, 200)
-    written = F.replace(F.replace(head, F.lit("a"), F.lit("&#97;")), F.lit(","), F.lit("&#x2C;"))
-    dotted = F.concat(F.lit("UNICODE.."), F.regexp_replace(F.substring("text", 1, 30), "(?s)(.)", "$1."))
-    return d.select("doc_id", F.md5(prompts.xml_unescaped(written)).alias("digest"), F.md5(prompts.demirrored(dotted)).alias("mirrored"))
+    text = F.col("text")
+    written = text
+    for mark, entity in (("&", "&amp;"), ("o", "&#111;"), (",", "&#x2C;"), ("<", "&lt;"), ('"', "&quot;")):
+        written = F.replace(written, F.lit(mark), F.lit(entity))
+    dotted = F.concat(F.lit("UNICODE..."), F.regexp_replace(text, "(?s)(.)", "$1."))
+    return t("documents").select("doc_id", F.md5(prompts.xml_unescaped(written)).alias("digest"), F.md5(prompts.demirrored(dotted)).alias("mirrored"))
 
 
 @query()
@@ -129,14 +153,14 @@ def redact_counts(t):
     return t("documents").select("doc_id", redact.scrubbed(F.col("text")).alias("x")).select("doc_id", "x.address", "x.agent", F.md5("x.text").alias("digest"))
 
 
-@query("""select conv_id, turn, md5(case when role <> 'system' then regexp_replace(text, 'ticket/([0-9])', 'item-\\1', 'g') else text end) digest from conversations where conv_id % 10 <> 3""")
+@query()
 def guarded_messages(t):
-    """A secure view: denied rooms are not read, prose is redacted, all else stays as it came."""
+    """A secure view: denied rooms are not read, both texts of prose are redacted, all else stays as it came. Look-around patterns, so no SQL."""
     denied = t("conversations").where("conv_id % 10 = 3").select("conv_id").distinct()
     rows = t("conversations").join(denied, "conv_id", "left_anti")
-    plain = F.regexp_replace("text", "ticket/([0-9])", "item-$1")
-    clean = redact.scrubbed_prose(F.col("role"), F.when(F.col("role") != "system", plain).otherwise(F.col("text")), ["user", "assistant"])
-    return rows.select("conv_id", "turn", F.md5(clean["text"]).alias("digest"))
+    kind = F.when(F.col("role") == "system", "m.image").otherwise("m.text")
+    x = messages.scrubbed_content(kind, F.col("text"), F.concat(F.lit("<p>"), "text", F.lit("</p>"))).alias("x")
+    return rows.select("conv_id", "turn", x).select("conv_id", "turn", F.md5("x.body").alias("body"), F.md5("x.formatted").alias("formatted"), "x.address", "x.agent")
 
 
 _FOLD = "regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(name), '[^a-z0-9.-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+\\z', '', 'g'), 1, 40), '_+\\z', '')"

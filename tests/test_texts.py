@@ -68,6 +68,47 @@ def test_prompt_sources(spark):
     assert applied(spark, cases, prompts.raw_prompt(chunks)) == ["a", "a\nSteps: 1", "the longer", "", "c", "", "d", "e"]
 
 
+def test_chunk_strengths(spark):
+    nodes = ("workflow", '{"nodes": []}')
+    files = {
+        (("own", "x"), ("parameters", None), ("Comment", "a, b, c, d"), ("Title", "a, b, c, d"), ("Title", None)): ["none", "strong", "loose", "none", "none"],
+        (("Software", "NovelAI"), ("Comment", "{}"), ("Source", "v3"), ("Title", "t")): ["none", "strong", "strong", "none"],
+        (("seed", "1"), ("clip_skip", None), ("width", None)): ["strong", "strong", "strong"],
+        (("seed", "1"), ("Source", "camera")): ["none", "none"],
+        (nodes, ("extra", " [1]"), ("extra", "[1"), ("extra", "plain")): ["strong", "strong", "none", "none"],
+        (("extra", "[1]"), ("sd_prompt", "x"), ("sd_prompt", "  "), ("Workflow2", "Negative prompt: x")): ["none", "loose", "none", "strong"],
+        (("exif:UserComment", "UNICODE..1.g.i.r.l."), ("exif:Model", "UNICODE..1.g.i.r.l."), ("exif:Make", "N.e.g.a.t.i.v.e. .p.r.o.m.p.t.:.")): ["strong", "none", "strong"],
+        (): [],
+    }
+    df = spark.createDataFrame([(list(f),) for f in files], "c array<struct<keyword:string,text:string>>")
+    assert [r.s for r in df.select(prompts.chunk_strengths(F.col("c")).alias("s")).collect()] == list(files.values())
+    assert df.select(prompts.chunk_strengths(F.lit(None).cast(df.schema["c"].dataType)).alias("s")).first().s is None
+
+
+def test_long_mirrored_texts(spark):
+    n = 300_000
+    got = spark.range(1).select(F.repeat(F.lit("a."), n).alias("x"), F.repeat(F.lit("ab"), n).alias("y")).select(F.length(prompts.demirrored(F.col("x"))).alias("x"), F.length(prompts.demirrored(F.col("y"))).alias("y")).first()
+    assert tuple(got) == (n, 2 * n)
+
+
+def test_guarded_query(spark, sf="/root/testdata/sf0.001"):
+    """The secure view on the whole table, by the same rules in another engine."""
+    import hashlib
+
+    rules = [(k, re.compile(p.replace(r"\z", r"\Z"), re.A)) for k, p in redact.RULES]
+    said = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id % 10 <> 3").collect()}
+    rows = registry.QUERIES["guarded_messages"](spark, sf).collect()
+    assert {(r.conv_id, r.turn) for r in rows} == set(said)
+    for r in rows:
+        texts_, n = [said[r.conv_id, r.turn].text, f"<p>{said[r.conv_id, r.turn].text}</p>"], {"address": 0, "agent": 0}
+        if said[r.conv_id, r.turn].role != "system":
+            for i in range(2):
+                for kind, rule in rules:
+                    texts_[i], k = rule.subn(redact.ADDRESS if kind == "address" else redact.AGENT, texts_[i])
+                    n[kind] += k
+        assert (r.address, r.agent, r.body, r.formatted) == (n["address"], n["agent"], *(hashlib.md5(x.encode()).hexdigest() for x in texts_))
+
+
 SCRUBBED = {
     "see https://a.example/x?y=1 now": (1, 0, "see [address removed] now"), "mxc://own.host/abc stays": (0, 0, "mxc://own.host/abc stays"), "from 10.0.0.7:8080, twice 10.0.0.8": (2, 0, "from [address removed], twice [address removed]"),
     "at 01:54:30 it was 12:30": (0, 0, "at 01:54:30 it was 12:30"), "v6 fe80::1 and [2001:db8::2]:443": (2, 0, "v6 [address removed] and [address removed]"), "box db-web-1:3000 and localhost:99 and a.example.org:8008": (3, 0, "box [address removed] and [address removed] and [address removed]"),
