@@ -43,6 +43,44 @@ def scrubbed_content(msgtype: Column, body: Column, formatted: Column) -> Column
     return F.when(prose, _let(redact.scrubbed(F.coalesce(body, F.lit(""))), lambda a: _let(redact.scrubbed(F.coalesce(formatted, F.lit(""))), lambda b: put(a, b)))).otherwise(left)
 
 
+def picture_edit(content: Column, choice_key: str) -> Column:
+    """struct(original_id, url, old_file) of an event's content (JSON) that replaces another one by a picture; null for other edits and events.
+
+    ``old_file`` is what the sender chose under ``choice_key``: expire, or else keep.
+    """
+
+    def asked(c: Column) -> Column:
+        relation, new = _member(c, '["m.relates_to"]'), _member(c, '["m.new_content"]')
+        original, url = _text_at(relation, "event_id"), _text_at(new, "url")
+        edit = (_text_at(relation, "rel_type") == "m.replace") & original.isNotNull() & (_text_at(new, "msgtype") == "m.image") & url.isNotNull()
+        choice = F.when(_text_at(_member(c, f'["{choice_key}"]'), "old_file") == "expire", "expire").otherwise("keep")
+        return F.when(edit, F.struct(original.alias("original_id"), url.alias("url"), choice.alias("old_file")))
+
+    return _let(F.try_parse_json(content), asked)
+
+
+def media_id(url: Column, domain: str) -> Column:
+    """The id of a picture of the own media store, else null."""
+    found = F.regexp_extract(url, r"^mxc://([^/]+)/([^/?#]+)\z", 2)
+    return F.when((F.regexp_extract(url, r"^mxc://([^/]+)/([^/?#]+)\z", 1) == domain) & (found != ""), found)
+
+
+def generation_record(removed: Column, md5: Column, raw_md5: Column, poster: Column, source: str = "matrix") -> Column:
+    """struct(md5, raw_md5, source, poster, fields) of the fields that a strip took out (a map), without
+    zero characters; null if it took none. An empty poster is none."""
+    fields = F.transform_values(removed, lambda _, v: F.replace(v, F.lit("\x00"), F.lit("")))
+    record = F.struct(md5.alias("md5"), raw_md5.alias("raw_md5"), F.lit(source).alias("source"), F.when(poster != "", poster).alias("poster"), fields.alias("fields"))
+    return F.when(F.size(removed) > 0, record)
+
+
+def first_reason(*checks: tuple[Column, str]) -> Column:
+    """The name of the first check that does not hold or is not known; null if all hold."""
+    out = F.lit(None).cast("string")
+    for holds, name in reversed(checks):
+        out = F.when(~F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return out
+
+
 def script(body: Column, command: str) -> Column:
     """struct(reason, lines) of a message whose first line is a command: what follows it there, and the further lines
     that are neither blank nor a code fence; null for other messages."""

@@ -227,7 +227,7 @@ def _kind(value: Column) -> Column:
 
 
 def _member(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, f"$.{path}", "variant")
+    return F.try_variant_get(value, f"${path}" if path.startswith("[") else f"$.{path}", "variant")
 
 
 def _text_at(value: Column, path: str) -> Column:

@@ -80,6 +80,18 @@ def drained(parked: DataFrame, listed: DataFrame, visible: DataFrame) -> DataFra
     return rows.withColumn("action", F.when(F.col("flagged"), "keep").when(F.col("banished"), "drop banished").when(F.col("seen").isNull(), "drop hidden").otherwise("write")).drop("flagged", "banished", "seen")
 
 
+def parkable(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows whose bytes (``md5``) a listed post holds that is flagged and not banished, with the least such ``post_id``."""
+    flagged = listed.where("flagged and not coalesce(banished, false)").groupBy("md5").agg(F.min("post_id").alias("post_id"))
+    return rows.join(flagged, "md5")
+
+
+def own_copies(state: DataFrame, posts: DataFrame, sender: str, denied: DataFrame) -> DataFrame:
+    """Stored rows that name one of ``posts(post_id)`` and that ``sender`` wrote, outside of ``denied(room)``: what others wrote proves nothing."""
+    own = state.where(F.col("sender") == sender).join(posts.select("post_id").distinct(), "post_id", "left_semi")
+    return own.join(denied.select("room"), "room", "left_anti")
+
+
 def polled(polls: DataFrame, key: str, order: list[str] = ["at"], stretch: Column | None = None) -> DataFrame:
     """State of a polled source after each answer, by ``order`` (``at`` first): the generation that holds (a 304
     confirms it, an error keeps it), when it was last checked, and whether that is fresh.

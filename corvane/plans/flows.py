@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import scans
 from corvane.plans.registry import query
 from corvane.plans.states import _projections
-from corvane.sources.commits import Store, shared_folder
+from corvane.sources.commits import Store, recorded, shared_folder
 from corvane.streaming import acquire, outboxes, redactions, views
 
 # users as partitions, events as messages with up to three parts each
@@ -160,3 +160,14 @@ def unredacted_messages(t):
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("taken is null").select("event_id", "user_id", "ts"), rows.where("taken is not null").select(F.col("taken").alias("event_id"), "ts")
+
+
+@query("""select doc_id as post_id, lang || ' ' || source as tags from documents where doc_id % 3 = 0 and doc_id % 2 = 1 union all select doc_id, 'again ' || source from documents where doc_id % 6 = 0""")
+def recorded_projection(t):
+    """Partitions put into a table by their post, a later one in place of an earlier, and the public part of those that were written last."""
+    d, post = t("documents"), F.col("doc_id").alias("post_id")
+    store = Store(d.sparkSession, shared_folder(d.sparkSession))
+    private = F.concat_ws(" ", "source", "lang").alias("creator")
+    recorded(store, "partitions", d.where("doc_id % 2 = 0").select(post, F.concat_ws(" ", "lang", "lang").alias("tags"), private), ["post_id"], ["creator"], 16)
+    tags = F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, "again").otherwise(F.col("lang")), "source").alias("tags")
+    return recorded(store, "partitions", d.where("doc_id % 3 = 0").select(post, tags, private), ["post_id"], ["creator"], 16)

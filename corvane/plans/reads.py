@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import names, prompts
+from corvane.functions import levels, names, prompts
 from corvane.functions import text as fx
 from corvane.operators import backfill, joins, outbox, permissions, rollup, scans, sets, snapshots
 from corvane.plans.registry import query
@@ -374,19 +374,12 @@ def accumulated_texts(t):
 def granted_levels(t):
     """A nested setting created or raised, never lowered; granting twice changes nothing."""
     events = F.when(F.col("c_custkey") % 100 != 0, F.create_map(F.lit("write"), F.col("c_custkey") % 100))
-    once = permissions_granted(events, "write", 50)
-    twice = permissions_granted(once, "write", 50)
+    once = levels.granted(events, "write", 50)
+    twice = levels.granted(once, "write", 50)
     level = F.element_at(twice, "write")
     return t("customer").select("c_custkey", level.alias("write"), (~F.coalesce(F.element_at(events, "write") >= 50, F.lit(False))).alias("changed"))
 
 
-def permissions_granted(levels, name: str, least: int):
-    """The map with ``name`` at ``least`` or what it was above that."""
-    levels = F.coalesce(levels, F.create_map().cast("map<string,bigint>"))
-    new = F.greatest(F.coalesce(F.element_at(levels, name), F.lit(0)), F.lit(least)).cast("long")
-    return F.map_concat(F.map_filter(levels, lambda k, v: k != name), F.create_map(F.lit(name), new))
-
-
 @query("""with m as (select *, case event_type when 'signup' then ts end armed, case when event_type = 'click' then ts end used from events),
 a as (select *, max(armed) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) last_armed, max(used) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) last_used from m)
 select event_id, case when last_armed is null or (last_used is not null and last_used >= last_armed) then 'none' when ts - last_armed <= interval 12 hours then 'consumed' else 'expired' end as session from a where event_type = 'click'""")

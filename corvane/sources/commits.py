@@ -223,3 +223,9 @@ def merged_keys(store: Store, name: str, rows: DataFrame, key: list[str]) -> int
         return None if new.isEmpty() else {name: Append(new)}
 
     return store.update(change)
+
+
+def recorded(store: Store, table: str, rows: DataFrame, key: list[str], private: list[str], buckets: int = 64) -> DataFrame:
+    """Put rows into a table by their key, and give back what is public of those that were written."""
+    store.update(lambda s, v: {table: Upsert(rows, key, buckets)})
+    return store.read(table).join(rows.select(*key), key, "left_semi").drop(*private)
