@@ -298,15 +298,14 @@ def demirrored(text: Column) -> Column:
     tenths of one parity must be such; a leading charset label goes. Linear in the text's length."""
     t = F.regexp_replace(text, r"^(?:UNICODE|ASCII|JIS)[.\x00]{0,3}", "")
 
+    blanks = lambda x: F.length(x) - F.length(F.translate(x, ".\x00", ""))
+    mostly = lambda half: blanks(half) >= 0.9 * F.length(half)
+
     def read(t: Column) -> Column:
-        blanks = F.length(t) - F.length(F.translate(t, ".\x00", ""))
+        halves = F.struct(F.regexp_replace(t, "(?s)(.).?", "$1").alias("first"), F.regexp_replace(t, "(?s).(.?)", "$1").alias("second"))
+        other = _let(halves, lambda h: F.when(mostly(h["first"]), h["second"]).when(mostly(h["second"]), h["first"]).otherwise(t))
         # a text with fewer blanks has no such half, and is not taken apart
-        return F.when((F.length(t) >= 4) & (blanks >= 0.9 * F.floor(F.length(t) / 2)), _let(F.split(t, ""), half)).otherwise(t)
-
-    def half(chars: Column) -> Column:
-        of = lambda parity: F.filter(chars, lambda _, i: i % 2 == parity)
-        empty = lambda parity: F.size(F.filter(of(parity), lambda c: c.isin(".", "\x00"))) >= 0.9 * F.size(of(parity))
-        return F.when(empty(0), F.array_join(of(1), "")).when(empty(1), F.array_join(of(0), "")).otherwise(F.array_join(chars, ""))
+        return F.when((F.length(t) >= 4) & (blanks(t) >= 0.9 * F.floor(F.length(t) / 2)), other).otherwise(t)
 
     return F.regexp_replace(_let(t, read), r"\x00+\z", "")
 
