@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import names
+from corvane.functions import messages, names
 from corvane.operators import joins, rollup, writes
 from corvane.plans.registry import query
 
@@ -154,7 +154,7 @@ def accepted_rows(t):
     i = F.col("doc_id")
     name = F.concat(F.lit("f"), F.when(i % 5 == 0, ".GIF").when(i % 5 == 1, "").otherwise(".PNG"))
     ext = names.extension_of(name)
-    refused = F.when(~ext.isin(".png", ".jpg"), "not an image").when(F.col("n_chars") > 12_000, "too large").when(~(i % 3 * 5).isin(0, 5), "no text channel")
+    refused = messages.first_reason((ext.isin(".png", ".jpg"), "not an image"), (F.col("n_chars") <= 12_000, "too large"), ((i % 3 * 5).isin(0, 5), "no text channel"))
     return t("documents").select("doc_id", refused.alias("refused"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import levels, names, prompts
+from corvane.functions import levels, messages, names, prompts
 from corvane.functions import text as fx
 from corvane.operators import backfill, joins, outbox, permissions, rollup, scans, sets, snapshots
 from corvane.plans.registry import query
@@ -132,8 +132,8 @@ def target_status(t):
     allowed = t("supplier").where("s_acctbal >= 500").select("s_suppkey", F.lit(True).alias("allowed"))
     member = t("supplier").join(t("nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi").select("s_suppkey", F.lit(True).alias("member"))
     rows = rows.join(allowed, "s_suppkey", "left").join(member, "s_suppkey", "left")
-    state = F.when(~F.col("id").rlike(r"^[0-9]{1,20}\z"), "not an id").when(~names.legal_prefix(F.col("prefix"), ["china"]), "prefix").when(F.col("allowed").isNull(), "not allowed").when(F.col("member").isNull(), "awaiting invite").otherwise("indexed")
-    return rows.select("s_suppkey", state.alias("state"))
+    against = messages.first_reason((F.col("id").rlike(r"^[0-9]{1,20}\z"), "not an id"), (names.legal_prefix(F.col("prefix"), ["china"]), "prefix"), (F.col("allowed"), "not allowed"), (F.col("member"), "awaiting invite"))
+    return rows.select("s_suppkey", F.coalesce(against, F.lit("indexed")).alias("state"))
 
 
 @query("""with e as (select event_id, user_id, event_type, value, lag(event_type) over (partition by user_id order by ts, event_id) p from events) select route, count(*) n from (select case when event_type = 'signup' then case when p is null then 'invite' when p = 'signup' then 'profile' when p = 'error' then 'rejoin' else 'join' end
