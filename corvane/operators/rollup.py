@@ -13,6 +13,13 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(row).alias("__row")).select(*keys, *(F.col("__row")[c].alias(c) for c in [*order, *rest]))
 
 
+def exact_avg(value: str) -> Column:
+    """The mean of a column of doubles, the same in whatever order rows come: values count as the decimals that they print
+    as, up to ten places; only what is beyond that (other digits, huge values, no numbers) is added up in doubles."""
+    d = F.coalesce(F.col(value).try_cast("decimal(28,10)"), F.when(F.col(value).isNotNull(), F.lit(0).cast("decimal(28,10)")))
+    return F.avg(d).cast("double") + F.avg(F.col(value) - d.cast("double"))
+
+
 def completion(plan: DataFrame, outcomes: DataFrame, key: str, by: str, done: Column) -> DataFrame:
     """Planned, done and untouched rows of each group; ``outcomes`` has one row for a key."""
     joined = plan.join(outcomes.withColumn("__seen", F.lit(True)), key, "left")

@@ -78,8 +78,8 @@ def above(scores: Column, bars: Column) -> Column:
 
 
 def best(scores: Column) -> Column:
-    """The key of the greatest score, the first in order of equal ones."""
-    return F.element_at(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))), 1)["k"]
+    """The key of the greatest score, the first in order of equal ones; missing scores come last, and an empty map has none."""
+    return F.get(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct(e["value"].isNull().alias("none"), (-e["value"]).alias("s"), e["key"].alias("k")))), F.lit(0))["k"]
 
 
 def layout(df: DataFrame, path: str, *keys: str) -> None:

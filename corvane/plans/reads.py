@@ -117,10 +117,12 @@ def spent_budget(t):
 @query("""with s as (select user_id, event_type, avg(value) / 100 score from events group by 1, 2), b as (select user_id, string_agg(event_type, ',' order by event_type) filter (score >= case event_type when 'error' then 0.6 when 'view' then 0.52 else 0.35 end) tags from s group by 1)
 select user_id, coalesce(tags, '') tags, (select arg_min(event_type, (-score, event_type)) from s x where x.user_id = b.user_id) rating from b""")
 def score_tags(t):
-    """Keys of a score map over the bar of their kind, and its best key."""
-    s = t("events").groupBy("user_id", "event_type").agg((F.avg("value") / 100).alias("score")).groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "score")))).alias("m"))
+    """Keys of a score map over the bar of their kind, and its best key; rows without a kind count for neither, and none is best without a user."""
+    s = t("events").groupBy("user_id", "event_type").agg((rollup.exact_avg("value") / 100).alias("score"))
+    known = F.when(F.col("event_type").isNotNull(), F.struct("event_type", "score"))
+    s = s.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(known))).alias("m"))
     bars = F.create_map(F.lit("error"), F.lit(0.6), F.lit("view"), F.lit(0.52))
-    return s.select("user_id", F.array_join(scans.above(F.col("m"), bars), ",").alias("tags"), scans.best(F.col("m")).alias("rating"))
+    return s.select("user_id", F.array_join(scans.above(F.col("m"), bars), ",").alias("tags"), F.when(F.col("user_id").isNotNull(), scans.best(F.col("m"))).alias("rating"))
 
 
 @query("""select s_suppkey, case when not regexp_matches(id, '^[0-9]{1,20}\\z') then 'not an id' when not regexp_matches(prefix, '^[a-z0-9]{1,16}\\z') or prefix = 'china' then 'prefix' when s_acctbal < 500 then 'not allowed' when n_regionkey = 2 then 'awaiting invite' else 'indexed' end state from
