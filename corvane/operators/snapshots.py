@@ -58,8 +58,10 @@ def reprojected(state: DataFrame, posts: DataFrame, projections: DataFrame, name
     stripped, and a row that would not change is ``current``.
     """
     by_mxc = state.join(posts.where("mxc is not null").select("mxc", F.col("post_id").alias("m_post")), "mxc", "left")
-    rows = by_mxc.join(posts.select("post_id", F.lit(True).alias("hit")), "post_id", "left").where("hit or m_post is not null")
-    rows = rows.withColumn("target", F.coalesce("post_id", "m_post")).join(projections.withColumnRenamed("post_id", "target"), "target", "left")
+    # rows without a post of their own go by the one that their mxc has or not at all, so no exchange brings them together
+    rows = by_mxc.withColumn("target", F.coalesce("post_id", "m_post")).where("target is not null")
+    rows = rows.join(posts.select(F.col("post_id").alias("target"), F.lit(True).alias("hit")).distinct(), "target", "left").where("hit or m_post is not null")
+    rows = rows.join(projections.withColumnRenamed("post_id", "target"), "target", "left")
     source = F.when(F.col("failed"), "failed").when(F.size("p_tags") > 0, "projection").when(F.col("legacy").isNotNull(), "legacy").otherwise("own")
     rows = rows.withColumn("source", source)
     tags = without_names(F.when(F.col("source") == "projection", F.col("p_tags")).when(F.col("source") == "legacy", F.col("legacy")).otherwise(F.col("tags")), names)

@@ -148,7 +148,8 @@ class Store:
         touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]  # as many as there are buckets at most
         same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in table["key"]]
         old = self._rows(table, touched).select("*", bucket).alias("o").join(new.alias("n"), _all(same), "left_anti")
-        new.unionByName(old).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}/rows")
+        # a bucket of any size is written by tasks of Spark's advisory size
+        new.unionByName(old).hint("rebalance", F.col(_BUCKET)).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}/rows")
         self._fs.delete(self._hadoop.Path(delta), True)
         return table | {"folders": table["folders"] | {str(b): f"{folder}/rows/{_BUCKET}={b}" for b in touched}}
 

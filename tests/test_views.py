@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.sources.commits import Store
+from corvane.operators import snapshots
+from corvane.sources.commits import Store, Upsert
 from corvane.streaming import views
 
 STATE = "room string, mxc string, post_id long, tags array<string>, rating string, sources map<string,array<string>>"
@@ -101,3 +102,29 @@ def test_parked_rows_are_drained(spark, store, monkeypatch):
     for i in range(5):
         views.waits(store, "parked", parked.where(F.col("post_id") == i + 1).withColumn("room", F.lit("e")), 10 + i)
     assert rows(store.read("parked").select("post_id")) == [(2,), (3,), (4,)]  # there is no post 5
+
+
+def test_rows_without_a_post_are_not_brought_together(spark):
+    posts = spark.createDataFrame([(p, f"m{p}") for p in range(4)], "post_id long, mxc string")
+    state = spark.createDataFrame([("a", f"m{i}", None if i % 3 else i, ["bad"], "s", {}) for i in range(40)], STATE)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = snapshots.reprojected(state, posts, known(spark), F.array(F.lit("bad")))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # what is exchanged by a post is exchanged by one that is there
+        assert "hashpartitioning(post_id" not in plan and "isnotnull(coalesce(post_id" in plan
+        assert rows(got.select("mxc", "post_id", "source")) == [("m0", 0, "own"), ("m1", 1, "projection"), ("m2", 2, "projection"), ("m3", 3, "projection")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    own = Store(spark, str(tmp_path / "one"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        own.update(lambda s, v: {"rows": Upsert(spark.range(100_000).withColumn("x", F.sha2(F.col("id").cast("string"), 256)), ["id"], 1)})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert own.read("rows").count() == 100_000 and len(own.read("rows").inputFiles()) > 4
