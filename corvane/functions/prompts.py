@@ -79,6 +79,11 @@ def _rewritten(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)
 
 
+def _where(c: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` of texts that hold the mark, which it needs; others stay, and are not searched by a pattern."""
+    return bound(c, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def _blank(c: Column) -> Column:
     return F.regexp_replace(c, WS, "") == ""
 
@@ -90,10 +95,10 @@ def escaped(text: Column) -> Column:
 
 def normalize_escaped(term: Column) -> Column:
     def unqualified(t: Column) -> Column:
-        return F.when(t.rlike(QUALIFIED) & ~F.regexp_extract(t, QUALIFIED, 2).rlike(NUMBER_IN_BRACKETS), F.regexp_replace(t, QUALIFIED, "$1 \x01$2\x02")).otherwise(t)
+        return F.when(F.contains(t, F.lit("(")) & t.rlike(QUALIFIED) & ~F.regexp_extract(t, QUALIFIED, 2).rlike(NUMBER_IN_BRACKETS), F.regexp_replace(t, QUALIFIED, "$1 \x01$2\x02")).otherwise(t)
 
-    t = bound(F.regexp_replace(term, WEIGHT, ""), unqualified)
-    t = _rewritten(t, [(r"[()\[\]{}]", " "), (r"\\+", " ")])
+    t = bound(_where(term, ":", lambda x: F.regexp_replace(x, WEIGHT, "")), unqualified)
+    t = _where(F.translate(t, "()[]{}", " " * 6), "\\", lambda x: F.regexp_replace(x, r"\\+", " "))
     return _rewritten(F.lower(F.translate(t, "\x01\x02", "()")), SPELLING)
 
 
@@ -127,17 +132,20 @@ def expand_term(term: Column) -> Column:
 
 def terms(text: Column, least: int = 2, most: int = 60) -> Column:
     """Normalised terms in order of first appearance, without numbers."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"(?<![A-Za-z0-9_])BREAK(?![A-Za-z0-9_])", ",")
+    plain = _where(F.coalesce(text, F.lit("")), "<", lambda t: F.regexp_replace(t, "<[^>]*>", " "))
+    plain = _where(plain, "BREAK", lambda t: F.regexp_replace(t, r"(?<![A-Za-z0-9_])BREAK(?![A-Za-z0-9_])", ","))
     pieces = F.flatten(F.transform(F.split(escaped(plain), ",", -1), expand_escaped))
+    # no letter from A to Z goes when a piece is normalised, so one with more of them than a term may have is none
+    pieces = F.filter(pieces, lambda x: (F.length(x) <= most) | ~x.rlike(rf"^(?:[^A-Za-z]*+[A-Za-z]){{{most + 1}}}"))
     found = F.transform(pieces, normalize_escaped)  # each piece once
     return F.array_distinct(F.filter(found, lambda x: F.length(x).between(least, most) & ~x.rlike(NUMBER)))
 
 
 def name_kind(term: Column, owner: Column) -> Column:
     """``declared`` for the owner's names and legacy forms, ``offered`` for other qualified names, else null."""
-    qualified = term.rlike(QUALIFIED_NAME)
+    qualified = term.endswith(")") & term.rlike(QUALIFIED_NAME)
     own = F.regexp_extract(term, QUALIFIED_NAME, 2) == F.lower(owner)
-    return F.when(qualified & F.coalesce(own, F.lit(False)), "declared").when(qualified, "offered").when(term.rlike(LEGACY_NAME), "declared")
+    return F.when(qualified & F.coalesce(own, F.lit(False)), "declared").when(qualified, "offered").when(F.contains(term, F.lit("oc")) & term.rlike(LEGACY_NAME), "declared")
 
 
 def routed(text: Column, owner: Column | None = None, most: int = 60) -> Column:

@@ -175,3 +175,18 @@ def test_fields_are_routed(spark):
     df = spark.createDataFrame([(i, f) for i, (f, _, _) in enumerate(cases)], "i int, f map<string,string>")
     for r in df.select("i", prompts.chunks_of(F.col("f")).alias("c")).select("i", "c", prompts.raw_prompt(F.col("c")).alias("p")).collect():
         assert (set(r.c), r.p) == cases[r.i][1:], cases[r.i]
+
+
+def test_terms_of_long_pieces(spark):
+    """A piece with more letters than a term may have is never one; one that only its other characters make long may be."""
+    some = ["x" * 60, "x" * 61, "y" + " " * 90 + "z", "Ä" * 70 + "b" * 60, "(" + "c" * 59 + ":1.25)", "d" * 61 + " (e:1.2) f", "g" * 30 + "..." * 11, "\u212a" * 3, "h" * 59 + "ß" * 9 + "\\(i\\)", "<" + "j" * 80 + "> k9", "l" * 60 + "BREAK" + "m m BREAK n n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", prompts.terms(F.col("t")).alias("x")).collect()}
+    assert got == {0: ["x" * 60], 1: [], 2: ["y_z"], 3: ["b" * 60], 4: ["c" * 59], 5: [], 6: [], 7: ["kkk"], 8: [], 9: ["k9"], 10: ["n_n"]}
+
+
+def test_terms_do_not_work_on_pieces_that_cannot_be_any(spark):
+    """Six million letters without a comma are passed over, not rewritten a dozen times."""
+    assert "{61}" in str(prompts.terms(F.col("t")))
+    df = spark.range(4).select(F.concat(F.repeat(F.lit("ab c"), 500_000), F.lit(", short one")).alias("t"))
+    assert [r.x for r in df.select(prompts.terms(F.col("t")).alias("x")).collect()] == [["short_one"]] * 4
