@@ -432,7 +432,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links."""
+    """Components after more links, which are written; without any they stay as they are."""
+    if links.isEmpty():
+        return found
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
